@@ -92,7 +92,8 @@ _OVER = {
     "max": F.max,
     "min": F.min,
     "last": lambda v: F.last(v, ignorenulls=True),
-    "first": lambda v: F.first(v, ignorenulls=True),
+    # rows come in falling order here, so the nearest one is the last seen
+    "first": lambda v: F.last(v, ignorenulls=True),
 }
 
 

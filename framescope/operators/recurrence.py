@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from framescope.operators.layout import FANOUT, KEYS, ORDER, segment_length, segment_of
 
+FIRST = -(1 << 62)  # order value of the row that brings the carried state
+
 
 class ClampedLinear:
     """y -> min(hi, max(lo, gain*y + step)) with gain >= 0."""
@@ -96,7 +98,7 @@ def _carry_in(rule, rows, starts, group, order, init):
     step, kind = rule.step, rule.type
     rows = rows.select(*names, order, *cols, F.lit(None).cast(kind).alias("_in"))
     if starts is not None:
-        rows = rows.unionByName(starts.select(*names, F.lit(-1).cast("long").alias(order), "_in"),
+        rows = rows.unionByName(starts.select(*names, F.lit(FIRST).cast("long").alias(order), "_in"),
                                 allowMissingColumns=True)
     schema = T.StructType([rows.schema[g] for g in names] + [rows.schema[order], T.StructField("_in", kind)])
 
@@ -109,7 +111,7 @@ def _carry_in(rule, rows, starts, group, order, init):
                                   zip(*[pdf[c].tolist() for c in cols])):
                 if k != cur:
                     cur, y = k, init
-                if o == -1:
+                if o == FIRST:
                     y = s
                     continue
                 out.append(k + (o, y))
@@ -131,7 +133,7 @@ def scan(df: DataFrame, rule, out: str, init, keys=KEYS, order=ORDER) -> DataFra
     step, kind = rule.step, rule.type
     keep = [c for c in df.columns if c not in cols]
     rows = rows.withColumn("_in", F.lit(None).cast(kind)).unionByName(
-        seg_in.select(*keys, "_seg", F.lit(-1).cast("long").alias(order), "_in"), allowMissingColumns=True)
+        seg_in.select(*keys, "_seg", F.lit(FIRST).cast("long").alias(order), "_in"), allowMissingColumns=True)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, kind)])
     group = [*keys, "_seg"]
 
@@ -144,11 +146,11 @@ def scan(df: DataFrame, rule, out: str, init, keys=KEYS, order=ORDER) -> DataFra
                                   zip(*[pdf[c].tolist() for c in cols])):
                 if k != cur:
                     cur, y = k, init
-                y = s if o == -1 else step(e, y)
+                y = s if o == FIRST else step(e, y)
                 ys.append(y)
             res = pdf[keep].copy()
             res[out] = ys
-            yield res[pdf[order] != -1]
+            yield res[pdf[order] != FIRST]
 
     fixed = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     return _walk(rows, group, order, fixed, body)
