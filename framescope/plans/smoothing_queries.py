@@ -157,10 +157,10 @@ def w33(spark, sf):
 
 
 @query("w36_delta_cepstrum", with_views("tel", f"""SELECT stream_id, frame_index, {s6('-0.12299e0*(c+l4)+0.49195e0*(l1+l3)+0.69693e0*l2', 'level')}, {s6('0.63246e0*(c-l4)+0.31623e0*(l1-l3)', 'delta')},
- {s6('0.53452e0*(c+l4)-0.26726e0*(l1+l3)-0.53452e0*l2', 'delta2')} FROM (SELECT stream_id, frame_index, value AS c, lag(value,1,0e0) OVER w AS l1, lag(value,2,0e0) OVER w AS l2, lag(value,3,0e0) OVER w AS l3, lag(value,4,0e0) OVER w AS l4
- FROM tel WINDOW w AS (PARTITION BY stream_id ORDER BY frame_index))"""))
+ {s6('0.53452e0*(c+l4)-0.26726e0*(l1+l3)-0.53452e0*l2', 'delta2')} FROM (SELECT stream_id, frame_index, v AS c, lag(v,1,0e0) OVER w AS l1, lag(v,2,0e0) OVER w AS l2, lag(v,3,0e0) OVER w AS l3, lag(v,4,0e0) OVER w AS l4
+ FROM (SELECT *, 20*log10(value) AS v FROM tel) WINDOW w AS (PARTITION BY stream_id ORDER BY frame_index))"""))
 def w36(spark, sf):
-    t = V.telemetry(spark, sf).select(*ID, F.array("value").alias("c"))
+    t = V.telemetry(spark, sf).select(*ID, F.array(S.db20("value")).alias("c"))
     return M.delta_cepstrum(t, "c").select(*ID, *[r6(F.col(c)[0], c) for c in ("level", "delta", "delta2")])
 
 

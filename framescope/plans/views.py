@@ -50,8 +50,11 @@ def packets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pcm_frames(spark: SparkSession, sf: str) -> DataFrame:
+    # the given vectors all have length 1; a gain by id gives loud and quiet frames
+    gain = (F.col("vec_id") * 37 % 100 + 1).cast("double") / F.lit(50.0)
     e = table(spark, sf, "embeddings").select(
-        F.col("label").alias("stream_id"), "vec_id", F.col("embedding").cast("array<double>").alias("pcm"))
+        F.col("label").alias("stream_id"), "vec_id",
+        F.transform("embedding", lambda x: x.cast("double") * gain).alias("pcm"))
     return dense_index(e, ["stream_id"], F.floor(F.col("vec_id") / F.lit(4096.0)), ["vec_id"]).drop("vec_id")
 
 
@@ -112,7 +115,7 @@ SQL = {
   packet_bytes AS len, CASE WHEN event_type='error' THEN 1 ELSE 0 END AS lost,
   CASE WHEN event_type='signup' THEN 1 ELSE 0 END AS has_lbrr, event_id*2654435761 % 4294967296 AS "check" FROM tel)""",
     "pcm": """pcm AS (SELECT label AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index,
-  embedding::double[] AS pcm FROM embeddings)""",
+  list_transform(embedding::double[], lambda x: x * ((vec_id*37 % 100 + 1)::double/50e0)) AS pcm FROM embeddings)""",
     "smp": "smp AS (SELECT stream_id, frame_index, i - 1 AS n, pcm[i] AS x FROM pcm, range(1, 65) t(i))",
     "cand": "cand AS (SELECT * FROM (VALUES ('q08', 8e0), ('q16', 16e0), ('q32', 32e0), ('q64', 64e0)) v(candidate, q))",
     "dsmp": """dsmp AS (SELECT stream_id, frame_index, candidate, n, x, round_even(x*q, 0)::double/q AS y FROM smp, cand)""",
