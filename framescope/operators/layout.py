@@ -10,7 +10,6 @@ so a stream that holds a third of the table is spread like any other.
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 
@@ -175,23 +174,19 @@ def dense_index(df, keys, slice_col, order_by, name=ORDER) -> DataFrame:
             .drop("_slice", "_shift"))
 
 
-def rank_all(df, value, tie, name, part=(), buckets=65536, tie_buckets=64) -> DataFrame:
+def slot_of(x: Column, per_octave: int = 16384) -> Column:
+    """Order-preserving slot number of a double, from its size alone: no bounds have to be known."""
+    size = F.floor(F.log2(F.lit(1.0) + F.abs(x) * F.lit(float(1 << 40))) * F.lit(float(per_octave)))
+    return (F.signum(x) * size).cast("long")
+
+
+def rank_all(df, value, tie, name, part=()) -> DataFrame:
     """1-based rank of every row by (value, tie) inside `part`, with no single
     sorting task: rows are put into value slots, and a slot of equal values is
     split again along the tie-breaker."""
     part = list(part)
-    base = df.withColumn("_x", value.cast("double")).withColumn("_t", tie.cast("double"))
-    span = base.agg(F.struct(
-        F.min("_x").alias("x0"), F.max("_x").alias("x1"),
-        F.min("_t").alias("t0"), F.max("_t").alias("t1")).alias("b")).scalar()
-
-    def slot(v, lo, hi, k):
-        return F.when(hi > lo, F.floor((v - lo) / (hi - lo) * F.lit(float(k)))).otherwise(F.lit(0))
-
-    base = (base.withColumn("_span", span)
-            .withColumn("_b", slot(F.col("_x"), F.col("_span.x0"), F.col("_span.x1"), buckets))
-            .withColumn("_tb", slot(F.col("_t"), F.col("_span.t0"), F.col("_span.t1"), tie_buckets))
-            .drop("_span"))
+    base = (df.withColumn("_x", value.cast("double")).withColumn("_b", slot_of(F.col("_x")))
+            .withColumn("_tb", slot_of(tie.cast("double"), 4096)))
     cells = base.groupBy(*part, "_b", "_x", "_tb").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.unboundedPreceding
     slots = cells.groupBy(*part, "_b").agg(F.sum("_n").alias("_m")).select(
@@ -204,13 +199,9 @@ def rank_all(df, value, tie, name, part=(), buckets=65536, tie_buckets=64) -> Da
     inside = Window.partitionBy(*part, "_x", "_tb").orderBy(tie)
     return (base.join(shift, [*part, "_x", "_tb"])
             .withColumn(name, (F.row_number().over(inside) + F.col("_shift")).cast("long"))
-            .drop("_x", "_t", "_b", "_tb", "_shift"))
+            .drop("_x", "_b", "_tb", "_shift"))
 
 
 def decay_reach(factor: float, eps: float = 1e-19) -> int:
     """Rows after which factor**k is below eps."""
     return math.ceil(math.log(eps) / math.log(factor))
-
-
-def is_local(path: str) -> bool:
-    return os.path.isabs(path)

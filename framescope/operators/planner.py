@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framescope.functions import arrays as A
 from framescope.functions import scalar as S
 from framescope.operators import features, layout
-from framescope.operators.quantiles import quantiles
+from framescope.operators.quantiles import quantiles, quantiles_of
 
 # Fixed values.
 PEAK_MIN, PEAK_MAX = 1.05, 1.35
@@ -33,9 +33,9 @@ def frames_in(ms: float, frame_samples: int, rate: float = 48000.0) -> int:
 def with_raw_scale(frames: DataFrame, strong=0.94, medium=0.85, onset=0.92, silence_db=40.0, bands: int = 9) -> DataFrame:
     """Needs weighted_flux, onset, loudness_db, band_flux and telemetry; adds silent, broadband, raw."""
     f = features.broadband(frames, bands)
-    q = (quantiles(frames, "weighted_flux", {"_strong": strong, "_medium": medium})
-         .join(quantiles(frames, "onset", {"_onset": onset}), "stream_id")
-         .join(quantiles(frames, "loudness_db", {"_median": 0.5}), "stream_id"))
+    flux = F.col("weighted_flux")
+    q = quantiles_of(frames, {"_strong": (flux, strong), "_medium": (flux, medium),
+                              "_onset": (F.col("onset"), onset), "_median": (F.col("loudness_db"), 0.5)})
     f = layout.attach(f, q).withColumn("silent", F.col("loudness_db") < F.col("_median") - S.d(silence_db))
     raw = S.raw_scale("silent", "weighted_flux", "onset", "broadband", "_strong", "_medium", "_onset")
     return f.withColumn("raw", raw).drop("_strong", "_medium", "_onset", "_median")
@@ -70,9 +70,8 @@ def redistribution_risk(frames: DataFrame, frame_samples: int = 960) -> DataFram
     """Needs raw, silent, loudness_db, complexity, in_steal; adds eligible and risk."""
     ahead = frames_in(PRE_ECHO_MS, frame_samples)
     behind = frames_in(TRANSITION_MS, frame_samples)
-    some = frames.where(~F.col("silent"))
-    med = quantiles(some, "loudness_db", {"_loud": 0.5}).join(
-        quantiles(frames, "loudness_db", {"_all": 0.5}), "stream_id", "right").select(
+    loud = F.when(~F.col("silent"), F.col("loudness_db"))
+    med = quantiles_of(frames, {"_loud": (loud, 0.5), "_all": (F.col("loudness_db"), 0.5)}).select(
         "stream_id", F.coalesce("_loud", "_all").alias("_med"))
 
     def pre_echo(w):
@@ -105,14 +104,25 @@ def redistribute(frames: DataFrame) -> DataFrame:
 
 
 def enforce_budget(frames: DataFrame, scale: str = "envelope", target=1.0, lo=0.50, hi=1.35, passes: int = 4, keys=KEYS) -> DataFrame:
-    """Scale to the target mean and clip, `passes` times.  The chain reads its input once per pass,
-    so the input should be a stored table or cheap."""
-    f = frames.withColumn(scale, F.greatest(S.d(lo), F.least(F.col(scale), S.d(hi))))
+    """Scale to the target mean and clip, `passes` times.  Each pass only adds one factor per stream,
+    so the chain grows by one reading of the input per pass; the input should be a stored table or cheap."""
+    keys = list(keys)
+
+    def clip(x):
+        return F.greatest(S.d(lo), F.least(x, S.d(hi)))
+
+    def scaled():
+        return F.aggregate("_factors", clip(F.col(scale)), lambda x, k: clip(x * k))
+
+    factors = None
     for _ in range(passes):
-        f = layout.attach(f, f.groupBy(*keys).agg(F.avg(scale).alias("_mean")), keys)
-        new = F.greatest(S.d(lo), F.least(F.col(scale) * (S.d(target) / F.col("_mean")), S.d(hi)))
-        f = f.withColumn(scale, F.when(F.col("_mean") > 0, new).otherwise(F.col(scale))).drop("_mean")
-    return f
+        now = frames if factors is None else layout.attach(frames, factors, keys)
+        current = clip(F.col(scale)) if factors is None else scaled()
+        past = F.array().cast("array<double>") if factors is None else F.any_value("_factors")
+        mean = F.avg("_now")
+        new = F.when(mean > 0, S.d(target) / mean).otherwise(S.d(1))
+        factors = now.withColumn("_now", current).groupBy(*keys).agg(F.concat(past, F.array(new)).alias("_factors"))
+    return layout.attach(frames, factors, keys).withColumn(scale, scaled()).drop("_factors")
 
 
 def renormalise(frames: DataFrame, scale: str, keys=KEYS) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The built-in exact percentile keeps every distinct value of a group in one
 task.  Here values are counted first, counts are put into ordered slots, and
-only the slots that hold a wanted rank are sorted.
+only the slots that hold a wanted rank are sorted.  Several columns share the
+same pass.
 """
 
 from __future__ import annotations
@@ -10,49 +11,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framescope.operators.layout import KEYS
+from framescope.operators.layout import KEYS, slot_of
 
 
-def quantiles(df: DataFrame, column, probs: dict[str, float], keys=KEYS, buckets: int = 65536) -> DataFrame:
+def quantiles(df: DataFrame, column, probs: dict[str, float], keys=KEYS) -> DataFrame:
     """One row per key: column `name` = value at (n-1)*p, linear between neighbours.
-    `probs` values may also be "index" positions given as ("at", p): element int(n*p)."""
-    keys = list(keys)
+    A p given as ("at", p) picks the element at index int(n*p) instead."""
     value = F.col(column) if isinstance(column, str) else column
-    counts = (df.select(*keys, value.cast("double").alias("_x")).where(F.col("_x").isNotNull())
-              .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    span = counts.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("b")).scalar()
-    counts = counts.withColumn("_s", span).withColumn(
-        "_b", F.when(F.col("_s.hi") > F.col("_s.lo"),
-                     F.floor((F.col("_x") - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo")) * F.lit(float(buckets))))
-        .otherwise(F.lit(0))).drop("_s")
-    slots = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"))
+    return quantiles_of(df, {name: (value, p) for name, p in probs.items()}, keys)
+
+
+def quantiles_of(df: DataFrame, specs: dict, keys=KEYS) -> DataFrame:
+    """`specs`: name -> (column, p).  Nulls are left out; a key without values is absent, and a
+    column without values for a key is null."""
+    keys = list(keys)
     upto = Window.unboundedPreceding
-    slots = slots.withColumn(
-        "_before", F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(upto, -1)), F.lit(0)))
+    columns: list = []
+    for col, _ in specs.values():
+        if not any(col is c for c in columns):
+            columns.append(col)
+    place = {name: next(i for i, c in enumerate(columns) if c is col) for name, (col, _) in specs.items()}
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("x")) for i, c in enumerate(columns)]))
+    group = [*keys, "_c"]
+    counts = (df.select(*keys, pairs.alias("_p")).select(*keys, F.col("_p.c").alias("_c"), F.col("_p.x").alias("_x"))
+              .where(F.col("_x").isNotNull()).groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_b", slot_of(F.col("_x"))))
+    slots = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_m"))
+    by_slot = Window.partitionBy(*group).orderBy("_b")
+    slots = (slots.withColumn("_upto", F.sum("_m").over(by_slot.rowsBetween(upto, 0)))
+             .withColumn("_all", F.sum("_m").over(Window.partitionBy(*group))))
 
     def position(p):
         if isinstance(p, tuple):
-            return F.floor(F.col("_n") * F.lit(float(p[1]))).cast("double")
-        return (F.col("_n") - 1) * F.lit(float(p))
-
-    wanted = slots.groupBy(*keys).agg(F.sum("_m").alias("_n")).select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), position(p).alias("h")) for name, p in probs.items()])).alias("_w"))
-    ranks = wanted.select(*keys, F.col("_w.q").alias("_q"), F.col("_w.h").alias("_h"),
-                          F.explode(F.array_distinct(F.array(F.floor("_w.h"), F.ceil("_w.h")))).alias("_r"))
-    cond = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_m"))
-    if keys:
-        hit = ranks.join(slots, keys).where(cond)
-    else:
-        # one row per probability on one side, at most `buckets` on the other
-        hit = ranks.withColumn("_k", F.lit(0)).join(slots.withColumn("_k", F.lit(0)), "_k").where(cond).drop("_k")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(upto, 0)
-    shortlist = counts.join(hit.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    ordered = shortlist.withColumn("_upto", F.sum("_c").over(inside))
-    found = (hit.join(ordered, [*keys, "_b"])
-             .where((F.col("_r") - F.col("_before") < F.col("_upto"))
-                    & (F.col("_r") - F.col("_before") >= F.col("_upto") - F.col("_c"))))
-    picked = found.groupBy(*keys, "_q").agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.max(F.col("_h") - F.floor("_h")).alias("_f"))
-    picked = picked.withColumn("_v", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in probs])
+            return F.floor(F.col("_all") * F.lit(float(p[1]))).cast("double")
+        return (F.col("_all") - 1) * F.lit(float(p))
+
+    wanted = F.explode(F.filter(F.array(*[
+        F.struct(F.lit(name).alias("q"), F.lit(place[name]).alias("c"), position(p).alias("h"), r(position(p)).alias("r"))
+        for name, (_, p) in specs.items() for r in (F.floor, F.ceil)]),
+        lambda w: (w["c"] == F.col("_c")) & (w["r"] < F.col("_upto")) & (w["r"] >= F.col("_upto") - F.col("_m"))))
+    hit = slots.withColumn("_w", wanted).select(
+        *group, "_b", F.col("_w.q").alias("_q"), F.col("_w.h").alias("_h"),
+        (F.col("_w.r") - F.col("_upto") + F.col("_m")).alias("_r"))
+    shortlist = counts.join(hit.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
+    ordered = shortlist.withColumn("_seen", F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(upto, 0)))
+    found = hit.join(ordered, [*group, "_b"]).where((F.col("_r") < F.col("_seen")) & (F.col("_r") >= F.col("_seen") - F.col("_n")))
+    low, high = F.min("_x"), F.max("_x")
+    picked = found.groupBy(*keys, "_q").agg((low + (high - low) * F.max(F.col("_h") - F.floor("_h"))).alias("_v"))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in specs])

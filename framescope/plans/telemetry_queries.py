@@ -125,6 +125,6 @@ def j06(spark, sf):
  {s6('quantile_cont(value, 0.92)', 'onset')}, {s6('quantile_cont(value, 0.5)', 'median')} FROM tel GROUP BY 1"""))
 def w03(spark, sf):
     t = V.telemetry(spark, sf).select("stream_id", "activity", "value")
-    a = quantiles.quantiles(t, "activity", {"strong": 0.94, "medium": 0.85})
-    b = quantiles.quantiles(t, "value", {"onset": 0.92, "median": 0.5})
-    return a.join(b, "stream_id").select("stream_id", *[r6(c, c) for c in ("strong", "medium", "onset", "median")])
+    a, v = F.col("activity"), F.col("value")
+    q = quantiles.quantiles_of(t, {"strong": (a, 0.94), "medium": (a, 0.85), "onset": (v, 0.92), "median": (v, 0.5)})
+    return q.select("stream_id", *[r6(c, c) for c in ("strong", "medium", "onset", "median")])
