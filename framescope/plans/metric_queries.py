@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from framescope.functions import arrays as A
 from framescope.functions import scalar as S
-from framescope.functions import spectral
 from framescope.operators import features, layout, metrics, ranking
 from framescope.plans import views as V
 from framescope.plans.planner_queries import EDGES
@@ -19,7 +16,6 @@ ID = ["stream_id", "frame_index"]
 SONG = ["stream_id", "candidate"]
 BANDS = A.ranges(EDGES)
 BASE = "q16"
-CAND_EDGES = [0, 1, 2, 3, 4, 6, 9, 14, 22, 33]
 
 DD = "dd AS MATERIALIZED (SELECT * FROM ddft)"
 FM = f"""pw AS (SELECT k, w/max(w) OVER () AS w FROM (SELECT k, pow(10e0, (20*log10(greatest(12194e0*12194e0*f2*f2/greatest((f2+20.6e0*20.6e0)*sqrt((f2+107.7e0*107.7e0)*(f2+737.9e0*737.9e0))*(f2+12194e0*12194e0),1e-20),1e-20))+2)/20)*(1+0.45e0*exp(-0.5e0*pow((750e0*k-3200)/1400,2))) AS w
@@ -139,9 +135,8 @@ def j10(spark, sf):
     return ranking.only_listed(V.table(spark, sf, "events").select(F.col("user_id").alias("song")).distinct(), manifest)
 
 
-@query("j02_lag_alignment", with_views("pcm", f"""SELECT stream_id, frame_index, {s6('sum(pow(x-y,2))/64', 'mse')} FROM (SELECT a.stream_id, a.frame_index, a.n, a.x,
- lead(a.x, 20) OVER (PARTITION BY a.stream_id ORDER BY a.frame_index, a.n) AS y, lead(a.x, 127-a.n::int) OVER (PARTITION BY a.stream_id ORDER BY a.frame_index, a.n) AS z FROM smp a) WHERE z IS NOT NULL GROUP BY ALL""".replace(
-    "lead(a.x, 127-a.n::int) OVER (PARTITION BY a.stream_id ORDER BY a.frame_index, a.n)", "CASE WHEN a.frame_index < max(a.frame_index) OVER (PARTITION BY a.stream_id) THEN 1 END")).replace("WITH ", "WITH ").replace("\nSELECT", ",\n" + V.SQL["smp"] + "\nSELECT", 1))
+@query("j02_lag_alignment", with_views("smp", f"""SELECT stream_id, frame_index, {s6('sum(pow(x-y,2))/64', 'mse')} FROM (SELECT *,
+ lead(x, 20) OVER (PARTITION BY stream_id ORDER BY frame_index, n) AS y, max(frame_index) OVER (PARTITION BY stream_id) AS top FROM smp) WHERE frame_index<top GROUP BY ALL"""))
 def j02(spark, sf):
     f = features.realigned(V.pcm_frames(spark, sf), "pcm", 20, 64, "late")
     return f.select(*ID, r6(A.mean_sq_diff("pcm", "late"), "mse"))
@@ -191,8 +186,8 @@ _TH = "(0.1e0/(0.15e0*0.15e0+pow(k*pi()/240,2)))"
 
 @query("a17_high_rate_index", with_views("dsmp", f"""SELECT stream_id, candidate, {s6('pow(avg(pow(e2,2)),0.25e0)', 'err4')}, {s6('pow(avg(pow(e4*e4,2)),1e0/16)', 'err16')}, {s6('any_value(rms)', 'rms')} FROM (
  SELECT stream_id, candidate, frame_index, sum(b2)/9 AS e2, sum(b4*b4)/9 AS e4 FROM (SELECT stream_id, candidate, frame_index, b,
-  sum((y2+{_TH})/(x2+{_TH})-ln((y2+{_TH})/(x2+{_TH}))-1)*(0.5e0+0.5e0*tanh(0.5e0*(22-b)))/any_value(width) AS b2,
-  sum((y2+10*{_TH})/(x2+10*{_TH})-ln((y2+10*{_TH})/(x2+10*{_TH}))-1)*(0.5e0+0.5e0*tanh(0.5e0*(22-b)))/any_value(width) AS b4 FROM qy GROUP BY ALL) GROUP BY ALL)
+  sum((y2+{_TH})/(x2+{_TH})-ln((y2+{_TH})/(x2+{_TH}))-1)*(0.5e0+0.5e0*tanh(0.5e0*(22-any_value(b))))/any_value(width) AS b2,
+  sum((y2+10*{_TH})/(x2+10*{_TH})-ln((y2+10*{_TH})/(x2+10*{_TH}))-1)*(0.5e0+0.5e0*tanh(0.5e0*(22-any_value(b))))/any_value(width) AS b4 FROM qy GROUP BY ALL) GROUP BY ALL)
  JOIN (SELECT stream_id, candidate, sqrt(avg(pow(x-y,2))) AS rms FROM dsmp GROUP BY ALL) USING (stream_id, candidate) GROUP BY ALL""",
     _pow_cte(_HANN), _mask_ctes(EDGES, "0", "3.16e-10", 6), _FWD,
     """qz AS (SELECT a.stream_id, a.frame_index, a.candidate, a.b, sum(p.e*pow(0.1e0, p.frame_index-a.frame_index)) AS e FROM (SELECT *, max(frame_index) OVER (PARTITION BY stream_id) AS top FROM qm) a
@@ -239,5 +234,3 @@ def a22(spark, sf):
     out = metrics.multi_resolution_distance(V.decoded_frames(spark, sf), "pcm", "dec", [64, 32, 16])
     return out.select(*SONG, r6("distance", "distance"))
 
-
-_ = (math, spectral)

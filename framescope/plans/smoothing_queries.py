@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from framescope.functions import arrays as A
 from framescope.functions import scalar as S
-from framescope.operators import layout
 from framescope.operators import smoothing as M
 from framescope.plans import views as V
 from framescope.plans.packet_queries import recursion
@@ -163,5 +162,3 @@ def w36(spark, sf):
     t = V.telemetry(spark, sf).select(*ID, F.array(S.db20("value")).alias("c"))
     return M.delta_cepstrum(t, "c").select(*ID, *[r6(F.col(c)[0], c) for c in ("level", "delta", "delta2")])
 
-
-_ = layout
