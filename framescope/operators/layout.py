@@ -144,13 +144,15 @@ def running(df, specs, keys=KEYS, order=ORDER, reverse=False, exclusive=False) -
                _OVER[specs[m][0]](F.col(f"_v_{m}")).over(frame)).alias(m) for m in names])
 
 
-def attach(df, stats, keys=KEYS, order=ORDER) -> DataFrame:
+def attach(df, stats, keys=KEYS, order=ORDER, source=None) -> DataFrame:
     """Joins per-stream values to rows without ever hashing rows on the stream
-    alone: the values are first spread to the stream's segments."""
+    alone: the values are first spread to the stream's segments.  `source`: a
+    cheaper table with the same keys and positions to find the segments in."""
     keys = list(keys)
     n = segment_length(df.sparkSession)
     rows = df.withColumn("_seg", segment_of(order, n))
-    spread = rows.select(*keys, "_seg").distinct().join(stats, keys)
+    found = (df if source is None else source).select(*keys, segment_of(order, n).alias("_seg")).distinct()
+    spread = found.join(stats, keys)
     return rows.join(spread, [*keys, "_seg"]).drop("_seg")
 
 

@@ -138,7 +138,7 @@ def _mask_frames(frames, pairs, bands, keys, gain, offset, window, floor, down_f
     if backward:
         # the frame before the last takes nothing from the last one
         last = frames.groupBy(*keys).agg(F.max("frame_index").alias("_last"))
-        f = layout.attach(f, last, keys)
+        f = layout.attach(f, last, keys, source=frames)
         for i in range(len(pairs)):
             zero = F.transform(F.col(f"m{i}"), lambda x: S.d(0))
             f = f.withColumn("_v", F.when(F.col("frame_index") == F.col("_last"), zero).otherwise(F.col(f"m{i}")))
