@@ -79,9 +79,10 @@ def mix_at_snr(speech: str, noise: str, snr_db):
     return A.add(speech, A.scale(noise, gain))
 
 
-def random_partner(items: DataFrame, pool: DataFrame, ident, seed: int, name: str, size: int) -> DataFrame:
-    """Pairs every item with a pool row chosen by its id.  `pool` has a dense `pool_index` of `size` rows."""
-    return items.withColumn("pool_index", S.draw_int(ident, seed, name, F.lit(size))).join(pool, "pool_index")
+def random_partner(items: DataFrame, pool: DataFrame, ident, seed: int, name: str) -> DataFrame:
+    """Pairs every item with a pool row chosen by its id.  `pool` has a dense `pool_index`."""
+    size = pool.agg(F.count(F.lit(1))).scalar()
+    return items.withColumn("pool_index", S.draw_int(ident, seed, name, size)).join(pool, "pool_index")
 
 
 def augmentation(items: DataFrame, ident, seed: int, length: int, clean_share: float = 0.25) -> DataFrame:
@@ -112,10 +113,10 @@ def apply_augmentation(items: DataFrame, speech: str, noise: str, out: str = "mi
     return items.withColumn(out, F.when(F.col("stays_clean"), F.col(speech)).otherwise(mixed))
 
 
-def loss_for_sequences(seqs: DataFrame, loss: DataFrame, ident, trace_length: int, length: int, seed: int) -> DataFrame:
+def loss_for_sequences(seqs: DataFrame, loss: DataFrame, ident, length: int, seed: int) -> DataFrame:
     """Every sequence reads `length` loss flags from its own random offset of one trace."""
-    span = max(1, trace_length - length)
-    s = seqs.withColumn("loss_offset", S.draw_int(ident, seed, "offset", F.lit(span)))
+    span = F.greatest(F.lit(1), loss.agg(F.count(F.lit(1))).scalar() - length)
+    s = seqs.withColumn("loss_offset", S.draw_int(ident, seed, "offset", span))
     s = s.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("seq", F.col("loss_offset") + F.col("_j"))
     return s.join(loss, "seq").withColumnRenamed("_j", "position").drop("seq")
 

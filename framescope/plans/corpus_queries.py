@@ -87,13 +87,12 @@ def t05(spark, sf):
     return corpus.sample(V.table(spark, sf, "documents").select("doc_id"), "doc_id", 50, 29)
 
 
-@query("j12_random_noise", with_views("pcm", f"""SELECT t.stream_id, t.frame_index, noise_id::bigint AS noise_id, {s6('sum(pow(t.x+n.x,2))', 'energy')} FROM (SELECT p.*, floor({draw_sql('p.stream_id*100000+p.frame_index', 31, 'noise')}*(SELECT count(*) FROM embeddings WHERE vec_id<64))::bigint AS noise_id, i, pcm[i] AS x FROM pcm p, range(1,65) r(i)) t
- JOIN (SELECT vec_id, i, embedding[i]::double AS x FROM embeddings, range(1,65) r(i) WHERE vec_id<64) n ON n.vec_id=t.noise_id AND n.i=t.i GROUP BY ALL"""))
+@query("j12_random_noise", with_views("pcm", f"""SELECT t.stream_id, t.frame_index, noise_id::bigint AS noise_id, {s6('sum(pow(t.x+n.x,2))', 'energy')} FROM (SELECT p.*, floor({draw_sql('p.stream_id*100000+p.frame_index', 31, 'noise')}*(SELECT count(*) FROM embeddings))::bigint AS noise_id, i, pcm[i] AS x FROM pcm p, range(1,65) r(i)) t
+ JOIN (SELECT vec_id, i, embedding[i]::double AS x FROM embeddings, range(1,65) r(i)) n ON n.vec_id=t.noise_id AND n.i=t.i GROUP BY ALL"""))
 def j12(spark, sf):
-    """The noise pool is the first 64 vectors, a dense list of a fixed size."""
-    pool = V.table(spark, sf, "embeddings").where("vec_id < 64").select(
+    pool = V.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("pool_index"), F.col("embedding").cast("array<double>").alias("noise"))
-    f = corpus.random_partner(V.pcm_frames(spark, sf), pool, F.col("stream_id") * 100000 + F.col("frame_index"), 31, "noise", 64)
+    f = corpus.random_partner(V.pcm_frames(spark, sf), pool, F.col("stream_id") * 100000 + F.col("frame_index"), 31, "noise")
     return f.select(*ID, F.col("pool_index").alias("noise_id"), r6(A.energy(A.add("pcm", "noise")), "energy"))
 
 
@@ -101,10 +100,10 @@ def loss_rows(spark, sf):
     return V.table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_type") == "error").cast("int").alias("lost"))
 
 
-@query("j13_loss_for_sequences", f"""SELECT s.doc_id, j AS position, e.event_id AS seq, (e.event_type='error')::int AS lost FROM (SELECT doc_id, floor({draw_sql('doc_id', 37, 'offset')}*(1000-10))::bigint AS o FROM documents) s, range(0,10) r(j) JOIN events e ON e.event_id=s.o+j""")
+@query("j13_loss_for_sequences", f"""SELECT s.doc_id, j AS position, e.event_id AS seq, (e.event_type='error')::int AS lost FROM (SELECT doc_id, floor({draw_sql('doc_id', 37, 'offset')}*((SELECT count(*) FROM events)-10))::bigint AS o FROM documents) s, range(0,10) r(j) JOIN events e ON e.event_id=s.o+j""")
 def j13(spark, sf):
     seqs = V.table(spark, sf, "documents").select("doc_id")
-    rows = corpus.loss_for_sequences(seqs, loss_rows(spark, sf), F.col("doc_id"), 1000, 10, 37)
+    rows = corpus.loss_for_sequences(seqs, loss_rows(spark, sf), F.col("doc_id"), 10, 37)
     return rows.select("doc_id", F.col("position").cast("long").alias("position"), (F.col("loss_offset") + F.col("position")).alias("seq"), "lost")
 
 
@@ -113,10 +112,10 @@ _D = lambda n: draw_sql(_KEY, 41, n)
 
 
 @query("k10_masked_features", f"""SELECT doc_id, j AS position, {s6('kept*(2*burst-1)', 'state')}, {s6('kept*burst*1 + kept*burst*2 + kept*3 + kept*4', 'total')} FROM (SELECT *, 1-(1-(1-lost)*({_D('extra')}>0.02e0)::int)*({_D('break')}>0.1e0)::int AS kept, ({_D('burst')}>0.1e0)::int AS burst FROM (
- SELECT s.doc_id, j, (e.event_type='error')::int AS lost FROM (SELECT doc_id, floor({draw_sql('doc_id', 37, 'offset')}*(1000-10))::bigint AS o FROM documents) s, range(0,10) r(j) JOIN events e ON e.event_id=s.o+j))""")
+ SELECT s.doc_id, j, (e.event_type='error')::int AS lost FROM (SELECT doc_id, floor({draw_sql('doc_id', 37, 'offset')}*((SELECT count(*) FROM events)-10))::bigint AS o FROM documents) s, range(0,10) r(j) JOIN events e ON e.event_id=s.o+j))""")
 def k10(spark, sf):
     seqs = V.table(spark, sf, "documents").select("doc_id", A.lits([1, 2, 3, 4]).alias("f"))
-    rows = corpus.loss_for_sequences(seqs, loss_rows(spark, sf), F.col("doc_id"), 1000, 10, 37)
+    rows = corpus.loss_for_sequences(seqs, loss_rows(spark, sf), F.col("doc_id"), 10, 37)
     m = corpus.mask_features(rows, F.col("doc_id"), 41, "f", 2)
     return m.select("doc_id", F.col("position").cast("long").alias("position"), r6("state", "state"), r6(A.total("masked"), "total"))
 

@@ -61,12 +61,12 @@ def t06(spark, sf):
 
 def pitch_pairs(spark, sf):
     f = V.pitch_frames(spark, sf)
-    test = f.where(F.col("frame_index") < 50).select("item", "frame_index", F.col("estimate").alias("test_pitch"),
+    test = f.where(F.col("estimate") > 0).select("item", "frame_index", F.col("estimate").alias("test_pitch"),
                                                     ((F.col("event_id") % 7 != 0).cast("int") * F.col("voicing")).alias("test_voicing"))
     return f.join(test, ["item", "frame_index"])
 
 
-PP = "pp AS (SELECT *, estimate AS test_pitch, CASE WHEN event_id%7<>0 THEN voicing ELSE 0 END AS test_voicing FROM f0 WHERE frame_index<50)"
+PP = "pp AS (SELECT *, estimate AS test_pitch, CASE WHEN event_id%7<>0 THEN voicing ELSE 0 END AS test_voicing FROM f0 WHERE estimate>0)"
 
 
 @query("j07_pitch_pairs", with_views("f0", f"SELECT item, frame_index, {s6('pitch', 'pitch')}, {s6('test_pitch', 'test_pitch')} FROM pp", PP))
@@ -126,18 +126,27 @@ def j08(spark, sf):
     return E.best_shift_matches(f)
 
 
+CELL = "cell AS (SELECT item*1000 + bitrate//300 + (CASE condition WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS item, score FROM scores)"
+
+
+def cells(spark, sf):
+    """Every item, rate and condition as one scored item of its own."""
+    c = F.col("condition")
+    code = F.when(c == "A", 0).when(c == "N", 1).otherwise(2)
+    return V.scores(spark, sf).select((F.col("item") * 1000 + F.floor(F.col("bitrate") / S.d(300)) + code).alias("item"), "score")
+
+
 @query("a32_extremes_mean", with_views("scores", f"""SELECT {s6('avg(score)', 'mean')}, {s6('sum(score) FILTER (WHERE lo<=20)/20', 'bottom_mean')}, {s6('sum(score) FILTER (WHERE hi<=20)/20', 'top_mean')} FROM
- (SELECT score, row_number() OVER (ORDER BY score, item) AS lo, row_number() OVER (ORDER BY score DESC, item DESC) AS hi FROM scores WHERE bitrate=3000 AND condition='N')"""))
+ (SELECT score, row_number() OVER (ORDER BY score, item) AS lo, row_number() OVER (ORDER BY score DESC, item DESC) AS hi FROM cell)""", CELL))
 def a32(spark, sf):
-    s = V.scores(spark, sf).where((F.col("bitrate") == 3000) & (F.col("condition") == "N"))
+    s = cells(spark, sf)
     return E.extremes_mean(s, 1, "item").select(*[r6(c, c) for c in ("mean", "bottom_mean", "top_mean")])
 
 
-@query("t03_listing", with_views("scores", """SELECT item, pos AS position, part FROM (SELECT item, row_number() OVER (ORDER BY score, item)-1 AS pos, count(*) OVER () AS n FROM scores WHERE bitrate=3000 AND condition='N'), LATERAL (
- SELECT unnest(['bottom','top','middle']) AS part) WHERE (part='bottom' AND pos<20) OR (part='top' AND pos>=n-20) OR (part='middle' AND pos>n//2-10 AND pos<=n//2+10)"""))
+@query("t03_listing", with_views("scores", """SELECT item, pos AS position, part FROM (SELECT item, row_number() OVER (ORDER BY score, item)-1 AS pos, count(*) OVER () AS n FROM cell), LATERAL (
+ SELECT unnest(['bottom','top','middle']) AS part) WHERE (part='bottom' AND pos<20) OR (part='top' AND pos>=n-20) OR (part='middle' AND pos>n//2-10 AND pos<=n//2+10)""", CELL))
 def t03(spark, sf):
-    s = V.scores(spark, sf).where((F.col("bitrate") == 3000) & (F.col("condition") == "N"))
-    return E.listing(s, "item").select("item", "position", "part")
+    return E.listing(cells(spark, sf), "item").select("item", "position", "part")
 
 
 @query("f08_complete_results", with_views("scores", "SELECT item FROM scores WHERE condition IN ('A','N','R') GROUP BY 1 HAVING count(DISTINCT condition)=3"))

@@ -142,9 +142,9 @@ def h03(spark, sf):
 
 
 def bit_plan(spark, sf):
-    """A plan for every third frame; some of its values are not positive."""
+    """A plan that names some frames only; some of its values are not positive."""
     t = V.telemetry(spark, sf)
-    return t.where(F.col("frame_index") % 3 == 1).select(
+    return t.where(F.col("event_type") == "purchase").select(
         "stream_id", "frame_index", ((F.col("event_id") % 9 - 2) * 8000).alias("target_bitrate_bps"))
 
 
@@ -155,7 +155,7 @@ def plan_in_force(frames, plan, value, default):
     return f.withColumn("in_force", F.coalesce("_last", default)).drop("_v", "_last")
 
 
-@query("j05_plan_in_force", with_views("tel", """SELECT stream_id, frame_index, coalesce(last_value(CASE WHEN frame_index%3=1 AND event_id%9>2 THEN (event_id%9-2)*8000 END IGNORE NULLS)
+@query("j05_plan_in_force", with_views("tel", """SELECT stream_id, frame_index, coalesce(last_value(CASE WHEN event_type='purchase' AND event_id%9>2 THEN (event_id%9-2)*8000 END IGNORE NULLS)
  OVER (PARTITION BY stream_id ORDER BY frame_index), requested_bitrate_bps) AS in_force FROM tel"""))
 def j05(spark, sf):
     t = V.telemetry(spark, sf).select("stream_id", "frame_index", "requested_bitrate_bps")
@@ -164,18 +164,19 @@ def j05(spark, sf):
 
 
 @query("j01_zip_streams", with_views("tel", f"""SELECT a.stream_id, a.frame_index, a.packet_bytes, {s6('b.value', 'loudness')} FROM tel a
- JOIN (SELECT * FROM tel WHERE event_type<>'x' AND frame_index<40) b USING (stream_id, frame_index)"""))
+ JOIN (SELECT * FROM tel WHERE event_type<>'error') b USING (stream_id, frame_index)"""))
 def j01(spark, sf):
     t = V.telemetry(spark, sf)
-    short = t.where(F.col("frame_index") < 40).select("stream_id", "frame_index", F.col("value").alias("v"))
+    short = t.where(F.col("event_type") != "error").select("stream_id", "frame_index", F.col("value").alias("v"))
     return t.select("stream_id", "frame_index", "packet_bytes").join(short, ["stream_id", "frame_index"]).select(
         "stream_id", "frame_index", "packet_bytes", r6("v", "loudness"))
 
 
-@query("u04_truncated_frames", with_views("tel", """(SELECT stream_id, frame_index, 'common' AS side FROM (SELECT stream_id, frame_index FROM tel INTERSECT SELECT stream_id, frame_index FROM tel WHERE frame_index<60))
- UNION ALL (SELECT stream_id, frame_index, 'lost' FROM (SELECT stream_id, frame_index FROM tel EXCEPT SELECT stream_id, frame_index FROM tel WHERE frame_index<60))"""))
+@query("u04_truncated_frames", with_views("tel", """(SELECT stream_id, frame_index, 'common' AS side FROM (SELECT stream_id, frame_index FROM tel INTERSECT SELECT stream_id, frame_index FROM tel WHERE event_type<>'error'))
+ UNION ALL (SELECT stream_id, frame_index, 'lost' FROM (SELECT stream_id, frame_index FROM tel EXCEPT SELECT stream_id, frame_index FROM tel WHERE event_type<>'error'))"""))
 def u04(spark, sf):
-    keys = V.telemetry(spark, sf).select("stream_id", "frame_index")
-    short = keys.where(F.col("frame_index") < 60)
+    t = V.telemetry(spark, sf)
+    keys = t.select("stream_id", "frame_index")
+    short = t.where(F.col("event_type") != "error").select("stream_id", "frame_index")
     return (keys.intersect(short).withColumn("side", F.lit("common"))
             .unionByName(keys.exceptAll(short).withColumn("side", F.lit("lost"))))
