@@ -54,7 +54,6 @@ def split_batch(data: np.ndarray, start: np.ndarray, length: np.ndarray):
     s = read_size(var2)
     ok &= ~(var2 & ((s < 0) | (s > left)))
     sizes[var2, 0] = s[var2]
-    pos = np.where(var2, pos + s, pos)
     last = np.where(var2, left - s, last)
     # counted frames
     many = ok & (code == 3)
@@ -89,7 +88,6 @@ def split_batch(data: np.ndarray, start: np.ndarray, length: np.ndarray):
         on &= ok
         sizes[on, i] = s[on]
         last = np.where(on, last - (before - left) - s, last)
-        pos = np.where(on, pos + s, pos)
     ok &= ~(vbr & (last < 0))
     cbr = many & ~vbr
     each = left // np.maximum(count, 1)

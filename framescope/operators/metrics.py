@@ -361,10 +361,14 @@ def vocoder_index(frames: DataFrame, ref: str, dec: str, bands, keys=SONG, gain:
                                   (S.d(100) * F.pow(F.avg("e4"), S.d(1 / 16)) / scale).alias("err16"))
 
 
-def pitch_peak_error(frames: DataFrame, ref: str, dec: str, frame: int, lo: int, hi: int, keys=SONG) -> DataFrame:
-    """Difference of the correlation peak at the reference's best lag, over frames where it is above .7."""
-    f = frames.select(*keys, A.autocorrelation(A.pre_emphasis(ref, k=0.8), frame, hi, frame).alias("_x"),
-                      A.autocorrelation(A.pre_emphasis(dec, k=0.8), frame, hi, frame).alias("_y"))
+def pitch_peak_error(frames: DataFrame, ref: str, dec: str, frame: int, lo: int, hi: int, keys=SONG, gain: float = 32768.0) -> DataFrame:
+    """Difference of the correlation peak at the reference's best lag, over frames where it is above .7.
+    Each row holds frame + hi + 1 samples ending with the frame; the first one only feeds the filter."""
+    def peaks(col):
+        filtered = F.slice(A.pre_emphasis(A.scale(col, S.d(gain)), k=0.8), 2, frame + hi)
+        return A.autocorrelation(filtered, frame, hi, frame)
+
+    f = frames.select(*keys, peaks(ref).alias("_x"), peaks(dec).alias("_y"))
     part = F.slice("_x", lo + 1, hi - lo + 1)
     best = F.array_position(part, F.array_max(part)).cast("int") + F.lit(lo)
     f = f.withColumn("_k", best)

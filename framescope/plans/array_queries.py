@@ -182,4 +182,13 @@ def x17(spark, sf):
     return embedding_distance(e, d).select("item", r6("distance", "distance"))
 
 
+@query("j11_reference_and_degraded", f"""SELECT vec_id AS item, label, {s6('sqrt(sum(pow(x-round_even(x*16,0)::double/16,2)))', 'distance')} FROM (SELECT vec_id, label, unnest(embedding)::double AS x FROM embeddings) GROUP BY ALL""")
+def j11(spark, sf):
+    """Equi-join on the item, one distance per pair; no pair of different items is ever formed."""
+    from framescope.operators.evaluation import embedding_distance
+    e = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label", F.col("embedding").cast("array<double>").alias("reference"))
+    d = e.select("item", F.transform("reference", lambda x: F.rint(x * 16) / 16).alias("degraded"))
+    return embedding_distance(e, d).join(e.select("item", "label"), "item").select("item", "label", r6("distance", "distance"))
+
+
 assert EDGES[-1] == 33

@@ -208,7 +208,7 @@ def a20(spark, sf):
 def a18(spark, sf):
     f = V.decoded_frames(spark, sf)
     out = metrics.vocoder_index(f, "pcm", "dec", BANDS)
-    pitch = metrics.pitch_peak_error(f, "pcm", "dec", 32, 4, 32)
+    pitch = metrics.pitch_peak_error(f, "pcm", "dec", 31, 4, 32)
     return out.join(pitch, SONG).select(*SONG, *[r6(c, c) for c in ("err4", "err16", "pitch_error")])
 
 
