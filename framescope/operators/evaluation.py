@@ -39,7 +39,8 @@ def box_summary(scores: DataFrame) -> DataFrame:
     s = F.col("score")
     q = quantiles_of(scores, {"q1": (s, 0.25), "median": (s, 0.5), "q3": (s, 0.75)}, keys)
     reach = S.d(1.5) * (F.col("q3") - F.col("q1"))
-    return scores.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    # few, large groups: the quartiles are spread over the items' segments, not joined on the group alone
+    return layout.attach(scores, q, keys, "item").groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(s >= F.col("q1") - reach, s)).alias("whisker_low"),
         F.max(F.when(s <= F.col("q3") + reach, s)).alias("whisker_high"))
 

@@ -27,14 +27,10 @@ def segment_length(spark: SparkSession) -> int:
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a private one only if it names none."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
@@ -43,9 +39,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and keeps later plans small."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Stores an intermediate result in the shared folder and reads it back: it survives lost
+    executors, later steps read only the columns they need, and their plans stay small."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def segment_of(order: str | Column, length: int) -> Column:

@@ -70,7 +70,15 @@ def k08(spark, sf):
     return d.select("doc_id", "start", r6("speech_gain", "speech_gain"), "clips", "quantises", "stays_clean", r6("dither", "dither"))
 
 
-@query("k08_augmented_signal")
+_W = lambda n: draw_sql("stream_id*100000+frame_index", 17, n)
+
+
+@query("k08_augmented_signal", with_views("smp", f"""SELECT stream_id, frame_index, {s6('sum(v*v)', 'energy')} FROM (SELECT stream_id, frame_index, CASE WHEN {_W('clean')}<0.25e0 THEN x WHEN {_W('quantise')}<0.5e0 THEN floor(0.5e0+c) ELSE c END AS v FROM (
+ SELECT *, CASE WHEN {_W('clip')}<0.25e0 THEN greatest(-32767e0, least(y, 32767e0)) ELSE y END AS c FROM (SELECT *, CASE WHEN n<st THEN 0 ELSE x*g END + z*ng*g AS y FROM (
+ SELECT a.stream_id, a.frame_index, a.n, a.x, b.x AS z, st, g, ng FROM smp a JOIN smp b ON b.stream_id=a.stream_id AND b.frame_index=a.frame_index-1 AND b.n=a.n
+ JOIN (SELECT stream_id, frame_index, CASE WHEN {_W('start?')}<0.75e0 THEN 0 ELSE least(floor(-1000*ln(greatest({_W('start')},1e-12))), 64) END AS st,
+  CASE WHEN {_W('mute')}<0.01e0 THEN 0 ELSE pow(10e0,(-30+floor({_W('speech')}*40))/20)*(CASE WHEN {_W('sign')}<0.5e0 THEN -1 ELSE 1 END)*(CASE WHEN {_W('faint')}<0.05e0 THEN 0.01e0 ELSE 1 END) END AS g,
+  (CASE WHEN {_W('no noise')}<0.5e0 THEN 0 ELSE pow(10e0,(-40+{_W('noise1')}*25+{_W('noise2')}*15)/20) END)*(CASE WHEN {_W('low noise')}<1e0/12 THEN 0.03e0 ELSE 1 END) AS ng FROM pcm) d ON d.stream_id=a.stream_id AND d.frame_index=a.frame_index)))) GROUP BY ALL"""))
 def k08b(spark, sf):
     f = layout.windowed(V.pcm_frames(spark, sf), {"noise": lambda w: F.lag("pcm").over(w)}, before=1).where(F.col("noise").isNotNull())
     f = corpus.augmentation(f, F.col("stream_id") * 100000 + F.col("frame_index"), 17, 64)

@@ -119,21 +119,41 @@ def payloads(spark, sf):
     return p.select("stream_id", "frame_index", "toc", F.concat(head, body).alias("payload"))
 
 
-@query("x01_packet_frames")
+_BYTE = "('0x' || substr(h, 2*pos+1, 2))::int"
+HX = f"""hx AS MATERIALIZED (SELECT stream_id, frame_index, toc, b1, len, {SPF_SQL} AS spf, b1 & 63 AS m, len-1 AS n, CASE WHEN b1<252 THEN 1 ELSE 2 END AS k,
+ CASE WHEN len<3 AND b1>=252 THEN -1 WHEN b1<252 THEN b1 ELSE 4*('0x'||substr(md5(event_id::varchar),1,2))::int + b1 END AS s,
+ printf('%02x%02x', toc, b1) || substr(repeat(md5(event_id::varchar), 130), 1, 2*(len-2)) AS h FROM pk)"""
+PAD = f"""pd AS (/*rec*/ SELECT stream_id, frame_index, 2::bigint AS pos, len-2 AS room, b1 & 64 = 0 AS done, m>0 AND m*spf<=5760 AS ok, 0::bigint AS pad FROM hx WHERE toc & 3 = 3 UNION ALL
+ SELECT stream_id, frame_index, pos+1, room-1-(CASE WHEN byte=255 THEN 254 ELSE byte END), byte<>255 OR room<=0, ok AND room>0, pad+(CASE WHEN byte=255 THEN 254 ELSE byte END) FROM
+ (SELECT pd.*, CASE WHEN room>0 THEN {_BYTE} ELSE 0 END AS byte FROM pd JOIN hx USING (stream_id, frame_index) WHERE ok AND NOT done))"""
+VBR = f"""vb AS (SELECT pd.stream_id, pd.frame_index, 0::bigint AS i, pos, room, room AS last, true AS ok, 0::bigint AS got FROM pd JOIN hx USING (stream_id, frame_index) WHERE done AND ok AND room>=0 AND b1 & 128 <> 0 UNION ALL
+ SELECT stream_id, frame_index, i+1, pos+used, room-used, last-used-size, size>=0 AND size<=room-used, size FROM (SELECT *, CASE WHEN room<1 OR (lead_ >= 252 AND room<2) THEN -1 WHEN lead_<252 THEN lead_ ELSE 4*('0x'||substr(h,2*pos+3,2))::int + lead_ END AS size,
+  CASE WHEN lead_<252 THEN 1 ELSE 2 END AS used FROM (SELECT vb.*, h, m, CASE WHEN room>0 THEN {_BYTE} ELSE 0 END AS lead_ FROM vb JOIN hx USING (stream_id, frame_index) WHERE ok AND i<m-1)))"""
+
+
+_VALID = """SELECT hx.stream_id, hx.frame_index, (CASE toc & 3 WHEN 0 THEN (CASE WHEN n<=1275 THEN 1 ELSE -1 END)
+ WHEN 1 THEN (CASE WHEN n%2=0 AND n//2<=1275 THEN 2 ELSE -1 END) WHEN 2 THEN (CASE WHEN s<0 OR s>n-k OR n-k-s>1275 THEN -1 ELSE 2 END)
+ ELSE (CASE WHEN pd.stream_id IS NULL OR room<0 THEN -1 WHEN b1 & 128 = 0 THEN (CASE WHEN room%m=0 AND room//m<=1275 THEN m ELSE -1 END) WHEN v.last BETWEEN 0 AND 1275 THEN m ELSE -1 END) END)::int AS frames
+ FROM hx LEFT JOIN (SELECT * FROM pd WHERE done AND ok) pd ON pd.stream_id=hx.stream_id AND pd.frame_index=hx.frame_index
+ LEFT JOIN (SELECT vb.stream_id, vb.frame_index, last FROM vb JOIN hx h2 ON h2.stream_id=vb.stream_id AND h2.frame_index=vb.frame_index WHERE ok AND i=m-1) v ON v.stream_id=hx.stream_id AND v.frame_index=hx.frame_index"""
+FRAMES = f"""ok_ AS MATERIALIZED (SELECT * FROM ({_VALID}) WHERE frames>0), fin AS MATERIALIZED (SELECT * FROM pd WHERE done AND ok),
+fr AS (SELECT stream_id, frame_index, toc, 0::bigint AS pad, f AS frame_no, CASE toc & 3 WHEN 0 THEN n WHEN 1 THEN n//2 ELSE CASE f WHEN 0 THEN s ELSE n-k-s END END AS frame_bytes FROM hx JOIN ok_ USING (stream_id, frame_index), range(0,2) r(f) WHERE toc & 3 <> 3 AND f < frames
+ UNION ALL SELECT hx.stream_id, hx.frame_index, toc, pad, f, room//m FROM hx JOIN ok_ USING (stream_id, frame_index) JOIN fin USING (stream_id, frame_index), range(0,48) r(f) WHERE toc & 3 = 3 AND b1 & 128 = 0 AND f < m
+ UNION ALL SELECT hx.stream_id, hx.frame_index, toc, pad, i-1, got FROM hx JOIN ok_ USING (stream_id, frame_index) JOIN fin USING (stream_id, frame_index) JOIN vb ON vb.stream_id=hx.stream_id AND vb.frame_index=hx.frame_index WHERE i BETWEEN 1 AND m-1
+ UNION ALL SELECT hx.stream_id, hx.frame_index, toc, pad, i, last FROM hx JOIN ok_ USING (stream_id, frame_index) JOIN fin USING (stream_id, frame_index) JOIN vb ON vb.stream_id=hx.stream_id AND vb.frame_index=hx.frame_index WHERE i = m-1)"""
+
+
+@query("x01_packet_frames", with_views("pk", "SELECT stream_id, frame_index, toc, pad AS padding, frame_no, frame_bytes FROM fr", HX, PAD, VBR, FRAMES))
 def x01(spark, sf):
     return P.packet_frames(payloads(spark, sf))
 
 
-@query("x01_packet_validity", with_views("pk", """SELECT stream_id, frame_index, CASE code WHEN 0 THEN (CASE WHEN n<=1275 THEN 1 ELSE -1 END)
- WHEN 1 THEN (CASE WHEN n%2=0 AND n//2<=1275 THEN 2 ELSE -1 END)
- ELSE (CASE WHEN s<0 OR s>n-k OR n-k-s>1275 THEN -1 ELSE 2 END) END::int AS frames FROM (SELECT *, len-1 AS n, toc&3 AS code, CASE WHEN b1<252 THEN 1 ELSE 2 END AS k,
- CASE WHEN len<3 AND b1>=252 THEN -1 WHEN b1<252 THEN b1 ELSE 4*('0x'||substr(md5(event_id::varchar),1,2))::int + b1 END AS s FROM pk WHERE toc&3<>3)"""))
+@query("x01_packet_validity", with_views("pk", _VALID, HX, PAD, VBR))
 def x01b(spark, sf):
-    p = payloads(spark, sf).where(F.col("toc").bitwiseAND(3) != 3)
-    return P.parse_packets(p).select("stream_id", "frame_index", F.coalesce(F.size("frame_sizes"), F.lit(-1)).alias("frames"))
+    return P.parse_packets(payloads(spark, sf)).select("stream_id", "frame_index", F.coalesce(F.size("frame_sizes"), F.lit(-1)).alias("frames"))
 
 
-@query("h03_parse_packet_udtf")
+@query("h03_parse_packet_udtf", with_views("pk", "SELECT stream_id, frame_index, frame_no, frame_bytes, true AS valid FROM fr UNION ALL SELECT stream_id, frame_index, NULL, NULL, false FROM hx ANTI JOIN ok_ USING (stream_id, frame_index)", HX, PAD, VBR, FRAMES))
 def h03(spark, sf):
     P.register_parse_packet(spark)
     payloads(spark, sf).createOrReplaceTempView("framescope_payloads")

@@ -72,7 +72,17 @@ def w21(spark, sf):
     return M.lookahead_features(t).select(*ID, "smooth_bandwidth", r6("smooth_tonality", "smooth_tonality"))
 
 
-@query("w22_switch_thresholds")
+W22 = """ar AS MATERIALIZED (SELECT stream_id, frame_index, least(25, max(frame_index) OVER (PARTITION BY stream_id)-frame_index+1) AS n, activity_probability AS v, music_prob AS m FROM tel),
+b22 AS MATERIALIZED (SELECT *, CASE WHEN n>15 THEN 5 ELSE 0 END AS m0, CASE WHEN n>15 THEN 1 ELSE 0 END AS v0, min(m) OVER w AS plo, max(m) OVER w AS phi FROM ar WINDOW w AS (PARTITION BY stream_id ORDER BY frame_index ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)),
+sw AS (/*rec*/ SELECT b.stream_id, b.frame_index, 0::bigint AS t, pv.v AS vp, greatest(0.1e0, pv.v) AS cnt, greatest(0.1e0, pv.v)*pm.m AS avg_, 1e0 AS lo, 0e0 AS hi FROM b22 b
+ JOIN ar pv ON pv.stream_id=b.stream_id AND pv.frame_index=b.frame_index+b.v0 JOIN ar pm ON pm.stream_id=b.stream_id AND pm.frame_index=b.frame_index+b.m0 UNION ALL
+ SELECT s.stream_id, s.frame_index, s.t+1, vp, cnt+greatest(0.1e0, pv.v), avg_+greatest(0.1e0, pv.v)*pm.m, least((avg_-10*(vp-pv.v))/cnt, lo), greatest((avg_+10*(vp-pv.v))/cnt, hi) FROM sw s JOIN b22 b ON b.stream_id=s.stream_id AND b.frame_index=s.frame_index
+ JOIN ar pv ON pv.stream_id=b.stream_id AND pv.frame_index=b.frame_index+b.v0+s.t+1 JOIN ar pm ON pm.stream_id=b.stream_id AND pm.frame_index=b.frame_index+b.m0+s.t+1 WHERE b.m0+s.t+1 < b.n),
+se AS (SELECT s.*, n, plo, phi, avg_/cnt AS mu, greatest(0, least(avg_/cnt, lo)) AS l, least(1, greatest(avg_/cnt, hi)) AS h FROM sw s JOIN b22 b ON b.stream_id=s.stream_id AND b.frame_index=s.frame_index WHERE t = n-1-m0)"""
+
+
+@query("w22_switch_thresholds", with_views("tel", f"""SELECT stream_id, frame_index, {s6('mu', 'smooth_music')}, {s6('CASE WHEN n<10 THEN l+(1-0.1e0*n)*(greatest(0, least(l, coalesce(plo,l))-0.1e0*vp)-l) ELSE l END', 'switch_low')},
+ {s6('CASE WHEN n<10 THEN h+(1-0.1e0*n)*(least(1, greatest(h, coalesce(phi,h))+0.1e0*vp)-h) ELSE h END', 'switch_high')} FROM se""", W22))
 def w22(spark, sf):
     t = V.telemetry(spark, sf).select(*ID, "activity_probability", "music_prob")
     return M.switch_thresholds(t).select(*ID, *[r6(c, c) for c in ("smooth_music", "switch_low", "switch_high")])
