@@ -36,7 +36,7 @@ def with_raw_scale(frames: DataFrame, strong=0.94, medium=0.85, onset=0.92, sile
     flux = F.col("weighted_flux")
     q = quantiles_of(frames, {"_strong": (flux, strong), "_medium": (flux, medium),
                               "_onset": (F.col("onset"), onset), "_median": (F.col("loudness_db"), 0.5)})
-    f = layout.attach(f, q).withColumn("silent", F.col("loudness_db") < F.col("_median") - S.d(silence_db))
+    f = layout.attach(f, q, source=frames).withColumn("silent", F.col("loudness_db") < F.col("_median") - S.d(silence_db))
     raw = S.raw_scale("silent", "weighted_flux", "onset", "broadband", "_strong", "_medium", "_onset")
     return f.withColumn("raw", raw).drop("_strong", "_medium", "_onset", "_median")
 
@@ -80,7 +80,7 @@ def redistribution_risk(frames: DataFrame, frame_samples: int = 960) -> DataFram
 
     f = layout.windowed(frames, {"pre_echo": pre_echo,
                                  "_recent": lambda w: F.max("loudness_db").over(w.rowsBetween(-behind, -2))}, behind, ahead)
-    f = layout.attach(f, med).withColumn("recent_max", F.coalesce("_recent", "_med"))
+    f = layout.attach(f, med, source=frames).withColumn("recent_max", F.coalesce("_recent", "_med"))
     contrast = F.greatest(S.d(0), F.col("recent_max") - F.col("loudness_db"))
     texture = F.exp(-F.pow(F.col("loudness_db") + S.d(50), S.d(2)) / S.d(2 * 15.0 ** 2))
     f = f.withColumn("eligible", ~F.col("silent") & ~F.col("in_steal") & (F.col("raw") < S.d(PEAK_MIN))
@@ -96,7 +96,7 @@ def redistribute(frames: DataFrame) -> DataFrame:
     f = frames.withColumn("_env", env)
     sums = f.groupBy("stream_id").agg(F.sum(F.col("raw") - F.col("_env")).alias("_stolen"), F.sum("risk").alias("_risk"),
                                       F.sum(F.col("eligible").cast("double")).alias("_count"))
-    f = layout.attach(f, sums)
+    f = layout.attach(f, sums, source=frames)
     share = (F.when(F.col("_risk") > 0, F.col("risk") / F.col("_risk"))
              .when(F.col("_count") > 0, F.col("eligible").cast("double") / F.col("_count")).otherwise(S.d(0)))
     give = F.when(F.col("_stolen") > 0, F.greatest(S.d(0), F.least(F.col("_stolen") * share, S.d(QUIET_MAX) - F.col("_env")))).otherwise(S.d(0))

@@ -1,9 +1,9 @@
 """Exact interpolated quantiles per stream.
 
 The built-in exact percentile keeps every distinct value of a group in one
-task.  Here values are counted first, counts are put into ordered slots, and
-only the slots that hold a wanted rank are sorted.  Several columns share the
-same pass.
+task.  Here ordered slots are counted first (map-side, so a large stream shuffles
+no more than its slots), and only values in slots that hold a wanted rank are
+shuffled and sorted.  Several columns share the same pass.
 """
 
 from __future__ import annotations
@@ -33,10 +33,9 @@ def quantiles_of(df: DataFrame, specs: dict, keys=KEYS) -> DataFrame:
     place = {name: next(i for i, c in enumerate(columns) if c is col) for name, (col, _) in specs.items()}
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("x")) for i, c in enumerate(columns)]))
     group = [*keys, "_c"]
-    counts = (df.select(*keys, pairs.alias("_p")).select(*keys, F.col("_p.c").alias("_c"), F.col("_p.x").alias("_x"))
-              .where(F.col("_x").isNotNull()).groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_b", slot_of(F.col("_x"))))
-    slots = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_m"))
+    values = (df.select(*keys, pairs.alias("_p")).select(*keys, F.col("_p.c").alias("_c"), F.col("_p.x").alias("_x"))
+              .where(F.col("_x").isNotNull()).withColumn("_b", slot_of(F.col("_x"))))
+    slots = values.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_m"))
     by_slot = Window.partitionBy(*group).orderBy("_b")
     slots = (slots.withColumn("_upto", F.sum("_m").over(by_slot.rowsBetween(upto, 0)))
              .withColumn("_all", F.sum("_m").over(Window.partitionBy(*group))))
@@ -53,7 +52,8 @@ def quantiles_of(df: DataFrame, specs: dict, keys=KEYS) -> DataFrame:
     hit = slots.withColumn("_w", wanted).select(
         *group, "_b", F.col("_w.q").alias("_q"), F.col("_w.h").alias("_h"),
         (F.col("_w.r") - F.col("_upto") + F.col("_m")).alias("_r"))
-    shortlist = counts.join(hit.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
+    shortlist = (values.join(hit.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
+                 .groupBy(*group, "_b", "_x").agg(F.count(F.lit(1)).alias("_n")))
     ordered = shortlist.withColumn("_seen", F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(upto, 0)))
     found = hit.join(ordered, [*group, "_b"]).where((F.col("_r") < F.col("_seen")) & (F.col("_r") >= F.col("_seen") - F.col("_n")))
     low, high = F.min("_x"), F.max("_x")

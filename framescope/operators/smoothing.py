@@ -227,7 +227,7 @@ def delta_cepstrum(frames: DataFrame, cepstrum: str) -> DataFrame:
 def activity_mask(frames: DataFrame, energy: str, stop_db: float = -70.0) -> DataFrame:
     """Five-frame moving mean (zeros outside) against the stream's largest energy."""
     f = layout.windowed(frames, {"_m": lambda w: F.sum(energy).over(w.rowsBetween(-2, 2)) / S.d(5)}, 2, 2)
-    f = layout.attach(f, frames.groupBy("stream_id").agg(F.max(energy).alias("_top")))
+    f = layout.attach(f, frames.groupBy("stream_id").agg(F.max(energy).alias("_top")), source=frames)
     return f.withColumn("active", (F.col("_m") >= F.col("_top") * S.d(10 ** (stop_db / 20))).cast("int")).drop("_m", "_top")
 
 

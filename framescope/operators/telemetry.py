@@ -49,7 +49,7 @@ def smooth_and_budget(segments: DataFrame) -> DataFrame:
 
     out = layout.windowed(segments, {"smoothed_difficulty": smooth}, 1, 1, KEYS, "segment_index")
     stats = segments.groupBy("stream_id").agg(F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sd"))
-    out = layout.attach(out, stats, KEYS, "segment_index")
+    out = layout.attach(out, stats, KEYS, "segment_index", source=segments)
     z = F.when(F.col("_sd") > S.d(1e-9), (F.col("smoothed_difficulty") - F.col("_mu")) / F.col("_sd")).otherwise(S.d(0))
     return (out.withColumn("budget_scale", S.clamp(S.d(1) + S.d(0.1) * z, 0.85, 1.15))
             .withColumn("segment_class", S.classify_segment("smoothed_difficulty")).drop("_mu", "_sd"))
