@@ -143,7 +143,7 @@ fr AS (SELECT stream_id, frame_index, toc, 0::bigint AS pad, f AS frame_no, CASE
  UNION ALL SELECT hx.stream_id, hx.frame_index, toc, pad, i, last FROM hx JOIN ok_ USING (stream_id, frame_index) JOIN fin USING (stream_id, frame_index) JOIN vb ON vb.stream_id=hx.stream_id AND vb.frame_index=hx.frame_index WHERE i = m-1)"""
 
 
-@query("x01_packet_frames", with_views("pk", "SELECT stream_id, frame_index, toc, pad AS padding, frame_no, frame_bytes FROM fr", HX, PAD, VBR, FRAMES))
+@query("x01_packet_frames", with_views("pk", "SELECT stream_id, frame_index, toc, pad AS padding, frame_no::int AS frame_no, frame_bytes::int AS frame_bytes FROM fr", HX, PAD, VBR, FRAMES))
 def x01(spark, sf):
     return P.packet_frames(payloads(spark, sf))
 
@@ -153,7 +153,7 @@ def x01b(spark, sf):
     return P.parse_packets(payloads(spark, sf)).select("stream_id", "frame_index", F.coalesce(F.size("frame_sizes"), F.lit(-1)).alias("frames"))
 
 
-@query("h03_parse_packet_udtf", with_views("pk", "SELECT stream_id, frame_index, frame_no, frame_bytes, true AS valid FROM fr UNION ALL SELECT stream_id, frame_index, NULL, NULL, false FROM hx ANTI JOIN ok_ USING (stream_id, frame_index)", HX, PAD, VBR, FRAMES))
+@query("h03_parse_packet_udtf", with_views("pk", "SELECT stream_id, frame_index, frame_no::int AS frame_no, frame_bytes::int AS frame_bytes, true AS valid FROM fr UNION ALL SELECT stream_id, frame_index, NULL, NULL, false FROM hx ANTI JOIN ok_ USING (stream_id, frame_index)", HX, PAD, VBR, FRAMES))
 def h03(spark, sf):
     P.register_parse_packet(spark)
     payloads(spark, sf).createOrReplaceTempView("framescope_payloads")

@@ -97,38 +97,38 @@ def risk_frames(spark, sf):
     return planner.redistribution_risk(layout.cut_lineage(planner.steal_ceiling(raw_frames(spark, sf))))
 
 
-@query("p07_raw_scale", with_views("mag tel", f"SELECT stream_id, frame_index, silent, {s6('raw', 'raw')} FROM rw", *upto(6)))
+@query("p07_raw_scale", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, silent, {s6('raw', 'raw')} FROM rw", *upto(6)))
 def p07(spark, sf):
     return raw_frames(spark, sf).select(*ID, "silent", r6("raw", "raw"))
 
 
-@query("w07_steal_ceiling", with_views("mag tel", f"SELECT stream_id, frame_index, {s6('coalesce(m, 1)', 'ceiling')} FROM sl LEFT JOIN cv USING (stream_id, frame_index)".replace("coalesce(m, 1)", "coalesce(cv.m, 1)"), *upto(7)))
+@query("w07_steal_ceiling", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, {s6('coalesce(m, 1)', 'ceiling')} FROM sl LEFT JOIN cv USING (stream_id, frame_index)".replace("coalesce(m, 1)", "coalesce(cv.m, 1)"), *upto(7)))
 def w07(spark, sf):
     f = planner.steal_ceiling(raw_frames(spark, sf).withColumn("complexity", S.d(1)))
     return f.select(*ID, r6("steal_ceil", "ceiling"))
 
 
-@query("w08_tonal_steal", with_views("mag tel", f"SELECT stream_id, frame_index, in_steal, {s6('ceil', 'ceiling')} FROM sl", *upto(7)))
+@query("w08_tonal_steal", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, in_steal, {s6('ceil', 'ceiling')} FROM sl", *upto(7)))
 def w08(spark, sf):
     return planner.steal_ceiling(raw_frames(spark, sf)).select(*ID, "in_steal", r6("steal_ceil", "ceiling"))
 
 
-@query("w05_recent_loudness", with_views("mag tel", f"SELECT stream_id, frame_index, {s6('recent', 'recent_max')} FROM rk", *upto(8)))
+@query("w05_recent_loudness", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, {s6('recent', 'recent_max')} FROM rk", *upto(8)))
 def w05(spark, sf):
     return risk_frames(spark, sf).select(*ID, r6("recent_max", "recent_max"))
 
 
-@query("w06_pre_echo", with_views("mag tel", f"SELECT stream_id, frame_index, {s6('pre', 'pre_echo')} FROM rk", *upto(8)))
+@query("w06_pre_echo", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, {s6('pre', 'pre_echo')} FROM rk", *upto(8)))
 def w06(spark, sf):
     return risk_frames(spark, sf).select(*ID, r6("pre_echo", "pre_echo"))
 
 
-@query("f02_eligible", with_views("mag tel", "SELECT stream_id, frame_index FROM rk WHERE elig", *upto(8)))
+@query("f02_eligible", with_views("mag tel", "SELECT stream_id::bigint AS stream_id, frame_index FROM rk WHERE elig", *upto(8)))
 def f02(spark, sf):
     return risk_frames(spark, sf).where("eligible").select(*ID)
 
 
-@query("w10_redistribution", with_views("mag tel", f"SELECT stream_id, frame_index, {s6('env', 'envelope')} FROM rd", *upto(9)))
+@query("w10_redistribution", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, {s6('env', 'envelope')} FROM rd", *upto(9)))
 def w10(spark, sf):
     return planner.redistribute(layout.cut_lineage(risk_frames(spark, sf))).select(*ID, r6("envelope", "envelope"))
 
@@ -145,7 +145,7 @@ def current(spark, sf):
     return planner.current_plan(base_frames(spark, sf), silence_db=SILENCE_DB)
 
 
-@query("h05_current_plan", with_views("mag tel", f"""SELECT stream_id, frame_index, {s6('e4', 'scale')}, {s6('wflux', 'weighted_flux')}, {s6('onset', 'onset')}, {s6('loud', 'loudness_db')}, silent::int AS silent,
+@query("h05_current_plan", with_views("mag tel", f"""SELECT stream_id::bigint AS stream_id, frame_index, {s6('e4', 'scale')}, {s6('wflux', 'weighted_flux')}, {s6('onset', 'onset')}, {s6('loud', 'loudness_db')}, silent::int AS silent,
  greatest(6000, round_even(requested*e4, 0)::bigint) AS target_bitrate_bps FROM bg4""", *CHAIN))
 def h05(spark, sf):
     p = R.PLANNERS["current"](spark, sf)
@@ -170,7 +170,7 @@ def early_frames(spark, sf):
     return V.telemetry(spark, sf).select(*ID, "activity", "noisiness", "tonality", "requested_bitrate_bps").join(f, ID)
 
 
-@query("w13_steal_and_recover", with_views("mag tel", f"SELECT stream_id, frame_index, stolen, {s6('env', 'envelope')} FROM rec", MG, FL, EARLY, EREC))
+@query("w13_steal_and_recover", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, stolen, {s6('env', 'envelope')} FROM rec", MG, FL, EARLY, EREC))
 def w13(spark, sf):
     from framescope.operators.quantiles import quantiles
     f = layout.cut_lineage(early_frames(spark, sf))
@@ -183,7 +183,7 @@ def early(spark, sf):
     return planner.early_plan(layout.cut_lineage(early_frames(spark, sf)))
 
 
-@query("h05_early_plan", with_views("mag tel", f"SELECT stream_id, frame_index, {s6('scale', 'scale')}, {s6('flux', 'flux')}, greatest(6000, round_even(requested_bitrate_bps*scale, 0)::bigint) AS target_bitrate_bps FROM en2", MG, FL, EARLY, EREC, EBACK))
+@query("h05_early_plan", with_views("mag tel", f"SELECT stream_id::bigint AS stream_id, frame_index, {s6('scale', 'scale')}, {s6('flux', 'flux')}, greatest(6000, round_even(requested_bitrate_bps*scale, 0)::bigint) AS target_bitrate_bps FROM en2", MG, FL, EARLY, EREC, EBACK))
 def h05b(spark, sf):
     p = R.PLANNERS["early"](spark, sf)
     return p.select(*ID, r6("scale", "scale"), r6("flux", "flux"), "target_bitrate_bps")

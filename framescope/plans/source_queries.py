@@ -77,7 +77,7 @@ def s02(spark, sf):
         "stream_id", F.lit("rejected").alias("outcome"), F.lit(0).cast("long").alias("blocks"), F.lit(None).cast("double").alias("energy")))
 
 
-@query("s03_read_telemetry", with_views("tel", f"""SELECT stream_id, frame_index, packet_bytes, analysis_valid, {s6("CASE WHEN event_id%10=0 THEN 0e0 ELSE round(tonality,6) END", 'tonality')}, {s6('round(activity,6)', 'activity')}, bandwidth::bigint AS bandwidth, 0::bigint AS in_dtx FROM tel"""))
+@query("s03_read_telemetry", with_views("tel", f"""SELECT stream_id, frame_index, packet_bytes, analysis_valid::bigint AS analysis_valid, {s6("CASE WHEN event_id%10=0 THEN 0e0 ELSE round(tonality,6) END", 'tonality')}, {s6('round(activity,6)', 'activity')}, bandwidth::bigint AS bandwidth, 0::bigint AS in_dtx FROM tel"""))
 def s03(spark, sf):
     path = layout.scratch_path(spark, "telemetry")
     t = V.telemetry(spark, sf)

@@ -93,7 +93,7 @@ def w04(spark, sf):
                                       r6("smoothed_difficulty", "smoothed_difficulty"), r6("budget_scale", "budget_scale"))
 
 
-@query("t01_extreme_segments", with_views("tel", f"""SELECT stream_id, segment_index, extreme, place, segment_class, {s6('smoothed_difficulty', 'smoothed_difficulty')}, {s6('budget_scale', 'budget_scale')} FROM (
+@query("t01_extreme_segments", with_views("tel", f"""SELECT stream_id, segment_index, extreme, place::int AS place, segment_class, {s6('smoothed_difficulty', 'smoothed_difficulty')}, {s6('budget_scale', 'budget_scale')} FROM (
  SELECT *, 'hardest' AS extreme, row_number() OVER (PARTITION BY stream_id ORDER BY smoothed_difficulty DESC, segment_index) AS place FROM sm
  UNION ALL SELECT *, 'easiest', row_number() OVER (PARTITION BY stream_id ORDER BY smoothed_difficulty, segment_index) FROM sm) WHERE place <= 3""", *CTES))
 def t01(spark, sf):
