@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import mixing, sharding
+from framescope.llm import mixing, packing, quality, sharding
+from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,16 @@ def op1(spark, d):
 @query("op9_water_filling_mix", mixing.SQL)
 def op9(spark, d):
     return mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+@query("op8_best_fit_packing")
+def op8(spark, d):
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, context=2048)
+
+
+@query("op10_rule_ensemble_quality")
+def op10(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, d, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
