@@ -20,12 +20,9 @@ PACKED = ("block string, row int, n_tokens int, doc_ids array<long>, pieces arra
           "input_ids binary, position_ids binary")
 
 
-def ordinary_encoder(vocabulary: str, pattern: str):
-    """A tiktoken encoder for a file of `base64 rank` lines; it knows no special tokens, so their strings are ordinary text."""
-    import tiktoken
+def read_ranks(vocabulary: str) -> dict[bytes, int]:
     with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ordinary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class RoomTree:
@@ -81,7 +78,9 @@ def split(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, context: int = 2048, end_id: int = 50256, group_tokens: int = 1 << 22,
          pad_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per packed row: block and row number in it, n_tokens (without padding), doc_ids and pieces (piece numbers within
+    """`vocabulary` is a file of `base64 rank` lines on the driver; without special tokens, their strings are ordinary text.
+
+    One row per packed row: block and row number in it, n_tokens (without padding), doc_ids and pieces (piece numbers within
     their documents) in order, cu_seqlens (0, then the end of each segment), input_ids (little-endian int32, `context` of
     them, padded with `pad_id`) and position_ids (the same shape; they restart at every segment).
 
@@ -90,11 +89,13 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, context: int = 2048, en
     columns are ignored.  A task holds at most about `group_tokens` tokens and one document at a time; which documents
     share a row depends on how the table is read, and a retried task packs its part in the same way.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     base = docs.select(col(key).cast("long").alias("k"), F.coalesce(col(text), F.lit("")).alias("t"))
 
     def run(batches):
+        import tiktoken
         from pyspark import TaskContext
-        encode = ordinary_encoder(vocabulary, pattern).encode_ordinary
+        encode = tiktoken.Encoding("ordinary", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         part, group, held, pieces = TaskContext.get().partitionId(), 0, 0, []
 
         def flush():

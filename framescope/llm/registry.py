@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import mixing, packing, quality, sharding
+from framescope.llm import mixing, packing, quality, sharding, tokencount
 from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op10(spark, d):
     model = quality.train(docs, table(spark, d, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_transducer_token_counts")
+def op5(spark, d):
+    counted = tokencount.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
