@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import mixing, packing, quality, sharding, tokencount, toxicity
+from framescope.llm import imatch, mixing, packing, quality, sharding, tokencount, toxicity
 from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     scored = toxicity.classify(docs, toxicity.fit(docs, table(spark, d, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+@query("op3_imatch_fingerprints")
+def op3(spark, d):
+    return imatch.edit_report(table(spark, d, "documents"))
