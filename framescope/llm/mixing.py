@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framescope.llm.storage import col, free_name
+from framescope.llm.storage import broadcast_if_small, col, free_name, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4096
+SMALL_PLAN = 100_000  # sources whose plan is broadcast; beyond it the rows are joined by shuffle
 
 
 def word_count(text: str) -> Column:
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
            .agg(F.max(F.when(F.col("before") <= F.col("budget"), F.struct("bucket", "before"))).alias("cut"))
            .select("psrc", F.struct("source_size", "target", "whole", "budget", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before")).alias(src)))
     kept = free_name(docs, "psrc")
-    cut = cut.withColumnRenamed("psrc", kept)
+    cut = broadcast_if_small(stored(cut.withColumnRenamed("psrc", kept), "mix-plan"), SMALL_PLAN)
     rows = docs.withColumn(m, draw).join(cut, col(source).eqNullSafe(F.col(kept))).drop(kept)
     bucket = _bucket(F.col(m))
     at = F.col(f"{src}.cut")
