@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import decontamination, imatch, mixing, packing, quality, sharding, tokencount, toxicity
+from framescope.llm import decontamination, imatch, jaccard, mixing, packing, quality, sharding, tokencount, toxicity
 from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op3(spark, d):
 def op6(spark, d):
     found = decontamination.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select("doc_id", "item_id", "position", "n_words", "hamming", "similarity")
+
+
+@query("op7_divide_skip_join")
+def op7(spark, d):
+    return jaccard.near_groups(table(spark, d, "documents"))
