@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import decontamination, imatch, jaccard, mixing, packing, quality, sharding, tokencount, toxicity
+from framescope.llm import decontamination, imatch, jaccard, mixing, packing, pii, quality, sharding, tokencount, toxicity
 from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op6(spark, d):
 @query("op7_divide_skip_join")
 def op7(spark, d):
     return jaccard.near_groups(table(spark, d, "documents"))
+
+
+@query("op2_weak_supervision_pii")
+def op2(spark, d):
+    return pii.find_spans(table(spark, d, "documents"))[0]
