@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framescope.llm.components import components
 from framescope.llm.shingles import describe, shared_sets
-from framescope.llm.storage import col, stored
+from framescope.llm.storage import col, free_name, stored
 
 BLOCK_SHINGLES = 400_000
 MU = 0.0085  # weight of a merge step against a probe when the lists are divided
@@ -158,3 +158,14 @@ def near_groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: s
     by_set = stored(grouped.join(names, "label").select("set_key", "component_id"), "near-names")
     out = about.filter("n_shingles > 0").join(by_set, "set_key").select("doc", "n_shingles", "component_id")
     return out.unionByName(about.filter("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))).withColumnRenamed("doc", key)
+
+
+def one_per_group(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows and columns of `docs` without near copies: of each component the row with the smallest key stays, null keys
+    coming last and equal keys in the order of a hash of the text; of fully equal rows one stays."""
+    own = free_name(docs, "__near_row")
+    row = F.struct(col(key).isNull().alias("missing"), col(key).alias("key"), F.xxhash64(col(text)).alias("text"))
+    named = docs.withColumn(own, row)
+    group = near_groups(named, percent, own, text).filter(F.col(own).eqNullSafe(F.col("component_id"))).select(F.col(own).alias("__near_kept")).distinct()
+    kept = named.join(stored(group, "near-kept"), F.col(own).eqNullSafe(F.col("__near_kept")), "left_semi")
+    return kept.dropDuplicates([own]).drop(own)

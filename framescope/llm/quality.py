@@ -40,7 +40,7 @@ def statistics_of(text: str) -> tuple[float, ...]:
 
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The `keep` columns and one double per name in STATISTICS."""
+    """The `keep` columns under the names k0, k1, ..., and one double per name in STATISTICS."""
     base = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(col(text), F.lit("")).alias("t"))
     kept = [f for f in base.schema.fields if f.name != "t"]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{s} double" for s in STATISTICS])
@@ -51,8 +51,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...], text: str = "text")
             rows = np.array([statistics_of(x) for x in b.column(b.num_columns - 1).to_pylist()], float).reshape(b.num_rows, len(names))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(rows[:, j]) for j in range(len(names))]], [*b.schema.names[:-1], *names])
 
-    out = base.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS)
+    return base.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- trees that propose rules
@@ -164,11 +163,17 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, bin
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> RuleModel:
     """Fits on at most `max_rows` labelled rows that are not held out; their statistics (doubles) are what reaches the driver."""
-    rows = with_statistics(labelled(docs, labels, label, max_rows, key, text), ("label",)).toPandas().sort_values([*STATISTICS, "label"])
-    return fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["label"].to_numpy(float))
+    rows = with_statistics(labelled(docs, labels, label, max_rows, key, text), ("label",)).toPandas().sort_values([*STATISTICS, "k0"])
+    return fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["k0"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: RuleModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The `keep` columns and score (0 to 1).  Null and empty texts are scored by their zero statistics; every row is scored,
     repeated ones alike; an empty table gives no rows; other columns are ignored."""
-    return with_statistics(docs, keep, text).select(*[col(c) for c in keep], model.column().alias("score"))
+    return with_statistics(docs, keep, text).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], model.column().alias("score"))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows and columns of `docs` whose score is `least` or more."""
+    rated = with_statistics(docs, tuple(docs.columns), text).filter(model.column() >= least)
+    return rated.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
