@@ -7,9 +7,9 @@ is then verified by the weighted Jaccard similarity of the shingles themselves,
 
 Only windows that share a shingle with an item of their length are fingerprinted.  That loses nothing, as others have
 similarity 0, and a similarity of t needs 2t/(1+t) of the item's shingles, which is counted per document first.  Starts
-are those that line a shared shingle up with its place in the item, and all starts between two that are a quarter
-of the item apart or less: a window that lines up with none of its shared shingles lies between two such starts, or
-the nearest one holds all its shared shingles too.
+are those that line a shared shingle up with its place in the item, and all starts between two that are two item lengths
+apart or less: a window that lines up with none of its shared shingles lies between two such starts, or the nearest
+one holds all its shared shingles too.
 
 The expected distance at similarity 0.8 is 10 bits with a deviation of 3; the radius of 24 leaves a miss five deviations out.
 """
@@ -101,7 +101,7 @@ def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS, percent: int =
               .groupBy("k", "h", "item", "m", "span", "n").agg(F.size(F.collect_set("p")).alias("shared"), F.array_sort(F.collect_set("start")).alias("starts"))
               .filter(F.col("shared") >= need)
               .withColumn("start", F.explode(F.expr("""array_distinct(flatten(transform(starts, (s, i) ->
-                  if(i + 1 < size(starts) and starts[i + 1] - s <= m div 4 and starts[i + 1] > s, sequence(s, starts[i + 1] - 1), array(s)))))""")))
+                  if(i + 1 < size(starts) and starts[i + 1] - s <= 2 * m and starts[i + 1] > s, sequence(s, starts[i + 1] - 1), array(s)))))""")))
               .select("k", "h", "m", "start").distinct())
     wanted = stored(starts.groupBy("k", "h").agg(F.collect_list(F.struct("m", "start")).alias("at")), "leak-starts")
     wanted = broadcast_if_small(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), SMALL_DOCUMENTS)
