@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,20 +121,32 @@ def ulaw2lin(u) -> Column:
     return F.signum(v) * d(32768.0 / 255.0) * (F.exp(F.abs(v) / d(128) * d(math.log(256))) - d(1))
 
 
+# Constants of the two perceptual scales.
+BARK_STEP, BARK_HZ = 6.0, 600.0
+ERB_STEP, ERB_SLOPE = 24.7, 4.37
+
+
 def bark(f) -> Column:
-    return d(6) * F.asinh(_c(f) / d(600))
+    return d(BARK_STEP) * F.asinh(_c(f) / d(BARK_HZ))
 
 
 def inv_bark(b) -> Column:
-    return d(600) * F.sinh(_c(b) / d(6))
+    return d(BARK_HZ) * F.sinh(_c(b) / d(BARK_STEP))
 
 
 def erb(f) -> Column:
-    return d(24.7) * (d(4.37) * _c(f) + d(1))
+    return d(ERB_STEP) * (d(ERB_SLOPE) * _c(f) + d(1))
 
 
 def inv_erb(e) -> Column:
-    return (_c(e) / d(24.7) - d(1)) / d(4.37)
+    return (_c(e) / d(ERB_STEP) - d(1)) / d(ERB_SLOPE)
+
+
+#: The same scales for numbers and numpy arrays: (from Hz, to Hz).
+SCALES = {
+    "bark": (lambda hz: BARK_STEP * np.arcsinh(hz / BARK_HZ), lambda b: BARK_HZ * np.sinh(b / BARK_STEP)),
+    "erb": (lambda hz: ERB_STEP * (ERB_SLOPE * hz + 1), lambda e: (e / ERB_STEP - 1) / ERB_SLOPE),
+}
 
 
 def perceptual_weight(hz) -> Column:
@@ -232,7 +245,7 @@ def samples_per_packet(toc, second, length, rate: int = 48000) -> Column:
 
 
 def low_rate_copy_flag(toc, frame_byte, first_size) -> Column:
-    """Does the first frame carry a low-rate copy of earlier speech?"""
+    """Does the first frame carry a low-rate copy of earlier speech?  Takes its first byte and its size; null without a size."""
     frames = F.greatest(F.floor(samples_per_frame(toc) / d(960)), F.lit(1))
     b = _c(frame_byte)
 
@@ -241,8 +254,8 @@ def low_rate_copy_flag(toc, frame_byte, first_size) -> Column:
 
     own = bit(F.lit(7) - frames)
     other = F.when(packet_channels(toc) == 2, bit(F.lit(6) - F.lit(2) * frames)).otherwise(0)
-    return F.when((_c(toc).bitwiseAND(128) != 0) | (_c(first_size) == 0), 0).otherwise(
-        F.greatest(own, other)).cast("int")
+    return (F.when((_c(toc).bitwiseAND(128) != 0) | (_c(first_size) == 0), 0)
+            .when(_c(first_size).isNotNull(), F.greatest(own, other)).cast("int"))
 
 
 # ------------------------------------------------------------ predicates

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -59,7 +61,9 @@ def flux_features(df: DataFrame, cur: str, prev: str, prev2: str, bands: list[tu
 def spectra(df: DataFrame, cols: dict[str, str], window: str = "raised", phase: bool = False, power: bool = False,
             gain: float = 1.0) -> DataFrame:
     """Adds, for `cols` input -> prefix, arrays `<prefix>mag` (or `<prefix>pow`) and `<prefix>phase`.
-    Frames of one column have equal length; a missing frame counts as zeros."""
+    Frames of one column have equal length, anything else is an error.  A missing frame counts as zeros if another of
+    the row's frames tells its length, else its spectrum is null."""
+    df = df.withColumn("_frame_size", F.coalesce(*[F.when(F.col(c).isNotNull(), F.size(c)) for c in cols]))
     value = T.ArrayType(T.DoubleType())
     added = []
     for prefix in cols.values():
@@ -68,33 +72,34 @@ def spectra(df: DataFrame, cols: dict[str, str], window: str = "raised", phase:
             added.append(T.StructField(prefix + "phase", value))
     schema = T.StructType([*df.schema.fields, *added])
 
-    def to_lists(mat):
-        n, k = mat.shape
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)),
-                                        pa.array(np.ascontiguousarray(mat, dtype=np.float64).ravel()))
+    def to_lists(mat, has):
+        ends = np.concatenate([[0], np.cumsum(np.where(has, mat.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(mat, dtype=np.float64).ravel()), mask=pa.array(~has))
 
     def body(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
             arrays = list(b.columns)
-            sizes: dict[str, int] = {}
+            size_of = b.column(b.schema.get_field_index("_frame_size"))
+            known, sizes = ~np.asarray(size_of.is_null()), np.asarray(size_of.fill_null(0))
             for name in cols:
                 col = b.column(b.schema.get_field_index(name))
                 has = ~np.asarray(col.is_null())
                 flat = np.asarray(col.drop_null().flatten(), dtype=np.float64)
-                width = flat.size // max(1, int(has.sum())) or sizes.get(name, 2)
-                sizes[name] = width
+                each = set(sizes[known].tolist()) | set(pc.unique(pc.list_value_length(col.drop_null())).to_pylist())
+                if len(each) > 1:
+                    raise ValueError(f"frames of different lengths in {name}: {sorted(each)}")
+                width = each.pop() if each else 1
                 x = np.zeros((b.num_rows, width))
-                x[has] = flat.reshape(-1, width)
-                x = x * (gain * window_shape(window, width))
-                spec = np.fft.rfft(x, axis=1)
-                arrays.append(to_lists(np.abs(spec) ** 2 if power else np.abs(spec)))
+                x[has] = flat.reshape(int(has.sum()), width)
+                spec = np.fft.rfft(x[known] * (gain * window_shape(window, width)), axis=1)
+                arrays.append(to_lists(np.abs(spec) ** 2 if power else np.abs(spec), known))
                 if phase:
-                    arrays.append(to_lists(np.angle(spec)))
+                    arrays.append(to_lists(np.angle(spec), known))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(body, schema)
+    return df.mapInArrow(body, schema).drop("_frame_size")
 
 
 def multi_resolution_terms(df: DataFrame, ref: str, deg: str, sizes: list[int], ident: list[str], rate: int = 16000) -> DataFrame:

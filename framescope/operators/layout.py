@@ -26,9 +26,12 @@ def segment_length(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only if it names none."""
+    """Shared folder named by the cluster.  A private one serves only a local session that names none: executors elsewhere
+    could not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -175,9 +178,11 @@ def dense_index(df, keys, slice_col, order_by, name=ORDER) -> DataFrame:
 
 
 def slot_of(x: Column, per_octave: int = 16384) -> Column:
-    """Order-preserving slot number of a double, from its size alone: no bounds have to be known."""
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(x) * F.lit(float(1 << 40))) * F.lit(float(per_octave)))
-    return (F.signum(x) * size).cast("long")
+    """Order-preserving slot number of a double, from its size alone: no bounds have to be known.
+    NaN comes last, as in a sort, infinities before it; sizes above 1e290 share a slot."""
+    size = F.floor(F.log2(F.lit(1.0) + F.least(F.abs(x), F.lit(1e290)) * F.lit(float(1 << 40))) * F.lit(float(per_octave)))
+    endless = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.when(F.isnan(x), F.lit(1 << 61)).when(endless, F.signum(x).cast("long") * F.lit(1 << 60)).otherwise((F.signum(x) * size).cast("long"))
 
 
 def rank_all(df, value, tie, name, part=()) -> DataFrame:

@@ -27,7 +27,7 @@ def k02(spark, sf):
     return s.select("stream_id", "sequence", r6(A.total(F.transform("values", lambda x, i: x * (i + 1))), "moment"))
 
 
-@query("k03_context_windows", with_views("tel", f"SELECT t.stream_id, s AS sequence, {s6('sum(value*(frame_index-(s*8-2)+1))', 'moment')} FROM tel t, range(0,1000) r(s) WHERE frame_index>=s*8-2 AND frame_index<s*8+8+3 AND s*8-2<100000 GROUP BY ALL HAVING count(*)=13"))
+@query("k03_context_windows", with_views("tel", f"SELECT t.stream_id, s AS sequence, {s6('sum(value*(frame_index-(s*8-2)+1))', 'moment')} FROM (SELECT *, unnest(range(greatest(0, (frame_index-3)//8), (frame_index+2)//8 + 1)) AS s FROM tel) t GROUP BY ALL HAVING count(*)=13"))
 def k03(spark, sf):
     s = corpus.context_windows(V.telemetry(spark, sf), "value", 8, 2, 3)
     return s.select("stream_id", "sequence", r6(A.total(F.transform("values", lambda x, i: x * (i + 1))), "moment"))

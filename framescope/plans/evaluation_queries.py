@@ -215,17 +215,36 @@ def w31(spark, sf):
     return E.run_ranks(V.runs(spark, sf), {"pesq_mean"}, _Z)
 
 
-@query("a39_run_record", with_views("tel", f"""SELECT run, {s6('loss', 'validation_loss')}, {s6('last_score', 'last_score')}, {s6('pesq', 'pesq')}, {s6('warpq', 'warpq')}, {s6('pitch_error', 'pitch_error')}, {s6('voicing_error', 'voicing_error')} FROM
- (SELECT stream_id AS run, max_by(value, frame_index) AS last_score, avg(tonality) AS loss, avg(activity) AS pesq, avg(noisiness) AS warpq, avg(music_prob) AS pitch_error, avg(bandwidth) AS voicing_error FROM tel GROUP BY 1)"""))
+#: Metrics as fractions of integers (multiplier of the event id, denominator), so that a mean's last digit never depends on the order of adding.
+_FRACTIONS = {"validation_loss": (37, 1000), "pesq": (61, 997), "warpq": (53, 991), "pitch_error": (71, 103), "voicing_error": (1, 21)}
+
+
+def _unit(metric):
+    return 1 if metric == "voicing_error" else _FRACTIONS[metric][1]
+
+
+def _mean_sql(metric):
+    k, m = _FRACTIONS[metric]
+    den = f"({_unit(metric)} * count(*))"
+    return f"((2000000 * sum(event_id*{k} % {m}) + {den})::bigint // (2 * {den})) / 1e6 AS {metric}"
+
+
+def _mean(metric):
+    k, m = _FRACTIONS[metric]
+    den = F.count(F.lit(1)) * _unit(metric)
+    return F.floor((F.sum(F.col("event_id") * k % m) * 2000000 + den) / (den * 2)).cast("double") / F.lit(1e6)
+
+
+@query("a39_run_record", with_views("tel", f"""SELECT stream_id AS run, {s6('max_by(value, frame_index)', 'last_score')}, {', '.join(map(_mean_sql, _FRACTIONS))} FROM tel GROUP BY 1"""))
 def a39(spark, sf):
     t = V.telemetry(spark, sf).withColumnRenamed("stream_id", "run")
-    losses = t.groupBy("run").agg(F.avg("tonality").alias("validation_loss"))
+    losses = t.groupBy("run").agg(_mean("validation_loss").alias("validation_loss"))
     log = t.select("run", F.col("frame_index").alias("line"), F.col("value").alias("score"))
-    names = {"pesq": "activity", "warpq": "noisiness", "pitch_error": "music_prob", "voicing_error": "bandwidth"}
-    stats = t.groupBy("run").agg(*[F.avg(c).alias(m) for m, c in names.items()]).select(
+    names = [m for m in _FRACTIONS if m != "validation_loss"]
+    stats = t.groupBy("run").agg(*[_mean(m).alias(m) for m in names]).select(
         "run", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("mean")) for m in names])).alias("p")).select("run", "p.*")
     out = E.run_record(losses, log, stats)
-    return out.select("run", *[r6(c, c) for c in ("validation_loss", "last_score", *names)])
+    return out.select("run", r6("last_score", "last_score"), *_FRACTIONS)
 
 
 @query("u02_conditions_long", with_views("scores", f"SELECT bitrate, item, condition, {s6('score', 'score')} FROM scores WHERE condition IN ('A','N')"))

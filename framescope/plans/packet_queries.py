@@ -113,7 +113,7 @@ def k12(spark, sf):
 
 def payloads(spark, sf):
     p = V.packets(spark, sf)
-    filler = F.substring(F.unhex(F.repeat(F.md5(F.col("event_id").cast("string")), 130)), 1, 2080)
+    filler = F.unhex(F.repeat(F.md5(F.col("event_id").cast("string")), F.floor(F.col("len") / 16.0).cast("int") + 1))
     head = F.unhex(F.concat(F.lpad(F.hex("toc"), 2, "0"), F.lpad(F.hex("b1"), 2, "0")))
     body = F.substring(filler, F.lit(1), F.greatest(F.col("len") - 2, F.lit(0)).cast("int"))
     return p.select("stream_id", "frame_index", "toc", F.concat(head, body).alias("payload"))
@@ -122,7 +122,7 @@ def payloads(spark, sf):
 _BYTE = "('0x' || substr(h, 2*pos+1, 2))::int"
 HX = f"""hx AS MATERIALIZED (SELECT stream_id, frame_index, toc, b1, len, {SPF_SQL} AS spf, b1 & 63 AS m, len-1 AS n, CASE WHEN b1<252 THEN 1 ELSE 2 END AS k,
  CASE WHEN len<3 AND b1>=252 THEN -1 WHEN b1<252 THEN b1 ELSE 4*('0x'||substr(md5(event_id::varchar),1,2))::int + b1 END AS s,
- printf('%02x%02x', toc, b1) || substr(repeat(md5(event_id::varchar), 130), 1, 2*(len-2)) AS h FROM pk)"""
+ printf('%02x%02x', toc, b1) || substr(repeat(md5(event_id::varchar), len // 16 + 1), 1, 2*(len-2)) AS h FROM pk)"""
 PAD = f"""pd AS (/*rec*/ SELECT stream_id, frame_index, 2::bigint AS pos, len-2 AS room, b1 & 64 = 0 AS done, m>0 AND m*spf<=5760 AS ok, 0::bigint AS pad FROM hx WHERE toc & 3 = 3 UNION ALL
  SELECT stream_id, frame_index, pos+1, room-1-(CASE WHEN byte=255 THEN 254 ELSE byte END), byte<>255 OR room<=0, ok AND room>0, pad+(CASE WHEN byte=255 THEN 254 ELSE byte END) FROM
  (SELECT pd.*, CASE WHEN room>0 THEN {_BYTE} ELSE 0 END AS byte FROM pd JOIN hx USING (stream_id, frame_index) WHERE ok AND NOT done))"""
@@ -153,6 +153,21 @@ def x01b(spark, sf):
     return P.parse_packets(payloads(spark, sf)).select("stream_id", "frame_index", F.coalesce(F.size("frame_sizes"), F.lit(-1)).alias("frames"))
 
 
+_TWENTY_MS = f"greatest({SPF_SQL}//960, 1)"
+_FIRST = "('0x' || substr(h, (2*(len-pad-total)+1)::bigint, 2))::int"
+
+
+@query("p20_low_rate_copy", with_views("pk", f"""SELECT stream_id, frame_index, (CASE WHEN toc & 128 <> 0 THEN 0 WHEN total IS NULL THEN NULL WHEN first_size=0 THEN 0
+ ELSE greatest(({_FIRST} >> (7-{_TWENTY_MS})::int) & 1, CASE WHEN toc & 4 <> 0 THEN ({_FIRST} >> (6-2*{_TWENTY_MS})::int) & 1 ELSE 0 END) END)::int AS flag
+ FROM hx LEFT JOIN (SELECT stream_id, frame_index, sum(frame_bytes) AS total, max(pad) AS pad, min_by(frame_bytes, frame_no) AS first_size FROM fr GROUP BY ALL) f USING (stream_id, frame_index)""", HX, PAD, VBR, FRAMES))
+def p20(spark, sf):
+    """Frames stand before the padding, so the first one begins at length - padding - all frames.  Invalid packets give null."""
+    p = P.parse_packets(payloads(spark, sf).withColumn("body", F.col("payload")))
+    sizes = F.aggregate("frame_sizes", F.lit(0), lambda a, x: a + x)
+    first = F.conv(F.hex(F.substring("body", (F.length("body") - F.col("padding") - sizes + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return p.select("stream_id", "frame_index", S.low_rate_copy_flag("toc", first, F.col("frame_sizes")[0]).alias("flag"))
+
+
 @query("h03_parse_packet_udtf", with_views("pk", "SELECT stream_id, frame_index, frame_no::int AS frame_no, frame_bytes::int AS frame_bytes, true AS valid FROM fr UNION ALL SELECT stream_id, frame_index, NULL, NULL, false FROM hx ANTI JOIN ok_ USING (stream_id, frame_index)", HX, PAD, VBR, FRAMES))
 def h03(spark, sf):
     P.register_parse_packet(spark)

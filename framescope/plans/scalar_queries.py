@@ -86,10 +86,6 @@ frame_columns("p19_packet_samples",
               {"frames": f"{NFR_SQL} AS {{n}}",
                "samples": f"(CASE WHEN {NFR_SQL} < 0 THEN {NFR_SQL} WHEN {NFR_SQL}*{SPF_SQL}*25 > 144000 THEN -4 ELSE {NFR_SQL}*{SPF_SQL} END)::bigint AS {{n}}"},
               V.packets, "pk")
-_FR = f"greatest({SPF_SQL}//960, 1)"
-frame_columns("p20_low_rate_copy", lambda: {"flag": S.low_rate_copy_flag("toc", "b1", "len")},
-              {"flag": f"(CASE WHEN toc & 128 <> 0 OR len = 0 THEN 0 ELSE greatest((b1 >> (7-{_FR})::int) & 1,"
-               f" CASE WHEN toc & 4 <> 0 THEN (b1 >> (6-2*{_FR})::int) & 1 ELSE 0 END) END)::int AS {{n}}"}, V.packets, "pk")
 frame_columns("p21_quantizer_level",
               lambda: {"level": S.quantizer_level(3, 5, 15, F.col("frame_index") % 26),
                "lambda_": S.level_lambda(S.quantizer_level(3, 5, 15, F.col("frame_index") % 26))},

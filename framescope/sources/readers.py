@@ -6,6 +6,8 @@ Every reader returns a lazy DataFrame; schemas are fixed, never inferred.
 from __future__ import annotations
 
 import struct
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +115,16 @@ def read_wav(spark: SparkSession, path: str, channels: int = 2, rate: int = 4800
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Frame logs by column name; blank or missing cells are 0; no rows at all is an error."""
-    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """Frame logs by column name in every file; blank or missing cells are 0; no rows at all is an error.
+
+    Spark's reader takes one header for all files, so files are read per distinct header and united by name."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start"))
+    headers = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    parts = [spark.read.csv([unquote(f) for f in h["files"]], header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True) for h in headers]
+    if not parts:
+        raise ValueError(f"no telemetry rows in {path}")
+    parts = [p.select("*", F.col("_metadata.file_path").alias("_file")) for p in parts]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if raw.limit(1).count() == 0:
         raise ValueError(f"no telemetry rows in {path}")
 
@@ -123,7 +133,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
             return F.lit(0).cast(kind).alias(name)
         return F.coalesce(F.nullif(F.trim(F.col(name)), F.lit("")).cast(kind), F.lit(0).cast(kind)).alias(name)
 
-    return raw.select(stem(F.col("_metadata.file_path")).alias("source_name"),
+    return raw.select(stem(F.col("_file")).alias("source_name"),
                       *[cell(c, "long") for c in TELEMETRY_INTS], *[cell(c, "double") for c in TELEMETRY_DOUBLES],
                       *[F.col(c) for c in TELEMETRY_STRINGS if c in raw.columns],
                       *[F.col(c) for c in raw.columns if c == "stream_id"])
@@ -153,20 +163,20 @@ def read_channels_plan(spark: SparkSession, path: str) -> DataFrame:
         "source_name", F.col("i").cast("long").alias("frame_index"), F.col("v").cast("int").alias("channels"))
 
 
-def split_packet_log(raw: bytes):
+def split_packet_log(raw: bytes, max_packet: int = MAX_PACKET):
     """(seq, check, payload) per packet; ends at a bad length or a short read."""
     pos, seq = 0, 0
     while pos + 8 <= len(raw):
         size, check = struct.unpack(">iI", raw[pos:pos + 8])
-        if size < 0 or size > MAX_PACKET or pos + 8 + size > len(raw):
+        if size < 0 or size > max_packet or pos + 8 + size > len(raw):
             yield seq, None, None
             return
         yield seq, check, raw[pos + 8:pos + 8 + size]
         pos, seq = pos + 8 + size, seq + 1
 
 
-def read_packet_log(spark: SparkSession, path: str) -> DataFrame:
-    """Length-prefixed packets; a file cut short ends with a row whose payload is null."""
+def read_packet_log(spark: SparkSession, path: str, max_packet: int = MAX_PACKET) -> DataFrame:
+    """Length-prefixed packets; a file cut short, or with a length above `max_packet`, ends with a row whose payload is null."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("seq", T.LongType()),
                            T.StructField("check", T.LongType()), T.StructField("payload", T.BinaryType())])
     arrow = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("check", pa.int64()), ("payload", pa.binary())])
@@ -175,7 +185,7 @@ def read_packet_log(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
-                for seq, check, payload in split_packet_log(content.as_py()):
+                for seq, check, payload in split_packet_log(content.as_py(), max_packet):
                     rows.append({"path": path, "seq": seq, "check": check, "payload": payload})
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)

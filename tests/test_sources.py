@@ -71,3 +71,17 @@ def test_lists(spark, tmp_path):
     assert R.read_clip_lists(spark, str(tmp_path / "c.json")).count() == 3
     (tmp_path / "b.txt").write_text("0,FB\n1,xx\nnonsense\n2,wb\n")
     assert [r["bandwidth"] for r in R.read_bandwidth_plan(spark, str(tmp_path / "b.txt")).orderBy("frame_index").collect()] == ["FB", "WB"]
+
+
+def test_telemetry_columns_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("frame_index,packet_bytes,analysis_tonality\n1,200,0.5\n2,210,\n")
+    (tmp_path / "c.csv").write_text("packet_bytes,frame_index\n300,7\n")
+    got = {(r["frame_index"], r["packet_bytes"], r["analysis_tonality"]) for r in R.read_telemetry(spark, str(tmp_path)).collect()}
+    assert got == {(1, 200, 0.5), (2, 210, 0.0), (7, 300, 0.0)}
+
+
+def test_packets_above_the_limit_end_a_log(spark, tmp_path):
+    import struct
+    (tmp_path / "x.bit").write_bytes(struct.pack(">iI", 2000, 5) + b"z" * 2000)
+    assert [r["payload"] for r in R.read_packet_log(spark, str(tmp_path)).collect()] == [None]
+    assert [len(r["payload"]) for r in R.read_packet_log(spark, str(tmp_path), max_packet=4000).collect()] == [2000]
