@@ -35,3 +35,12 @@ def odd_rows(prose):
     """Nulls in every column, empty and very long texts, ties, repeated rows, a repeated key."""
     return [(1, prose(60, 1)), (2, None, None, None), (3, "", "de", "b"), (None, prose(40, 2), "fr", None), (4, prose(30_000, 3), "es", "a"),
             (5, prose(60, 1)), (5, prose(60, 1)), (6, "one two"), (7, "one two", None, "c"), (6, prose(50, 5)), (8, " \t\n "), (9, "x" * 50_000, "en", "")]
+
+
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """The tables are tiny and some operators take many small steps."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -16,14 +16,14 @@ def similarity(a, b):
 
 
 def best_windows(rows, items):
-    """Every window of every document against every item."""
-    out = {}
+    """Every window of every document against every item that it shares a shingle with."""
+    out, targets = {}, [(i, len(own), bag(own)) for i, own in ((i, (t or "").lower().split()) for i, t in items) if own]
     for doc, text in rows:
         words = (text or "").lower().split()
-        for item, itext in items:
-            own = (itext or "").lower().split()
-            if words and own:
-                best = max((similarity(bag(words[s:s + len(own)]), bag(own)), -s) for s in range(max(1, len(words) - len(own) + 1)))
+        grams = {n: {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} for n in range(1, 6)}
+        for item, size, own in targets:
+            if words and not grams[min(size, 5)].isdisjoint(own):
+                best = max((similarity(bag(words[s:s + size]), own), -s) for s in range(max(1, len(words) - size + 1)))
                 if best[0] >= 0.8:
                     out[doc, item] = (round(best[0], 9), -best[1])
     return out
