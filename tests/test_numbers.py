@@ -48,3 +48,13 @@ def test_kernels_run_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "[3.0, 1.0]" in out.stdout, out.stderr[-800:]
+
+
+def test_quantiles_of_close_and_odd_values(spark):
+    from framescope.operators import quantiles
+    rng = np.random.default_rng(3)
+    rows = [(1, float(x)) for x in 48000 + rng.random(3000)] + [(2, x) for x in (math.nan, 1.0, math.inf, -math.inf, None, 2.0)] + [(3, 5.0)] * 7
+    got = {r["stream_id"]: r for r in quantiles.quantiles(spark.createDataFrame(rows, "stream_id int, v double"), "v", {"a": 0.1, "b": 0.5, "c": 1.0}, ["stream_id"]).collect()}
+    close = sorted(v for k, v in rows if k == 1)
+    assert [got[1][n] for n in "abc"] == pytest.approx(list(np.quantile(close, [0.1, 0.5, 1.0])), abs=1e-9)
+    assert got[2]["b"] == 2.0 and math.isnan(got[2]["c"]) and [got[3][n] for n in "abc"] == [5.0] * 3
