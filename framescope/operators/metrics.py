@@ -23,6 +23,17 @@ DELTAS = {"snr": "snr_delta", "lsd": "lsd_delta", "perceptual_spectral": "percep
 SCORE_SIMPLE = {"attack_mean_delta": 6.0, "overall_mean_delta": 3.0, "lsd_delta": 0.6, "flux_mse_delta": 0.8, "snr_delta": -0.25}
 SCORE_SPECTRAL = {"attack_mean_delta": 1.5, "calm_mean_delta": 1.0, "perceptual_spectral_delta": 18.0, "lsd_delta": 7.5,
                   "stereo_image_delta": 3.0, "flux_mse_delta": 0.8, "snr_delta": -0.5}
+# Level, knee and steps of the shaped thresholds of the high-rate and the vocoder index.
+THRESHOLD_LEVEL, THRESHOLD_KNEE, HIGH_RATE_STEPS, VOCODER_STEPS = 0.1, 0.15, 240, 960
+# Smallest values, carry from later frames and middle of the band weights of the high-rate index.
+HIGH_RATE_FLOOR, HIGH_RATE_LEAST, HIGH_RATE_BACKWARD, HIGH_RATE_MIDDLE = 3.16e-10, 1e-6, 0.1, 22
+# Fixed values of the vocoder index: loudness exponent, spreading to higher and lower bins, carry from earlier and later
+# frames, floor under a frame's maximum.
+LOUDNESS, SPREAD_UP, SPREAD_DOWN, CARRY_FORWARD, CARRY_BACKWARD, VOCODER_FLOOR = 0.2, 0.1, 0.0031623, 0.5, 0.1, 1e-8
+
+
+def shaped_threshold(j, steps: int):
+    return THRESHOLD_LEVEL / (THRESHOLD_KNEE ** 2 + (j * math.pi / steps) ** 2)
 
 
 def perceptual_weights(bins: int, rate: float = 48000.0) -> list[float]:
@@ -205,11 +216,11 @@ def quality_index(frames: DataFrame, pairs, bands, keys=SONG, gain: float = 3276
 def high_rate_index(frames: DataFrame, pairs, bands, keys=SONG, gain: float = 32768.0) -> DataFrame:
     """err4, err16 and rms: dynamic-range floor, masking in both time directions, shaped thresholds."""
     n, channels = len(bands), len(pairs)
-    f = _mask_frames(frames, pairs, bands, keys, gain, 0.0, "raised", 3.16e-10, n - 3, 1e-6, 0.1)
+    f = _mask_frames(frames, pairs, bands, keys, gain, 0.0, "raised", HIGH_RATE_FLOOR, n - 3, HIGH_RATE_LEAST, HIGH_RATE_BACKWARD)
     f = _masked_pair(f, pairs, bands, keys, gain, 0.0, "raised", True)
     used = bands[-1][1]
-    thresh = [0.1 / (0.15 ** 2 + (j * math.pi / 240) ** 2) for j in range(used)]
-    weights = [0.5 + 0.5 * math.tanh(0.5 * (22 - b)) for b in range(n)]
+    thresh = [shaped_threshold(j, HIGH_RATE_STEPS) for j in range(used)]
+    weights = [0.5 + 0.5 * math.tanh(0.5 * (HIGH_RATE_MIDDLE - b)) for b in range(n)]
 
     def bands_error(k):
         im = None
@@ -297,7 +308,6 @@ def multi_resolution_distance(frames: DataFrame, ref: str, dec: str, sizes, keys
 
 
 # ------------------------------------------------------------------ vocoder variant
-LOUDNESS = 0.2
 REACH_BACK, REACH_AHEAD = 66, 22       # .5**66 and .1**22 are below 1e-19
 
 
@@ -319,7 +329,7 @@ def vocoder_index(frames: DataFrame, ref: str, dec: str, bands, keys=SONG, gain:
         sp = [np.abs(np.fft.rfft(v * shape, axis=1))[:, :used] ** 2 for v in (x, y)]
         freq = rate * np.arange(used) / (2.0 * used)
         bark = (8.288e-8 * freq / (3.4225e-16 * freq ** 4 + 1) + 0.009694 / (5.476e-7 * freq ** 2 + 1) + 1e-4) * rate / (2.0 * used)
-        right, left = 0.1 ** bark, 0.0031623 ** bark
+        right, left = SPREAD_UP ** bark, SPREAD_DOWN ** bark
 
         def spread(m):
             m = m.copy()
@@ -331,16 +341,16 @@ def vocoder_index(frames: DataFrame, ref: str, dec: str, bands, keys=SONG, gain:
 
         unit = spread(np.ones((1, used)))
         a, b = (spread(m) / unit for m in sp)
-        floor = 1e-8 * a.max(axis=1, keepdims=True)
+        floor = VOCODER_FLOOR * a.max(axis=1, keepdims=True)
         a, b = np.maximum(floor, a), np.maximum(floor, b)
         idx, end = pdf["frame_index"].to_numpy(), int(pdf["_last"].iloc[0])
         for m in (a, b):
             for i in range(1, len(m)):
-                m[i] += 0.5 * m[i - 1]
+                m[i] += CARRY_FORWARD * m[i - 1]
             for i in range(len(m) - 2, -1, -1):
                 if idx[i] <= end - 2:
-                    m[i] += 0.1 * m[i + 1]
-        th = 0.1 / (0.15 ** 2 + (np.arange(used) * np.pi / 960) ** 2)
+                    m[i] += CARRY_BACKWARD * m[i + 1]
+        th = shaped_threshold(np.arange(used), VOCODER_STEPS)
         width = np.array([hi - lo for lo, hi in bands], dtype=float)
         edges = [lo for lo, _ in bands]
 

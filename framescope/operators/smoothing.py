@@ -205,6 +205,12 @@ def stereo_width(frames: DataFrame, frame_rate: float = 50.0) -> DataFrame:
     return f.withColumn("stereo_width", F.least(S.d(1), S.d(20) * F.col("follower"))).drop("_on", "_w")
 
 
+# Weights of a frame and its four predecessors in the level, the first and the second difference.
+LEVEL_WEIGHTS = [-0.12299, 0.49195, 0.69693, 0.49195, -0.12299]
+DELTA_WEIGHTS = [0.63246, 0.31623, 0.0, -0.31623, -0.63246]
+SECOND_DELTA_WEIGHTS = [0.53452, -0.26726, -0.53452, -0.26726, 0.53452]
+
+
 def delta_cepstrum(frames: DataFrame, cepstrum: str) -> DataFrame:
     """Level, first and second difference over a frame and its four predecessors (zeros before the start)."""
     f = layout.windowed(frames, {f"_l{k}": (lambda w, k=k: F.lag(cepstrum, k).over(w)) for k in range(1, 5)}, before=4)
@@ -218,9 +224,9 @@ def delta_cepstrum(frames: DataFrame, cepstrum: str) -> DataFrame:
             out = A.add(out, A.scale(lag[k], S.d(weights[k])))
         return out
 
-    return (f.withColumn("level", mix([-0.12299, 0.49195, 0.69693, 0.49195, -0.12299]))
-            .withColumn("delta", mix([0.63246, 0.31623, 0.0, -0.31623, -0.63246]))
-            .withColumn("delta2", mix([0.53452, -0.26726, -0.53452, -0.26726, 0.53452]))
+    return (f.withColumn("level", mix(LEVEL_WEIGHTS))
+            .withColumn("delta", mix(DELTA_WEIGHTS))
+            .withColumn("delta2", mix(SECOND_DELTA_WEIGHTS))
             .drop("_l1", "_l2", "_l3", "_l4"))
 
 

@@ -91,6 +91,7 @@ frame_columns("p21_quantizer_level",
                "lambda_": S.level_lambda(S.quantizer_level(3, 5, 15, F.col("frame_index") % 26))},
               {"level": "least(3 + (8*(frame_index % 26) + 8)//16, 15)::bigint AS {n}",
                "lambda_": "0.0002e0*exp(least(3 + (8*(frame_index % 26) + 8)//16, 15)/(15/ln(0.0135e0/0.0002e0)))"})
+# Rate table (rate, share, rate below, share below), restated for the SQL.
 _RS = [(12000, 11000, 0, 0), (16000, 15000, 12000, 11000), (20000, 18000, 16000, 15000), (24000, 21000, 20000, 18000),
        (32000, 28000, 24000, 21000), (64000, 50000, 32000, 28000)]
 frame_columns("p22_rate_split", lambda: {"share": S.rate_split(F.col("packet_bytes") * 50, True, True)},
