@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +47,13 @@ def full_stage(frames: DataFrame, winners: DataFrame) -> DataFrame:
 
 
 def with_stored(spark, path: str, work: DataFrame, keys: list[str], compute) -> DataFrame:
-    """Reuses stored rows and computes, then appends, what is missing."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    """Reuses stored rows and computes, then appends, what is missing.  A folder that is missing or holds no table, as a
+    failed job leaves it, counts as nothing stored."""
+    try:
         stored = spark.read.parquet(path)
         work = work.join(stored.select(*keys), keys, "left_anti")
+    except AnalysisException as nothing:
+        if nothing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
     compute(work).write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -70,14 +70,19 @@ def live_comparison(base: DataFrame, candidate: DataFrame, delay: str, within: s
 
 
 def with_static_plan(frames: DataFrame, plan: DataFrame, value: str, default) -> DataFrame:
-    """As-of join with a fixed plan: its values hold until the next one, the last one for good."""
+    """As-of join with a fixed plan: its values hold until the next one, the last one for good.  The join is on stream and
+    segment; an interval is copied into each segment it reaches, not to every frame."""
+    length = layout.segment_length(frames.sparkSession)
     p = plan.where(F.col(value) > 0).select("stream_id", "frame_index", F.col(value).alias("_v"))
     nxt = layout.running(p, {"_next": ("first", F.col("frame_index"))}, reverse=True, exclusive=True)
-    every = nxt.select("stream_id", "_v", F.explode(F.sequence("frame_index", F.coalesce(F.col("_next") - 1, F.col("frame_index")))).alias("frame_index"))
+    held = nxt.select("stream_id", "_v", F.col("frame_index").alias("_a"), F.coalesce(F.col("_next") - 1, F.col("frame_index")).alias("_z"))
+    held = held.withColumn("_seg", F.explode(F.sequence(layout.segment_of("_a", length), layout.segment_of("_z", length))))
     last = p.groupBy("stream_id").agg(F.max("frame_index").alias("_from"), F.max_by("_v", "frame_index").alias("_last"))
-    f = frames.join(every, ["stream_id", "frame_index"], "left").join(last, "stream_id", "left")
+    f = frames.withColumn("_seg", layout.segment_of("frame_index", length)).alias("f")
+    within = (F.col("f.stream_id") == F.col("h.stream_id")) & (F.col("f._seg") == F.col("h._seg")) & F.col("frame_index").between(F.col("_a"), F.col("_z"))
+    f = f.join(held.alias("h"), within, "left").select("f.*", "_v").join(last, "stream_id", "left")
     held = F.when(F.col("frame_index") >= F.col("_from"), F.col("_last"))
-    return f.withColumn("in_force", F.coalesce("_v", held, default)).drop("_v", "_from", "_last")
+    return f.withColumn("in_force", F.coalesce("_v", held, default)).drop("_v", "_seg", "_from", "_last")
 
 
 def _stateful(frames: DataFrame, step, start: tuple, out: str, state: str, order=("ts", "seq")) -> DataFrame:

@@ -58,3 +58,11 @@ def test_quantiles_of_close_and_odd_values(spark):
     close = sorted(v for k, v in rows if k == 1)
     assert [got[1][n] for n in "abc"] == pytest.approx(list(np.quantile(close, [0.1, 0.5, 1.0])), abs=1e-9)
     assert got[2]["b"] == 2.0 and math.isnan(got[2]["c"]) and [got[3][n] for n in "abc"] == [5.0] * 3
+
+
+def test_stored_rows_after_a_failed_job(spark, tmp_path):
+    from framescope.operators import ranking
+    folder, work = str(tmp_path / "rows"), spark.createDataFrame([(1,), (2,)], "k int")
+    (tmp_path / "rows").mkdir()
+    assert ranking.with_stored(spark, folder, work, ["k"], lambda w: w).count() == 2
+    assert ranking.with_stored(spark, folder, work, ["k"], lambda w: w).count() == 2
