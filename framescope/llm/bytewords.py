@@ -6,7 +6,7 @@ import numpy as np
 
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19  # working memory is about 50 times as much
 
 
 def white_space() -> np.ndarray:

@@ -69,8 +69,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [lowered(t) for t in b.column(1).to_pylist()]
-            parts = [set_keys(*shingle_sets(texts[i:j]), j - i) for i, j in bytewords.groups(texts)]
+            parts = [set_keys(*shingle_sets(some), len(some)) for some in text_batches([b.column(1)], bytewords.GROUP_BYTES)]
             n, k, c = (np.concatenate([*(p[i] for p in parts), np.empty(0, np.int64)]) for i in range(3))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k), pa.array(c)], ["doc", "n_shingles", "set_key", "set_check"])
 
@@ -94,6 +93,20 @@ def unpacked(body: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def text_batches(columns, size: int):
+    """Lists of lower-cased texts of about `size` bytes together, at most 60,000 in one."""
+    some, held = [], 0
+    for column in columns:
+        for t in column:
+            some.append(lowered(t.as_py()))
+            held += len(some[-1])
+            if held >= size or len(some) == 60_000:
+                yield some
+                some, held = [], 0
+    if some:
+        yield some
+
+
 def runs(batches, names: tuple[str, ...]):
     """Groups of rows of equal first column, in a stream sorted by it: (value, list of rows)."""
     value, rows = None, []
@@ -108,12 +121,12 @@ def runs(batches, names: tuple[str, ...]):
         yield value, rows
 
 
-def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str, range_size: int = 300_000, batch_docs: int = 8192) -> DataFrame:
+def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str, range_size: int = 300_000, batch_bytes: int = 8 << 20) -> DataFrame:
     """set_key, n_shingles, shared (array of the shingles that another document has too), for documents of which at least
     `percent` of 100 are shared.  Rows of one batch with equal sets count once.
 
     Three steps: cut by hash range, count within a range (about `range_size` shingles, as `n_total` are spread over as many
-    ranges as needed), gather by batch (at most `batch_docs` documents)."""
+    ranges as needed), gather by batch (about `batch_bytes` of text, or 60,000 documents)."""
     n_ranges = max(1, -(-n_total // range_size))
     base = docs.select(F.coalesce(col(text), F.lit("")).cast("binary").alias("t"))
     names = ["range", "batch", "owners", "body"]
@@ -122,31 +135,29 @@ def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str
     def cut(batches):
         from pyspark import TaskContext
         part, number = TaskContext.get().partitionId(), 0
-        for b in batches:
-            texts = [lowered(t) for t in b.column(0).to_pylist()]
-            for lo in range(0, len(texts), batch_docs):
-                some = texts[lo:lo + batch_docs]
-                pieces, sets, seen = [], [], {}
-                for i, j in bytewords.groups(some):
-                    owner, sh = shingle_sets(some[i:j])
-                    n, k, _ = set_keys(owner, sh, j - i)
-                    place = np.full(j - i, -1, np.int64)
-                    for d in np.flatnonzero(n).tolist():
-                        if int(k[d]) not in seen:
-                            seen[int(k[d])] = place[d] = len(sets)
-                            sets.append((int(k[d]), int(n[d])))
-                    own = place[owner]
-                    pieces.append((own[own >= 0].astype(np.uint16), sh[own >= 0]))
-                if not sets:
-                    continue
-                owner, sh = (np.concatenate([p[x] for p in pieces]) for x in (0, 1))
-                order = np.argsort(sh)
-                owner, sh = owner[order], sh[order]
-                edges = np.searchsorted(sh, np.array([-(-(r << 48) // n_ranges) for r in range(n_ranges + 1)], np.uint64))
-                name, number = f"{part}-{number}", number + 1
-                rows = [(-1, name, b"", np.array(sets, np.int64).tobytes())]
-                rows += [(r, name, owner[a:z].tobytes(), packed(sh[a:z])) for r, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if z > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        limits = np.array([-(-(r << 48) // n_ranges) for r in range(n_ranges + 1)], np.uint64)
+        for some in text_batches((b.column(0) for b in batches), batch_bytes):
+            pieces, sets, seen = [], [], {}
+            for i, j in bytewords.groups(some):
+                owner, sh = shingle_sets(some[i:j])
+                n, k, _ = set_keys(owner, sh, j - i)
+                place = np.full(j - i, -1, np.int64)
+                for d in np.flatnonzero(n).tolist():
+                    if int(k[d]) not in seen:
+                        seen[int(k[d])] = place[d] = len(sets)
+                        sets.append((int(k[d]), int(n[d])))
+                own = place[owner]
+                pieces.append((own[own >= 0].astype(np.uint16), sh[own >= 0]))
+            if not sets:
+                continue
+            owner, sh = (np.concatenate([p[x] for p in pieces]) for x in (0, 1))
+            order = np.argsort(sh)
+            owner, sh = owner[order], sh[order]
+            edges = np.searchsorted(sh, limits)
+            name, number = f"{part}-{number}", number + 1
+            rows = [(-1, name, b"", np.array(sets, np.int64).tobytes())]
+            rows += [(r, name, owner[a:z].tobytes(), packed(sh[a:z])) for r, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if z > a]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def count(batches):
         for r, rows in runs(batches, ("range", "batch", "owners", "body")):
