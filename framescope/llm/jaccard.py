@@ -7,9 +7,11 @@ one of them at least.  Searches then go from a pivot to the documents of its lis
 and a bounded block of documents: lists of the pivot's shingles, short ones merged with a heap, long ones probed by
 binary search only for documents that can still reach T (DivideSkip).
 
-Rounds: first every document is searched from the one pivot it meets most often, which joins large groups of near
-copies by a star instead of all pairs.  Then all pairs of documents that meet often enough and do not stand in one
-component yet are searched, so no link between components is lost, and components are what the join returns.
+Rounds: first every document is searched from one pivot, the most central document it meets, and once more from another
+member of its lists if it isn't in that one's component by then; large groups of near copies are joined by stars instead of
+all pairs.  Then the documents that share a list with another component search the neighbourhoods that they meet there often enough,
+a neighbourhood being the documents of one pivot.  Of each list only those outside its largest component search, so no
+link between components is lost, and components are what the join returns.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from framescope.llm.components import components
 from framescope.llm.shingles import describe, shared_sets
 from framescope.llm.storage import col, free_name, stored
 
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 60_000
 MU = 0.0085  # weight of a merge step against a probe when the lists are divided
 
 
@@ -36,64 +38,79 @@ def required_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def divide_skip(query: list[int], sets: list[tuple[int, np.ndarray]], query_size: int, percent: int) -> list[int]:
-    """Numbers of the sets that reach the overlap their sizes require with the query.  `sets` has (full size, shared elements)."""
-    need = [required_overlap(query_size, n, percent) for n, _ in sets]
-    least = min(need)
-    joined = np.concatenate([s for _, s in sets])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for _, s in sets])
-    wanted = np.sort(np.array(query, np.int64))
-    at = np.searchsorted(wanted, joined)
-    hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == joined) if len(wanted) else np.zeros(len(joined), bool)
-    at, owner = at[hit], owner[hit]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    lists = sorted((x.tolist() for x in np.split(owner, np.flatnonzero(np.diff(at)) + 1) if len(x)), key=len)
-    if len(lists) < least:
-        return []
-    n_long = min(int(least / (MU * log2(max(len(lists[-1]), 2)) + 1)), least - 1)
-    short, long = lists[:len(lists) - n_long], lists[len(lists) - n_long:]
-    found, heap = [], [(x[0], i, 0) for i, x in enumerate(short)]
-    heapq.heapify(heap)
-    while heap:
-        doc, count = heap[0][0], 0
-        while heap and heap[0][0] == doc:
-            _, i, p = heap[0]
-            count += 1
-            if p + 1 < len(short[i]):
-                heapq.heapreplace(heap, (short[i][p + 1], i, p + 1))
-            else:
-                heapq.heappop(heap)
-        left = len(long)
-        for x in reversed(long):
-            if count >= need[doc] or count + left < need[doc]:
-                break
-            left -= 1
-            p = bisect_left(x, doc)
-            count += p < len(x) and x[p] == doc
-        if count >= need[doc]:
-            found.append(doc)
-    return found
-
-
-def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link.  `sets` has node, n, shared (array).  All b of one a are searched together, in blocks of about
-    BLOCK_SHINGLES shingles."""
-    sizes = sets.select(F.col("node").alias("b"), "n")
-    blocks = pairs.join(sizes, "b").groupBy("a").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    members = placed.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "n", "shared", F.lit(False).alias("pivot"))
-    pivots = placed.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.col("a").alias("b"), "n", "shared", F.lit(True).alias("pivot"))
+class InvertedLists:
+    """Which sets hold an element.  `sets` has (full size, shared elements)."""
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        self.sizes = np.array([n for n, _ in sets], np.int64)
+        element = np.concatenate([s for _, s in sets])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for _, s in sets])
+        order = np.lexsort((owner, element))
+        self.element, self.owner = element[order], owner[order]
+
+    def divide_skip(self, query: np.ndarray, query_size: int, percent: int) -> list[int]:
+        """Numbers of the sets that reach the overlap their sizes require with the query."""
+        query = np.unique(query)
+        lo, hi = np.searchsorted(self.element, query, "left"), np.searchsorted(self.element, query, "right")
+        lists = sorted((self.owner[a:z].tolist() for a, z in zip(lo.tolist(), hi.tolist(), strict=True) if z > a), key=len)
+        need = [required_overlap(query_size, n, percent) for n in self.sizes.tolist()]
+        least = min(need)
+        if len(lists) < least:
+            return []
+        n_long = min(int(least / (MU * log2(max(len(lists[-1]), 2)) + 1)), least - 1)
+        short, long = lists[:len(lists) - n_long], lists[len(lists) - n_long:]
+        found, heap = [], [(x[0], i, 0) for i, x in enumerate(short)]
+        heapq.heapify(heap)
+        while heap:
+            doc, count = heap[0][0], 0
+            while heap and heap[0][0] == doc:
+                _, i, p = heap[0]
+                count += 1
+                if p + 1 < len(short[i]):
+                    heapq.heapreplace(heap, (short[i][p + 1], i, p + 1))
+                else:
+                    heapq.heappop(heap)
+            left = len(long)
+            for x in reversed(long):
+                if count >= need[doc] or count + left < need[doc]:
+                    break
+                left -= 1
+                p = bisect_left(x, doc)
+                count += p < len(x) and x[p] == doc
+            if count >= need[doc]:
+                found.append(doc)
+        return found
+
+
+def search(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a (query), b (member): links of every query with the members of its cell, one per other component in a block of members.
+
+    `members` and `queries` have cell, node and g (its component), `sets` has node, n, shared.  A task gets a block of a cell's
+    members and a block of its queries, each of about BLOCK_SHINGLES shingles, so a large cell is spread over many."""
+    sizes = sets.select("node", "n")
+    blocks = members.join(sizes, "node").groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    chunks = queries.join(sizes, "node").groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("chunks"))
+    cells = stored(blocks.join(chunks, "cell"), "near-cells")
+
+    def dealt(side: DataFrame, own: str, other: str, kind: bool) -> DataFrame:
+        d = side.join(cells, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return d.join(sets, "node").select("cell", F.col("own" if kind else "other").alias("block"), F.col("other" if kind else "own").alias("chunk"), F.lit(kind).alias("member"), "node", "g", "n", "shared")
 
     def run(table):
-        n, node = table.column("n").to_pylist(), table.column("b").to_pylist()
-        shared = [np.asarray(x.values) for x in table.column("shared")]
-        own = table.column("pivot").to_pylist().index(True)
-        rest = [i for i in range(len(n)) if i != own]
-        found = divide_skip(shared[own].tolist(), [(n[i], shared[i]) for i in rest], n[own], percent) if rest else []
-        return pa.table({"a": pa.array([node[own]] * len(found), pa.int64()), "b": pa.array([node[rest[i]] for i in found], pa.int64())})
-
-    return members.unionByName(pivots).groupBy("a", "block").applyInArrow(run, "a long, b long")
+        n, node, g, is_member = (table.column(c).to_pylist() for c in ("n", "node", "g", "member"))
+        shared = [x.values.to_numpy() for x in table.column("shared")]
+        inside = [i for i in range(len(n)) if is_member[i]]
+        a, b = [], []
+        if inside:
+            lists = InvertedLists([(n[i], shared[i]) for i in inside])
+            for q in (i for i in range(len(n)) if not is_member[i]):
+                by_component = {g[inside[m]]: node[inside[m]] for m in lists.divide_skip(shared[q], n[q], percent) if g[inside[m]] != g[q]}
+                a += [node[q]] * len(by_component)
+                b += by_component.values()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = dealt(members, "blocks", "chunks", True).unionByName(dealt(queries, "chunks", "blocks", False))
+    return rows.groupBy("cell", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -112,29 +129,56 @@ def meetings_needed(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(t - beyond, F.lit(1))
 
 
-def links_between_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect what all links connect.  `sets` has node, n, shared with one row per distinct set."""
+def components_of_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """node, label: the components of all links.  `sets` has node, n, shared with one row per distinct set."""
     rows = sets.select("node", "n", F.explode("shared").alias("s"))
     df = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = (rows.join(df, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
+    ranked = (rows.join(df, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"), (F.sum("df") / F.col("n")).alias("central"))
               .filter(F.size("r") * 100 >= F.col("n") * percent))
-    sets = stored(ranked.select("node", "n", F.col("r.s").alias("shared")), "near-sets")
-    unshared = F.col("n") - F.size("shared")
-    lists = stored(sets.select("node", "n", F.explode(F.slice("shared", 1, (prefix_length(F.col("n"), percent) - unshared).cast("int"))).alias("s")), "near-lists")
-
-    heads = lists.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("s", "a")
-    met = (lists.withColumnRenamed("node", "b").join(heads, "s").filter("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-           .groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")))
-    star = stored(search(stored(met.select("best.a", "b"), "near-pairs"), sets, percent), "near-links")
-
-    group = components(star)
-    named = lists.join(group, "node", "left").select("s", "node", "n", F.coalesce("label", "node").alias("g"))
-    mixed = named.groupBy("s").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("s")
-    open_lists = stored(named.join(mixed, "s"), "near-open")
-    left, right = open_lists.toDF("s", "a", "na", "ga"), open_lists.toDF("s", "b", "nb", "gb")
-    both = (left.join(right, "s").filter((F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & similar(F.col("na"), F.col("nb"), percent))
-            .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= meetings_needed(F.col("na"), F.col("nb"), percent)))
-    return star.unionByName(search(stored(both.select("a", "b"), "near-pairs"), sets, percent))
+    sets = stored(ranked.select("node", "n", "central", F.col("r.s").alias("shared")), "near-sets")
+    reach = (prefix_length(F.col("n"), percent) - (F.col("n") - F.size("shared"))).cast("int")
+    lists = stored(sets.select("node", "n", "central", F.explode(F.slice("shared", 1, reach)).alias("s")), "near-lists")
+    sets = sets.drop("central")
+
+    links, tried, group, home = None, None, None, None
+    for order in (F.col("central"), F.xxhash64("node")):
+        named = in_components(lists, group)
+        heads = (named.groupBy("s").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max(F.struct(order.alias("o"), "node", "n", "g")).alias("head"))
+                 .filter("g0 != g1").select("s", F.col("head.node").alias("a"), F.col("head.n").alias("m"), F.col("head.g").alias("ga")))
+        met = named.join(heads, "s").filter((F.col("g") != F.col("ga")) & similar(F.col("n"), F.col("m"), percent)).groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select("best.a", "b"), "near-pairs")
+        side = lambda c: pairs.select(F.col("a").alias("cell"), F.col(c).alias("node"), F.col(c).alias("g")).distinct()
+        found = stored(search(side("b"), side("a"), sets, percent), "near-links")
+        links = found if links is None else links.unionByName(found)
+        home = pairs.select(F.col("b").alias("node"), F.col("a").alias("home")) if tried is None else home
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        group = components(links)
+
+    whole = in_components(sets.select("node", "n"), group).join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    sizes = whole.groupBy("g").agg(F.count(F.lit(1)).alias("z"))
+    whole = stored(whole.join(sizes, "g"), "near-components")
+    open_lists = stored(lists.select("s", "node").join(whole, "node"), "near-open")
+    tops = open_lists.groupBy("s").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max(F.struct("z", "g")).alias("top")).filter("g0 != g1").select("s", F.col("top.g").alias("top"))
+    ranges = whole.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    present = open_lists.select("s", "home").distinct().join(ranges, "home").select("s", F.col("home").alias("cell"), "least", "most")
+    low, high = F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.least("most", F.floor(F.col("n") * 100 / percent))
+    meets = (open_lists.join(tops, "s").filter("g != top").select("s", "node", "g", "n").join(present, "s").filter(low <= high)
+             .groupBy("node", "g", "n", "cell", "least", "most").agg(F.count(F.lit(1)).alias("c"))
+             # The need is least at one end of the sizes; one less covers its rounding.
+             .filter(F.col("c") >= F.least(meetings_needed(F.col("n"), low, percent), meetings_needed(F.col("n"), high, percent)) - 1))
+    queries = stored(meets.select("cell", "node", "g"), "near-queries")
+    members = whole.select(F.col("home").alias("cell"), "node", "g").join(queries.select("cell").distinct(), "cell", "left_semi")
+    rest = stored(search(members, queries, sets, percent), "near-links")
+    return components(links.unionByName(rest))
+
+
+def in_components(nodes: DataFrame, group: DataFrame | None) -> DataFrame:
+    """With column g, the component; a node without links is one of its own."""
+    if group is None:
+        return nodes.withColumn("g", F.col("node"))
+    return nodes.join(group, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
 
 
 def near_groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,7 +196,7 @@ def near_groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: s
         raise ValueError("two shingle sets have one hash; change shingles.SALT")
     sets = stored(shared_sets(docs, total, percent, key, text), "near-shared")
     sets = sets.groupBy("set_key", "n_shingles").agg(F.first("shared").alias("shared")).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "shared")
-    group = components(stored(links_between_sets(stored(sets, "near-distinct"), percent), "near-links"))
+    group = components_of_sets(stored(sets, "near-distinct"), percent)
     grouped = nodes.join(group.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     names = grouped.groupBy("label").agg(F.min("doc").alias("component_id"))
     by_set = stored(grouped.join(names, "label").select("set_key", "component_id"), "near-names")
