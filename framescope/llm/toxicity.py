@@ -25,19 +25,26 @@ PAD = 1 << ROWS_BITS  # a row of zeros
 
 
 def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the table by word and text, with two PAD words after each text; first word of each text)."""
+    """(rows of the table by word and text; first word of each text).  After each text come as many PAD words as the widest
+    filter has, so that a window that begins in one text, or at the first PAD of an empty one, never reaches the next."""
     w = bytewords.Words(texts, bytewords.letters())
     whole, head = w.word_hashes(), w.hashes(w.begin, np.minimum(w.begin + PREFIX, w.end))
     mask = np.uint64((1 << ROWS_BITS) - 1)
     head = bytewords.mixed(head ^ np.uint64(0x5851F42D4C957F2D))
     rows = np.stack([h >> np.uint64(s) & mask for h in (whole, head) for s in (0, 32)], 1).astype(np.int32)
     sizes = np.bincount(w.owner, minlength=len(texts))
-    first = np.concatenate([[0], np.cumsum(sizes + 2)])
+    first = np.concatenate([[0], np.cumsum(sizes + WIDTHS[-1])])
     out = np.full((first[-1], 4), PAD, np.int32)
-    out[np.arange(len(rows)) + 2 * w.owner] = rows
+    out[np.arange(len(rows)) + WIDTHS[-1] * w.owner] = rows
     return out, first
 
 
+def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of each text begin and end: at its words, or at one PAD if it has none."""
+    begin, words = first[:-1], np.diff(first) - WIDTHS[-1]
+    return begin, begin + np.maximum(words, 1)
+
+
 @dataclass
 class TextConvolution:
     table: np.ndarray
@@ -56,7 +63,8 @@ class TextConvolution:
         out = np.empty(len(texts))
         for a, b in bytewords.groups(texts):
             rows, first = word_rows(texts[a:b])
-            pooled = np.concatenate([np.maximum.reduceat(m, first[:-1]) for m in self.maps(rows)[1]], 1)
+            ranges = np.stack(window_starts(first), 1).reshape(-1)
+            pooled = np.concatenate([np.maximum.reduceat(m, ranges)[::2] for m in self.maps(rows)[1]], 1)
             out[a:b] = 1 / (1 + np.exp(-np.clip(np.maximum(pooled, 0) @ self.head + self.intercept, -40, 40).astype(float)))
         return out
 
@@ -104,7 +112,8 @@ def train(texts: list[bytes], y: np.ndarray, langs: list[str | None], epochs: in
             r = np.concatenate([rows[i] for i in chosen])
             first = np.concatenate([[0], np.cumsum([len(rows[i]) for i in chosen])])
             x, maps = model.maps(r)
-            peaks = [np.stack([first[d] + m[first[d]:first[d + 1]].argmax(0) for d in range(len(chosen))]) for m in maps]
+            spans = list(zip(*window_starts(first), strict=True))
+            peaks = [np.stack([a + m[a:z].argmax(0) for a, z in spans]) for m in maps]
             pooled = [np.take_along_axis(m, p, 0) for m, p in zip(maps, peaks, strict=True)]
             hidden = np.maximum(np.concatenate(pooled, 1), 0)
             p = 1 / (1 + np.exp(-(hidden @ model.head + model.intercept)))

@@ -27,11 +27,18 @@ def test_maxima_equal_a_loop():
     texts = [b"one two three four", b"", b"seven", "café au lait".encode()]
     for text, got in zip(texts, model.score(texts), strict=True):
         rows, _ = toxicity.word_rows([text])
-        x = np.concatenate([model.table[rows].sum(1), np.zeros((2, toxicity.DIM))])
-        pooled = [max(sum(x[i + j] @ f[j][:, k] for j in range(len(f))) + b[k] for i in range(len(rows))) for f, b in zip(model.filters, model.biases, strict=True) for k in range(toxicity.FILTERS)]
+        n, x = max(len(rows) - 3, 1), np.concatenate([model.table[rows].sum(1), np.zeros((2, toxicity.DIM))])
+        pooled = [max(sum(x[i + j] @ f[j][:, k] for j in range(len(f))) + b[k] for i in range(n)) for f, b in zip(model.filters, model.biases, strict=True) for k in range(toxicity.FILTERS)]
         assert got == pytest.approx(1 / (1 + np.exp(-(np.maximum(pooled, 0) @ model.head + 0.1))), abs=1e-4)
 
 
+def test_score_does_not_depend_on_neighbours(prose):
+    texts = [prose(n, n).encode() for n in (3, 1, 40, 7)] + [b"", b"x"]
+    rng = np.random.default_rng(1)
+    model = toxicity.train(texts * 5, (rng.random(30) < 0.5).astype(float), ["a"] * 30)
+    assert model.score(texts) == pytest.approx([model.score([t])[0] for t in texts], abs=1e-6)
+
+
 def test_learns_words_and_word_beginnings(prose):
     bad = ["frobnix", "frobnag", "zulkar"]
     texts = [prose(30, i) + (" " + bad[i % 3] + " " + prose(5, i) if i % 4 == 0 else "") for i in range(800)]
