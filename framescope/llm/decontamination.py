@@ -73,7 +73,8 @@ def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS, percent: int =
     """One row per contaminated document and item: key, text_hash, item_id, position (first word of the best window, from 0),
     n_words, hamming, similarity.
 
-    Null and empty texts and items match nothing.  Rows equal in key and text give one result; ties go to the first window.
+    Null and empty texts and items match nothing.  Rows equal in key and text give one result; of equally similar windows that were
+    candidates the first gives the position.
     A document shorter than the item is one window.  Items of fewer than five words are one shingle of all their words.
     Empty tables give no rows; other columns are ignored.
     """
@@ -130,3 +131,19 @@ def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     bad = stored(find(docs, items, key=key, text=text, **params).select(F.col(key).alias("__leak_key"), F.col("text_hash").alias("__leak_hash")).distinct(), "leak-rows")
     bad = broadcast_if_small(bad, SMALL_DOCUMENTS)
     return docs.join(bad, col(key).eqNullSafe(F.col("__leak_key")) & (F.xxhash64(col(text)) == F.col("__leak_hash")), "left_anti")
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_BAG = "list_transform(range(1, greatest(len(ws) - {n} + 2, 1)), lambda i: array_to_string(ws[i:i+{n}-1], ' '))"
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS MATERIALIZED (SELECT item_id, len(ws) AS m, least(len(ws), 5) AS span, ws FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+ib AS MATERIALIZED (SELECT item_id, m, span, s, count(*) AS c FROM (SELECT item_id, m, span, unnest({_BAG.format(n="span")}) AS s FROM i) GROUP BY ALL),
+ds AS (SELECT doc_id, span, unnest({_BAG.format(n="span")}) AS s FROM d, (SELECT DISTINCT span FROM i)),
+pr AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, m, span FROM ds JOIN ib USING (span, s)),
+wn AS (SELECT doc_id, item_id, m, span, st, ws[st+1:st+m] AS ws FROM (SELECT pr.*, d.ws, unnest(range(greatest(1, len(d.ws) - m + 1))) AS st FROM pr JOIN d USING (doc_id))),
+wb AS (SELECT doc_id, item_id, m, st, len, s, count(*) AS c FROM (SELECT doc_id, item_id, m, st, greatest(len(ws) - 4, 1) AS len, unnest({_BAG.format(n="least(len(ws), 5)")}) AS s FROM wn) GROUP BY ALL),
+sc AS (SELECT doc_id, item_id, wb.m, st, len + greatest(wb.m - 4, 1) AS both_, sum(least(wb.c, ib.c))::bigint AS common FROM wb JOIN ib USING (item_id, s) GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, m, st, common::double / (both_ - common) AS similarity FROM sc WHERE common * 100 >= (both_ - common) * 80)
+SELECT doc_id, item_id, m::int AS n_words, max(similarity) AS similarity FROM ok GROUP BY ALL
+"""

@@ -213,3 +213,18 @@ def one_per_group(docs: DataFrame, percent: int = 80, key: str = "doc_id", text:
     group = near_groups(named, percent, own, text).filter(F.col(own).eqNullSafe(F.col("component_id"))).select(F.col(own).alias("__near_kept")).distinct()
     kept = named.join(stored(group, "near-kept"), F.col(own).eqNullSafe(F.col("__near_kept")), "left_semi")
     return kept.dropDuplicates([own]).drop(own)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({_LOWER}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::varchar[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+   ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, c.root AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) c ON c.doc_id = d.doc_id
+"""

@@ -70,13 +70,13 @@ def op3(spark, d):
     return imatch.edit_report(table(spark, d, "documents"))
 
 
-@query("op6_simhash_decontamination")
+@query("op6_simhash_decontamination", decontamination.SQL)
 def op6(spark, d):
     found = decontamination.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    return found.select("doc_id", "item_id", "position", "n_words", "hamming", "similarity")
+    return found.select("doc_id", "item_id", "n_words", "similarity")
 
 
-@query("op7_divide_skip_join")
+@query("op7_divide_skip_join", jaccard.SQL)
 def op7(spark, d):
     return jaccard.near_groups(table(spark, d, "documents"))
 
