@@ -17,17 +17,27 @@ from framescope.operators.packetlog import GATE_AFTER, GATE_MAX
 from framescope.operators.telemetry import spread_or_zero
 
 
-def replay(spark: SparkSession, df: DataFrame, slice_col, slices: int) -> DataFrame:
-    """A table as a stream: one file per time slice, in order, one micro-batch each."""
+def replay(spark: SparkSession, df: DataFrame, slice_col, slices: int, closing: DataFrame | None = None) -> DataFrame:
+    """A table as a stream: one file per time slice, in order, one micro-batch each, and last the `closing` rows."""
     path = layout.scratch_path(spark, "replay")
     cut = layout.cut_lineage(df.withColumn("_slice", slice_col))
     for i in range(slices):
         cut.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.select(df.columns).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def closing_event(df: DataFrame, delay: str, size: str, ts: str = "ts") -> DataFrame:
+    """The latest row, moved so far ahead that the watermark passes every window of `size` that `df` opens.  Its own window stays
+    open, so it is in no result.  `df` holds the rows that reach the operator's watermark."""
+    ahead = F.expr(f"interval {delay}") + F.expr(f"interval {size}") + F.expr("interval 1 second")
+    return df.orderBy(F.col(ts).desc_nulls_last()).limit(1).withColumn(ts, F.col(ts) + ahead)
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Processes what is there and returns the result as a table."""
+    """Processes what is there and returns the result as a table.  Windows that the watermark has not passed stay open and are
+    not in it; a replay that ends with a `closing_event` has none of its own."""
     spark = stream.sparkSession
     out, state = layout.scratch_path(spark, "stream-out"), layout.scratch_path(spark, "stream-state")
     q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state)

@@ -18,3 +18,21 @@ def test_stream_equals_batch(spark, sf):
     a = load.QUERIES["st10_static_plan"](spark, sf)
     b = load.QUERIES["j05_plan_in_force"](spark, sf)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_closed_replay_emits_the_last_windows(spark):
+    from pyspark.sql import functions as F
+    hours = [(1, 1), (1, 2), (1, 30), (1, 100), (1, 101), (2, 99)]
+    df = spark.createDataFrame([(s, h, 100, "view") for s, h in hours] + [(1, 200, 100, "error")], "stream_id long, h long, packet_bytes long, event_type string")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("h") * 3600)).drop("h")
+    talk = df.where("event_type != 'error'")
+
+    def rows(operator, table, length, **params):
+        live = ST.replay(spark, df, F.when(F.col("ts") < F.timestamp_seconds(F.lit(50 * 3600)), 0).otherwise(1), 2, ST.closing_event(table, "1 day", length))
+        out = ST.run_to_table(operator(live, delay="1 day", **params)).collect()
+        return sorted((r["stream_id"], int(r["start"].timestamp()) // 3600, r["packets" if "packets" in r else "frames"]) for r in out)
+
+    want = [(1, h - h % 4 - back) for s, h in hours + [(1, 200)] if s == 1 for back in (0, 4, 8)] + [(2, 96 - back) for back in (0, 4, 8)]
+    assert rows(ST.sliding_rates, df, "12 hours", size="12 hours", slide="4 hours") == sorted((s, h, want.count((s, h))) for s, h in set(want))
+    spurts = rows(ST.talk_spurts, talk, "6 hours", active=F.col("event_type") != "error", gap="6 hours")
+    assert spurts == [(1, 1, 2), (1, 30, 1), (1, 100, 2), (2, 99, 1)]
