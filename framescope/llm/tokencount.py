@@ -220,36 +220,56 @@ class Merger:
             rest = rest[found[rest] != keys[rest]]
         return out
 
+    def full(self) -> bool:
+        return len(self.states) > self.STATES or len(self.moves) > self.SLOTS // 2
+
+    def restart_from(self, used: np.ndarray) -> np.ndarray:
+        """Empties the table but for the states in `used`; their new numbers."""
+        numbers, back = np.unique(used, return_inverse=True)
+        names = [self.states[s] for s in numbers.tolist()]
+        self.restart()
+        for name in names:
+            if name not in self.state_of:
+                self.state_of[name] = len(self.states)
+                self.states.append(name)
+        return np.array([self.state_of[name] for name in names], np.int64)[back]
+
     def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        if len(self.states) > self.STATES or len(self.moves) > self.SLOTS // 2:
-            self.restart()
+        """Tokens of each piece.  Pieces step together, at most SLOTS / 4 of them, so that one step's moves fit a half-full table."""
         order = np.argsort(-np.minimum(length, self.LONG + 1).astype(np.int8), kind="stable")
-        begin, size = start[order], length[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        out, most = np.zeros(len(order), np.int64), self.SLOTS // 4
+        for at in range(0, len(order), most):
+            some = order[at:at + most]
+            out[some] = self._counts(data, start[some], length[some])
+        return out
+
+    def _counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same for pieces in falling order of their lengths up to LONG + 1."""
+        if self.full():
+            self.restart()
+        state, total = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         longer = np.searchsorted(-size.clip(max=self.LONG + 1), -np.arange(1, self.LONG + 1), side="right")
         for k in range(self.LONG):
             n = longer[k]
             if not n:
                 break
+            if self.full():  # the shorter pieces are done; start anew from the states of the others
+                state[:n] = self.restart_from(state[:n])
             move = self.moves_for(state[:n] << 8 | data[begin[:n] + k])
             state[:n] = move >> 8
             total[:n] += (move & 255) - 128
-        for i in np.flatnonzero(size > self.LONG).tolist():
+        long = np.flatnonzero(size > self.LONG)
+        for j, i in enumerate(long.tolist()):
             s, t = int(state[i]), int(total[i])
             for byte in data[begin[i] + self.LONG:begin[i] + size[i]].tobytes():
                 key = s << 8 | byte
                 move = self.moves.get(key) or self.compile(key)
                 s, t = move >> 8, t + (move & 255) - 128
-                if len(self.moves) > self.SLOTS * 3 // 4:  # a piece of new states only: start anew from this state
-                    name = self.states[s]
-                    self.restart()
-                    s = self.state_of.setdefault(name, len(self.states))
-                    if s == len(self.states):
-                        self.states.append(name)
+                if len(self.moves) > self.SLOTS * 3 // 4:  # start anew from this state and those of the pieces to come
+                    fresh = self.restart_from(np.append(state[long[j + 1:]], s))
+                    state[long[j + 1:]], s = fresh[:-1], int(fresh[-1])
             total[i] = t
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        return total
 
 
 class CompiledTokenizer:

@@ -44,6 +44,18 @@ def test_table_that_fills_up(both, prose, monkeypatch):
     same((ours, both[1]), [prose(40, n) for n in range(40)])
 
 
+@pytest.mark.parametrize("slots", [1 << 10, 1 << 13])
+def test_table_that_fills_up_inside_one_call(both, monkeypatch, slots):
+    monkeypatch.setattr(tokencount.Merger, "SLOTS", slots)
+    ours = tokencount.CompiledTokenizer(*tokencount.read_byte_bpe(PATH))
+    rnd = random.Random(6)
+
+    def word(n):
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    same((ours, both[1]), [" ".join(word(rnd.randint(1, 40)) for _ in range(1500)), *[word(rnd.randint(60, 400)) for _ in range(20)]])
+
+
 def test_chunk_maps_agree_with_one_walk(monkeypatch, prose):
     import numpy as np
     data = np.frombuffer("\xff".join([prose(80, 1), "it's  we'll \n x", "", "  "]).encode("latin-1", "replace").replace(b"?", b"e") + b"\xff", np.uint8)
