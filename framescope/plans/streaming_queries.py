@@ -26,7 +26,7 @@ def third(ts):
 def live(spark, sf):
     """Telemetry as a stream with a real timestamp."""
     t = V.telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return ST.replay(spark, t, third(F.col("ts")), SLICES)
+    return ST.replay(spark, t, third(F.col("ts")), SLICES, order="ts")
 
 
 def plain(col):
@@ -100,7 +100,7 @@ def st07(spark, sf):
     late = F.when(S.draw("event_id", 43, "late") < S.d(0.05), 1).otherwise(0)
     t = t.select("stream_id", F.col("frame_index").alias("seq"), F.col("ts").cast("timestamp").alias("arrival"), "event_id")
     slot = F.least(F.lit(SLICES - 1), third(F.col("arrival")) + late)
-    return ST.run_to_table(ST.gap_events(ST.replay(spark, t, slot, SLICES).select("stream_id", "seq", "arrival"), reorder=16))
+    return ST.run_to_table(ST.gap_events(ST.replay(spark, t, slot, SLICES, order="arrival").select("stream_id", "seq", "arrival"), reorder=16))
 
 
 @query("st08_without_duplicates", with_views("tel", "SELECT stream_id, frame_index AS seq, packet_bytes FROM tel"))

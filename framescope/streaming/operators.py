@@ -1,7 +1,8 @@
 """The same rules on live frames.  Order within a stream is by (time, sequence number).
 
 State is one small row per stream.  What one micro-batch brings for a stream is
-bounded by the source's admission settings (files, bytes or offsets per trigger).
+bounded by the source's admission settings (files, bytes or offsets per trigger);
+a replay's files hold about FILE_ROWS rows.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from framescope.functions import scalar as S
@@ -17,17 +19,37 @@ from framescope.operators.packetlog import GATE_AFTER, GATE_MAX
 from framescope.operators.telemetry import spread_or_zero
 
 
-def replay(spark: SparkSession, df: DataFrame, slice_col, slices: int, closing: DataFrame | None = None) -> DataFrame:
-    """A table as a stream: one file per time slice, in order, one micro-batch each, and last the `closing` rows."""
+FILE_ROWS = 1_000_000
+
+
+def replay(spark: SparkSession, df: DataFrame, slice_col, slices: int, closing: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """A table as a stream: time slices in order, and last the `closing` rows.  A slice is cut at values of the timestamp `order` into
+    files of about FILE_ROWS rows (rows of one time stay together; without `order` it is one file), one micro-batch each."""
     path = layout.scratch_path(spark, "replay")
     cut = layout.cut_lineage(df.withColumn("_slice", slice_col))
     for i in range(slices):
-        cut.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+        part = cut.where(F.col("_slice") == i).drop("_slice")
+        for piece in _pieces(part, order):
+            piece.coalesce(1).write.mode("append").parquet(path)
     if closing is not None:
         closing.select(df.columns).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _pieces(part: DataFrame, order: str | None) -> list[DataFrame]:
+    n = -(-part.count() // FILE_ROWS) if order else 1
+    if n < 2:
+        return [part]
+    at = part.withColumn("_at", F.coalesce(F.unix_micros(order), F.lit((1 << 63) - 1)))
+    edges = at.where(F.col(order).isNotNull()).withColumn("_at", F.col("_at").cast("double")).approxQuantile("_at", [i / n for i in range(1, n)], 0.1 / n)
+    edges = sorted({int(e) for e in edges})
+    path = layout.scratch_path(part.sparkSession, "pieces")
+    number = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: F.col("_at") >= e))
+    at.withColumn("_piece", number).drop("_at").write.partitionBy("_piece").parquet(path)
+    stored = part.sparkSession.read.schema(T.StructType([*part.schema.fields, T.StructField("_piece", T.IntegerType())])).parquet(path)
+    return [stored.where(F.col("_piece") == i).drop("_piece") for i in range(len(edges) + 1)]
+
+
 def closing_event(df: DataFrame, delay: str, size: str, ts: str = "ts") -> DataFrame:
     """The latest row, moved so far ahead that the watermark passes every window of `size` that `df` opens.  Its own window stays
     open, so it is in no result.  `df` holds the rows that reach the operator's watermark."""
@@ -157,22 +179,29 @@ def bucket_alarm(frames: DataFrame, limit: int) -> DataFrame:
     return _stateful(frames, step, (0,), "stream_id long, seq long, level long", "level long")
 
 
-def gap_events(packets: DataFrame, reorder: int = 64) -> DataFrame:
-    """lost when a sequence number is skipped, restored if it arrives within `reorder` numbers,
-    late (counted, not used) if it comes after that or twice."""
+def gap_ranges(packets: DataFrame, reorder: int = 64) -> DataFrame:
+    """first, last, event.  lost when sequence numbers are skipped (one row, however long the gap), restored if one arrives within
+    `reorder` numbers, late (counted, not used) if it comes after that or twice."""
     def step(s, r):
         nxt, missing = s[0], set(s[1])
         seq, out = int(r.seq), []
         if seq >= nxt:
-            out = [(m, "lost") for m in range(nxt, seq)]
+            if seq > nxt:
+                out = [(nxt, seq - 1, "lost")]
             missing.update(range(max(nxt, seq - reorder + 1), seq))
             nxt = seq + 1
             missing = {m for m in missing if m > nxt - 1 - reorder}
         elif seq in missing:
             missing.discard(seq)
-            out = [(seq, "restored")]
+            out = [(seq, seq, "restored")]
         else:
-            out = [(seq, "late")]
+            out = [(seq, seq, "late")]
         return (nxt, sorted(missing)), out
 
-    return _stateful(packets, step, (0, []), "stream_id long, seq long, event string", "next long, missing array<long>", ("arrival", "seq"))
+    return _stateful(packets, step, (0, []), "stream_id long, first long, last long, event string", "next long, missing array<long>", ("arrival", "seq"))
+
+
+def gap_events(packets: DataFrame, reorder: int = 64, block: int = 1 << 16) -> DataFrame:
+    """One row per number of `gap_ranges`, made `block` at a time."""
+    r = gap_ranges(packets, reorder).withColumn("_from", F.explode(F.sequence("first", "last", F.lit(block))))
+    return r.select("stream_id", F.explode(F.sequence("_from", F.least("last", F.col("_from") + (block - 1)))).alias("seq"), "event")

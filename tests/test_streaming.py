@@ -36,3 +36,23 @@ def test_closed_replay_emits_the_last_windows(spark):
     assert rows(ST.sliding_rates, df, "12 hours", size="12 hours", slide="4 hours") == sorted((s, h, want.count((s, h))) for s, h in set(want))
     spurts = rows(ST.talk_spurts, talk, "6 hours", active=F.col("event_type") != "error", gap="6 hours")
     assert spurts == [(1, 1, 2), (1, 30, 1), (1, 100, 2), (2, 99, 1)]
+
+
+def test_slices_are_cut_into_bounded_files_in_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(ST, "FILE_ROWS", 10)
+    times = [(7 * i) % 60 for i in range(60)]
+    df = spark.createDataFrame([(1, t, t) for t in times] + [(2, 100, t) for t in (1, 5)], "stream_id long, excess long, seq long").withColumn("ts", F.timestamp_seconds("seq"))
+    live = ST.replay(spark, df, F.when(F.col("seq") < 40, 0).otherwise(1), 2, order="ts")
+    per_file = live.select("*", F.col("_metadata.file_path").alias("file"))
+    sizes = [r["count"] for r in ST.run_to_table(per_file).groupBy("file").count().collect()]
+    assert sum(sizes) == 62 and max(sizes) <= 20 and len(sizes) >= 5
+    got = {(r["stream_id"], r["seq"], r["level"]) for r in ST.run_to_table(ST.bucket_alarm(live, 0)).collect()}
+    assert got == {(1, t, t * (t + 1) // 2) for t in range(60)} | {(2, 1, 100), (2, 5, 200)}
+
+
+def test_one_jump_is_one_row(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, 0, 0), (1, 1 << 40, 1), (1, (1 << 40) - 3, 2), (1, 5, 3)], "stream_id long, seq long, arrival long").withColumn("arrival", F.timestamp_seconds("arrival"))
+    got = sorted(tuple(r) for r in ST.run_to_table(ST.gap_ranges(ST.replay(spark, df, F.lit(0), 1), reorder=8)).collect())
+    assert got == [(1, 1, (1 << 40) - 1, "lost"), (1, 5, 5, "late"), (1, (1 << 40) - 3, (1 << 40) - 3, "restored")]
