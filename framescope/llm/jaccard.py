@@ -30,6 +30,7 @@ from framescope.llm.shingles import describe, shared_sets
 from framescope.llm.storage import col, free_name, stored
 
 BLOCK_SHINGLES = 60_000
+BLANKS = " \t\n\x0b\f\r"
 MU = 0.0085  # weight of a merge step against a probe when the lists are divided
 
 
@@ -206,13 +207,15 @@ def near_groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: s
 
 def one_per_group(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows and columns of `docs` without near copies: of each component the row with the smallest key stays, null keys
-    coming last and equal keys in the order of a hash of the text; of fully equal rows one stays."""
+    coming last and equal keys in the order of a hash of the text; of rows with equal key and text one stays.  Rows without
+    words link with nothing: all of them stay."""
     own = free_name(docs, "__near_row")
+    wordless = F.length(F.btrim(F.coalesce(col(text), F.lit("")), F.lit(BLANKS))) == 0
     row = F.struct(col(key).isNull().alias("missing"), col(key).alias("key"), F.xxhash64(col(text)).alias("text"))
-    named = docs.withColumn(own, row)
+    named = docs.filter(~wordless).withColumn(own, row)
     group = near_groups(named, percent, own, text).filter(F.col(own).eqNullSafe(F.col("component_id"))).select(F.col(own).alias("__near_kept")).distinct()
     kept = named.join(stored(group, "near-kept"), F.col(own).eqNullSafe(F.col("__near_kept")), "left_semi")
-    return kept.dropDuplicates([own]).drop(own)
+    return kept.dropDuplicates([own]).drop(own).union(docs.filter(wordless))
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -118,3 +118,9 @@ def test_odd_rows(frame, odd_rows):
     assert Counter(r["doc_id"] for r in jaccard.one_per_group(frame(odd_rows)).collect()) == Counter([1, 2, 3, 4, None, 6, 6, 8, 9])
     assert jaccard.near_groups(frame([])).count() == 0
     assert jaccard.one_per_group(frame([])).count() == 0
+
+
+def test_rows_without_words_all_stay(frame, prose):
+    rows = [(None, None, "de", "a"), (None, None, "en", "b"), (None, "", "fr", "b"), (1, " \t", "en", "a"), (1, " \t", "en", "c"), (2, prose(9, 1), "en", "a"), (2, prose(9, 1), "en", "b")]
+    kept = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in jaccard.one_per_group(frame(rows)).collect()]
+    assert Counter(k for k in kept if k[0] != 2) == Counter(rows[:5]) and len([k for k in kept if k[0] == 2]) == 1
