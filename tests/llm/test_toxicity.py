@@ -19,6 +19,15 @@ def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark, frame, prose):
     assert all(out[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(200))
 
 
+def test_one_row_of_a_repeated_key_is_sampled(spark, frame, prose):
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, prose(5, i)) for i in range(40)] + [(kept[0], prose(5, 100 + n), f"l{n}") for n in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = [labelled(frame(some), labels, "toxic", 20, extra=("lang",)).collect() for some in (rows, rows[::-1])]
+    assert len(got[0]) == 20 and sorted(got[0]) == sorted(got[1])
+    assert got[0][0].__fields__ == ["text", "label", "lang"]
+
+
 def test_maxima_equal_a_loop():
     rng = np.random.default_rng(0)
     model = toxicity.TextConvolution(rng.normal(0, 1, (toxicity.PAD + 1, toxicity.DIM)).astype(np.float32), [rng.normal(0, 1, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
