@@ -11,7 +11,9 @@ are those that line a shared shingle up with its place in the item, and all star
 apart or less: a window that lines up with none of its shared shingles lies between two such starts, or the nearest
 one holds all its shared shingles too.
 
-The expected distance at similarity 0.8 is 10 bits with a deviation of 3; the radius of 24 leaves a miss five deviations out.
+The expected distance at similarity 0.8 is 10 bits with a deviation of 3 if shingles occur once; the radius of 24 then leaves a miss five
+deviations out.  A shingle repeated c times weighs c*c in the angle but c in the similarity, so copies with long runs of one word
+can be missed.
 """
 
 from __future__ import annotations
