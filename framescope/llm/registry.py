@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import decontamination, imatch, jaccard, mixing, packing, pii, quality, sharding, tokencount, toxicity
+from framescope.llm import decontamination, imatch, jaccard, mixing, packing, phrases, pii, quality, sharding, tokencount, toxicity
 from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7(spark, d):
 @query("op2_weak_supervision_pii")
 def op2(spark, d):
     return pii.find_spans(table(spark, d, "documents"))[0]
+
+
+@query("op11_prefix_free_collocations", phrases.SQL)
+def op11(spark, d):
+    return phrases.collocations(table(spark, d, "documents").select("text", "lang"))
