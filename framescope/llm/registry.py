@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import decontamination, imatch, jaccard, mixing, packing, phrases, pii, quality, sharding, tokencount, toxicity
+from framescope.llm import chat, decontamination, imatch, jaccard, mixing, packing, phrases, pii, quality, sharding, tokencount, toxicity, whitening
 from framescope.llm.supervision import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,16 @@ def op2(spark, d):
 @query("op11_prefix_free_collocations", phrases.SQL)
 def op11(spark, d):
     return phrases.collocations(table(spark, d, "documents").select("text", "lang"))
+
+
+@query("op12_template_chat", chat.SQL)
+def op12(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema))
+    return chat.read_back(chat.format_conversations(turns, chat.TEMPLATE, chat.CONTROLS, chat.KNOWN)).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_incremental_whitening")
+def op13(spark, d):
+    return whitening.by_component(whitening.whiten(table(spark, d, "embeddings"), components=8))
