@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.storage import col
+from framescope.llm.storage import col, lean
 
 PACKED = ("block string, row int, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, "
           "input_ids binary, position_ids binary")
@@ -72,11 +72,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def split(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
-    return [ids[a:a + capacity] for a in range(0, len(ids), capacity)]
-
-
-def pack(docs: DataFrame, vocabulary: str, pattern: str, context: int = 2048, end_id: int = 50256, group_tokens: int = 1 << 22,
+def pack(docs: DataFrame, vocabulary: str, pattern: str, context: int = 2048, end_id: int = 50256, group_tokens: int = 1 << 20,
          pad_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`vocabulary` is a file of `base64 rank` lines on the driver; without special tokens, their strings are ordinary text.
 
@@ -96,35 +92,42 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, context: int = 2048, en
         import tiktoken
         from pyspark import TaskContext
         encode = tiktoken.Encoding("ordinary", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
-        part, group, held, pieces = TaskContext.get().partitionId(), 0, 0, []
+        part, group, held, keys, ids = TaskContext.get().partitionId(), 0, 0, [], []
 
         def flush():
-            rows = best_fit_decreasing([len(p[2]) for p in pieces], context)
-            for start in range(0, len(rows), 256):
+            sizes = np.array([len(x) for x in ids])
+            n_pieces = -(-sizes // context)
+            owner = np.repeat(np.arange(len(ids)), n_pieces)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            lengths = np.minimum(sizes[owner] - number * context, context)
+            rows = best_fit_decreasing(lengths.tolist(), context)
+            for start in range(0, len(rows), 128):
                 out = {n: [] for n in ("block", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", "position_ids")}
-                for r in range(start, min(start + 256, len(rows))):
-                    parts = [pieces[i] for i in rows[r]]
-                    ends = np.cumsum([0, *[len(p[2]) for p in parts]])
-                    ids, pos = np.full(context, pad_id, "<i4"), np.zeros(context, "<i4")
-                    ids[:ends[-1]] = np.concatenate([p[2] for p in parts])
-                    pos[:ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
-                    for name, value in zip(out, (f"{part}-{group}", r, int(ends[-1]), [p[0] for p in parts], [p[1] for p in parts], ends.tolist(), ids.tobytes(), pos.tobytes()), strict=True):
+                for r in range(start, min(start + 128, len(rows))):
+                    parts = rows[r]
+                    ends = np.cumsum([0, *lengths[parts].tolist()])
+                    row, pos = np.full(context, pad_id, "<i4"), np.zeros(context, "<i4")
+                    for p, a, z in zip(parts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                        first = int(number[p]) * context
+                        row[a:z] = ids[owner[p]][first:first + z - a]
+                        pos[a:z] = np.arange(z - a)
+                    for name, value in zip(out, (f"{part}-{group}", r, int(ends[-1]), [keys[owner[p]] for p in parts], number[parts].tolist(), ends.tolist(), row.tobytes(), pos.tobytes()), strict=True):
                         out[name].append(value)
                 types = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(t), end_id], "<u4").astype("<i4")
-                pieces.extend((k, i, p) for i, p in enumerate(split(ids, context)))
-                held += len(ids)
+            for k, t in zip(b.column(0), b.column(1), strict=True):
+                ids.append(np.array([*encode(t.as_py()), end_id], "<i4"))
+                keys.append(k.as_py())
+                held += len(ids[-1])
                 if held >= group_tokens:
                     yield from flush()
-                    pieces, held, group = [], 0, group + 1
-        if pieces:
+                    keys, ids, held, group = [], [], 0, group + 1
+        if ids:
             yield from flush()
 
-    return base.mapInArrow(run, PACKED)
+    return base.mapInArrow(lean(run), PACKED)
 
 
 def write_packed(packed: DataFrame, folder: str) -> None:

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.llm import bytewords
-from framescope.llm.storage import broadcast_if_small, col, stored
+from framescope.llm.storage import broadcast_if_small, col, lean, stored
 
 LONGEST = 5
 CHUNK = 32  # one window in so many triggers a cut
 OWN_WORDS = 4096  # a chunk without a trigger is cut after so many words
-BATCH_BYTES = 8 << 20  # of chunks, counted together before their phrases are shuffled
+BATCH_BYTES = 4 << 20  # of chunks, counted together before their phrases are shuffled
 FILTER_BITS = 1 << 26
 SMALL_LANGS = 100_000
 TOP_ROWS = 200_000  # rows that one sorting task of the ranking gets
@@ -91,17 +91,30 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return w.owner[starts], own_end - starts, [body[i:j] for i, j in zip(a, z, strict=True)]
 
 
+def _text_groups(column: pa.Array):
+    """(number of the first, lower-cased texts) of runs of texts of about GROUP_BYTES bytes."""
+    first, some, held = 0, [], 0
+    for i, t in enumerate(column):
+        some.append(t.as_py().lower())
+        held += len(some[-1])
+        if held >= bytewords.GROUP_BYTES:
+            yield first, some
+            first, some, held = i + 1, [], 0
+    if some:
+        yield first, some
+
+
 def dictionary(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, chunk, own (its words), freq (how often the parse holds it)."""
     base = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text), F.lit("")).cast("binary").alias("t"))
 
     def run(batches):
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), [t.as_py().lower() for t in b.column(1)]
+            langs = b.column(0).to_pylist()
             seen: dict[tuple[str, bytes], list[int]] = {}
             held = 0
-            for i, j in bytewords.groups(texts):
-                owner, own, chunk = chunks_of(texts[i:j])
+            for i, texts in _text_groups(b.column(1)):
+                owner, own, chunk = chunks_of(texts)
                 for o, n, c in zip(owner.tolist(), own.tolist(), chunk, strict=True):
                     entry = seen.setdefault((langs[i + o], c), [n, 0])
                     entry[1] += 1
@@ -117,7 +130,7 @@ def dictionary(docs: DataFrame, text: str, lang: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()),
                                            pa.array([v[0] for v in values], pa.int32()), pa.array([v[1] for v in values], pa.int64())], ["lang", "chunk", "own", "freq"])
 
-    return base.mapInArrow(run, "lang string, chunk binary, own int, freq long").groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq"))
+    return base.mapInArrow(lean(run), "lang string, chunk binary, own int, freq long").groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq"))
 
 
 # ---------------------------------------------------------------- filters of fixed size
@@ -219,7 +232,7 @@ def counted(chunks: DataFrame, lengths: tuple[int, ...], least: int, known: np.n
         if parts:
             yield total(parts)
 
-    rows = chunks.mapInArrow(run, "h long, f long, k byte, witness int")
+    rows = chunks.mapInArrow(lean(run), "h long, f long, k byte, witness int")
     return rows.groupBy("h").agg(F.sum("f").alias("f"), F.first("k").alias("k"), F.min("witness").alias("witness")).filter(F.col("f") >= least)
 
 
@@ -253,7 +266,7 @@ def spelled(chunks: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
                                                       pa.array([v[0] for v in found.values()], pa.string()), pa.array([v[1] for v in found.values()], pa.binary())],
                                                      ["h", "witness", "lang", "phrase"])
 
-    words = chunks.mapInArrow(run, "h long, witness int, lang string, phrase binary").join(frequent, ["h", "witness"])
+    words = chunks.mapInArrow(lean(run), "h long, witness int, lang string, phrase binary").join(frequent, ["h", "witness"])
     return words.groupBy("h").agg(F.min("lang").alias("lang"), F.min("phrase").cast("string").alias("phrase"), F.first("k").cast("int").alias("k"), F.first("f").alias("f")).drop("h")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.storage import col
+from framescope.llm.storage import col, free_name
 from framescope.llm.supervision import labelled
 
 STATISTICS = ("words", "word_length", "distinct_share", "repeat_share", "upper_share", "digit_share", "letter_share", "mark_share",
@@ -39,19 +39,22 @@ def statistics_of(text: str) -> tuple[float, ...]:
             int(counts[46]) / w)
 
 
-def with_statistics(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The `keep` columns under the names k0, k1, ..., and one double per name in STATISTICS."""
-    base = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(col(text), F.lit("")).alias("t"))
-    kept = [f for f in base.schema.fields if f.name != "t"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{s} double" for s in STATISTICS])
-    names = STATISTICS
+def _statistics_column(text: str) -> Column:
+    """A struct of the statistics.  Python gets the text and returns numbers; the other columns stay where they are."""
+    kind = pa.struct([(name, pa.float64()) for name in STATISTICS])
+
+    @F.arrow_udf(", ".join(f"{name} double" for name in STATISTICS))
+    def measured(texts: pa.Array) -> pa.Array:
+        rows = np.array([statistics_of(x.as_py()) for x in texts], float).reshape(len(texts), len(STATISTICS))
+        return pa.StructArray.from_arrays([pa.array(rows[:, j]) for j in range(len(STATISTICS))], fields=list(kind))
 
-    def run(batches):
-        for b in batches:
-            rows = np.array([statistics_of(x) for x in b.column(b.num_columns - 1).to_pylist()], float).reshape(b.num_rows, len(names))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(rows[:, j]) for j in range(len(names))]], [*b.schema.names[:-1], *names])
+    return measured(F.coalesce(col(text), F.lit("")))
 
-    return base.mapInArrow(run, schema)
+
+def with_statistics(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """The `keep` columns under the names k0, k1, ..., and one double per name in STATISTICS."""
+    rated = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], _statistics_column(text).alias("s"))
+    return rated.select(*[f"k{i}" for i in range(len(keep))], *[F.col("s")[name].alias(name) for name in STATISTICS])
 
 
 # ---------------------------------------------------------------- trees that propose rules
@@ -123,13 +126,14 @@ class RuleModel:
     weights: list[float]
     intercept: float
 
-    def column(self) -> Column:
-        """The probability as a column over STATISTICS."""
+    def column(self, inside: Column | None = None) -> Column:
+        """The probability as a column over STATISTICS, or over the fields of a struct of them."""
+        value = (lambda j: F.col(STATISTICS[j])) if inside is None else (lambda j: inside[STATISTICS[j]])
         total = F.lit(self.intercept)
         for rule, weight in zip(self.rules, self.weights, strict=True):
             test = F.lit(True)
             for j, greater, threshold in rule:
-                test = test & ((F.col(STATISTICS[j]) > threshold) if greater else (F.col(STATISTICS[j]) <= threshold))
+                test = test & ((value(j) > threshold) if greater else (value(j) <= threshold))
             total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -174,6 +178,7 @@ def score(docs: DataFrame, model: RuleModel, keep: tuple[str, ...] = ("doc_id",)
 
 
 def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows and columns of `docs` whose score is `least` or more."""
-    rated = with_statistics(docs, tuple(docs.columns), text).filter(model.column() >= least)
-    return rated.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The rows and columns of `docs` whose score is `least` or more.  Null and empty texts are scored by their zero statistics, repeated
+    rows alike; an empty table gives no rows; columns of any name are kept."""
+    own = free_name(docs, "__statistics")
+    return docs.withColumn(own, _statistics_column(text)).filter(model.column(F.col(own)) >= least).drop(own)

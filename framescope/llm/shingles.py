@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framescope.llm import bytewords
-from framescope.llm.storage import col
+from framescope.llm.storage import col, lean
 
 WORDS = 5
 KEEP_BITS = np.uint64(16)  # shingles are compared by the upper 48 bits of their hashes
@@ -73,7 +73,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
             n, k, c = (np.concatenate([*(p[i] for p in parts), np.empty(0, np.int64)]) for i in range(3))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k), pa.array(c)], ["doc", "n_shingles", "set_key", "set_check"])
 
-    return base.mapInArrow(run, f"doc {base.schema['doc'].dataType.simpleString()}, n_shingles long, set_key long, set_check long")
+    return base.mapInArrow(lean(run), f"doc {base.schema['doc'].dataType.simpleString()}, n_shingles long, set_key long, set_check long")
 
 
 # ---------------------------------------------------------------- packed ranges
@@ -121,7 +121,7 @@ def runs(batches, names: tuple[str, ...]):
         yield value, rows
 
 
-def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str, range_size: int = 300_000, batch_bytes: int = 8 << 20) -> DataFrame:
+def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str, range_size: int = 300_000, batch_bytes: int = 4 << 20) -> DataFrame:
     """set_key, n_shingles, shared (array of the shingles that another document has too), for documents of which at least
     `percent` of 100 are shared.  Rows of one batch with equal sets count once.
 
@@ -196,6 +196,6 @@ def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str
                 lists = pa.array([sh[ends[d] - n[d]:ends[d]] for d in some], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(sets[some, 0]), pa.array(sets[some, 1]), lists], ["set_key", "n_shingles", "shared"])
 
-    ranges = base.mapInArrow(cut, "range long, batch string, owners binary, body binary").repartition("range", F.when(F.col("range") < 0, F.col("batch"))).sortWithinPartitions("range")
-    found = ranges.mapInArrow(count, "batch string, range long, owners binary, body binary").repartition("batch").sortWithinPartitions("batch", "range")
-    return found.mapInArrow(gather, "set_key long, n_shingles long, shared array<long>")
+    ranges = base.mapInArrow(lean(cut), "range long, batch string, owners binary, body binary").repartition("range", F.when(F.col("range") < 0, F.col("batch"))).sortWithinPartitions("range")
+    found = ranges.mapInArrow(lean(count), "batch string, range long, owners binary, body binary").repartition("batch").sortWithinPartitions("batch", "range")
+    return found.mapInArrow(lean(gather), "set_key long, n_shingles long, shared array<long>")
