@@ -9,7 +9,6 @@ so a stream that holds a third of the table is spread like any other.
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -206,7 +205,3 @@ def rank_all(df, value, tie, name, part=()) -> DataFrame:
             .withColumn(name, (F.row_number().over(inside) + F.col("_shift")).cast("long"))
             .drop("_x", "_b", "_tb", "_shift"))
 
-
-def decay_reach(factor: float, eps: float = 1e-19) -> int:
-    """Rows after which factor**k is below eps."""
-    return math.ceil(math.log(eps) / math.log(factor))

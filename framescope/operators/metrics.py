@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +30,8 @@ HIGH_RATE_FLOOR, HIGH_RATE_LEAST, HIGH_RATE_BACKWARD, HIGH_RATE_MIDDLE = 3.16e-1
 # Fixed values of the vocoder index: loudness exponent, spreading to higher and lower bins, carry from earlier and later
 # frames, floor under a frame's maximum.
 LOUDNESS, SPREAD_UP, SPREAD_DOWN, CARRY_FORWARD, CARRY_BACKWARD, VOCODER_FLOOR = 0.2, 0.1, 0.0031623, 0.5, 0.1, 1e-8
+# Coefficients of the derivative of the Bark scale.
+BARK_SLOPE = (8.288e-8, 3.4225e-16, 0.009694, 5.476e-7, 1e-4)
 
 
 def shaped_threshold(j, steps: int):
@@ -135,33 +137,42 @@ def _mask_frames(frames, pairs, bands, keys, gain, offset, window, floor, down_f
     for i in range(len(pairs)):
         f = f.withColumn(f"m{i}", A.band_means(F.transform(f"_x{i}pow", lambda x: x + S.d(offset)), bands)).drop(f"_x{i}pow")
         f = f.withColumn(f"m{i}", masked_bands(f"m{i}", n, floor, down_from))
+    names = [f"m{i}" for i in range(len(pairs))]
     if len(pairs) == 2 and talk and not backward:
         # channels leak into each other before the next frame decays, so sum and difference
         # of the channels each follow a plain decay of their own
         f = f.withColumn("_sum", A.scale(A.add("m0", "m1"), S.d(1 + talk))).withColumn(
             "_dif", A.scale(F.zip_with("m0", "m1", lambda x, y: x - y), S.d(1 - talk)))
-        f = smoothing.decayed_sum(f, "_sum", n, factor * (1 + talk), "_s", keys=keys)
-        f = smoothing.decayed_sum(f, "_dif", n, factor * (1 - talk), "_d", keys=keys)
-        f = f.withColumn("m0", F.zip_with("_s", "_d", lambda x, y: (x + y) * S.d(0.5)))
-        return f.withColumn("m1", F.zip_with("_s", "_d", lambda x, y: (x - y) * S.d(0.5))).drop("_sum", "_dif", "_s", "_d")
-    for i in range(len(pairs)):
-        f = smoothing.decayed_sum(f, f"m{i}", n, factor, f"_t{i}", keys=keys).withColumn(f"m{i}", F.col(f"_t{i}")).drop(f"_t{i}")
+        f = _decayed(f, ["_sum", "_dif"], n, A.lits([factor * (1 + talk)] * n + [factor * (1 - talk)] * n), keys)
+        f = f.withColumn("m0", F.zip_with("_sum", "_dif", lambda x, y: (x + y) * S.d(0.5)))
+        return f.withColumn("m1", F.zip_with("_sum", "_dif", lambda x, y: (x - y) * S.d(0.5))).drop("_sum", "_dif")
+    f = _decayed(f, names, n, factor, keys)
     if backward:
-        # the frame before the last takes nothing from the last one
-        last = frames.groupBy(*keys).agg(F.max("frame_index").alias("_last"))
-        f = layout.attach(f, last, keys, source=frames)
-        for i in range(len(pairs)):
-            zero = F.transform(F.col(f"m{i}"), lambda x: S.d(0))
-            f = f.withColumn("_v", F.when(F.col("frame_index") == F.col("_last"), zero).otherwise(F.col(f"m{i}")))
-            f = smoothing.decayed_sum(f, "_v", n, backward, "_t", backward=True, keys=keys)
-            f = f.withColumn(f"m{i}", F.when(F.col("frame_index") == F.col("_last"), F.col(f"m{i}")).otherwise(F.col("_t"))).drop("_v", "_t")
-        f = f.drop("_last")
+        f = _decayed(f, names, n, _backward_gain(frames, backward, keys), keys, backward=True)
     if len(pairs) == 2 and talk:
         f = f.withColumn("_l", A.cross_talk("m0", "m1", talk)).withColumn("m1", A.cross_talk("m1", "m0", talk))
         f = f.withColumn("m0", F.col("_l")).drop("_l")
     return f
 
 
+def _decayed(f, names, n, factor, keys, backward=False):
+    """The arrays `names`, `n` values each, with what decays from the frames before (`backward`: after); one scan for all of them.
+    `factor` may also be a table of the streams' last frames and the gain before them, from `_backward_gain`."""
+    if isinstance(factor, tuple):
+        last, gain = factor
+        f, factor = layout.attach(f, last, keys), gain
+    f = smoothing.decayed_sum(f.withColumn("_all", F.concat(*names)), "_all", n * len(names), factor, "_t", backward, keys).drop("_all", "_last")
+    for i, name in enumerate(names):
+        f = f.withColumn(name, F.slice("_t", i * n + 1, n))
+    return f.drop("_t")
+
+
+def _backward_gain(frames, gain, keys):
+    """The frame before the last takes nothing from the last one."""
+    last = frames.groupBy(*keys).agg(F.max("frame_index").alias("_last"))
+    return last, F.when(F.col("frame_index") <= F.col("_last") - 2, S.d(gain)).otherwise(S.d(0))
+
+
 def _masked_pair(f, pairs, bands, keys, gain, offset, window, average_first):
     """Adds X<i>, Y<i>: masked power of reference and test, summed over this frame and the one before."""
     prev = {}
@@ -308,67 +319,69 @@ def multi_resolution_distance(frames: DataFrame, ref: str, dec: str, sizes, keys
 
 
 # ------------------------------------------------------------------ vocoder variant
-REACH_BACK, REACH_AHEAD = 66, 22       # .5**66 and .1**22 are below 1e-19
+def bark_per_bin(bins: int, rate: int) -> np.ndarray:
+    """Width of a bin on the Bark scale: the scale's derivative times the bin's width."""
+    hz = rate * np.arange(bins) / (2.0 * bins)
+    a, b, c, d, e = BARK_SLOPE
+    return (a * hz / (b * hz ** 4 + 1) + c / (d * hz ** 2 + 1) + e) * rate / (2.0 * bins)
+
+
+def spread_spectra(frames: DataFrame, cols: dict[str, str], bins: int, gain: float, rate: int) -> DataFrame:
+    """Replaces every frame of `cols` (input -> output) by the power of its first `bins` bins after spreading to higher and lower ones, not below a
+    small share of the first column's largest."""
+    bark = bark_per_bin(bins, rate)
+    grow = [SPREAD_UP ** bark, SPREAD_DOWN ** bark]
+    keep = [f for f in frames.schema.fields if f.name not in cols]
+    schema = T.StructType([*keep, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in cols.values()]])
+
+    def spread(power):
+        power = power.copy()
+        for j in range(1, bins):
+            power[:, j] += grow[0][j] * power[:, j - 1]
+        for j in range(bins - 2, -1, -1):
+            power[:, j] += grow[1][j] * power[:, j + 1]
+        return power
+
+    level = spread(np.ones((1, bins)))
+
+    def body(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            for c in cols:
+                x = b.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) * gain
+                out.append(spread(np.abs(np.fft.rfft(x * np.hanning(x.shape[1]), axis=1)[:, :bins]) ** 2) / level)
+            floor = VOCODER_FLOOR * out[0].max(axis=1, keepdims=True)
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, bins, dtype=np.int32)), pa.array(np.maximum(floor, x).ravel())) for x in out]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *arrays], schema.names)
+
+    return frames.mapInArrow(body, schema)
 
 
 def vocoder_index(frames: DataFrame, ref: str, dec: str, bands, keys=SONG, gain: float = 32768.0, rate: int = 16000) -> DataFrame:
-    """err4 and err16 on loudness-compressed spectra with spreading along frequency and time.
-    Each task works on one segment with its halo."""
+    """err4 and err16 on loudness-compressed spectra with spreading along frequency and time."""
     keys = list(keys)
     n, used = len(bands), bands[-1][1]
-    last = frames.groupBy(*keys).agg(F.max("frame_index").alias("_last"))
-    rows = layout.attach(frames.select(*keys, "frame_index", ref, dec), last, keys)
-    halo = layout.Halo(rows, REACH_BACK, REACH_AHEAD, keys)
-    length = halo.length
-    schema = T.StructType([*[frames.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in ("e2", "e4", "t2")]])
-
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        x, y = (np.stack(pdf[c].to_numpy()) * gain for c in (ref, dec))
-        shape = np.hanning(x.shape[1])
-        sp = [np.abs(np.fft.rfft(v * shape, axis=1))[:, :used] ** 2 for v in (x, y)]
-        freq = rate * np.arange(used) / (2.0 * used)
-        bark = (8.288e-8 * freq / (3.4225e-16 * freq ** 4 + 1) + 0.009694 / (5.476e-7 * freq ** 2 + 1) + 1e-4) * rate / (2.0 * used)
-        right, left = SPREAD_UP ** bark, SPREAD_DOWN ** bark
-
-        def spread(m):
-            m = m.copy()
-            for j in range(1, used):
-                m[:, j] += right[j] * m[:, j - 1]
-            for j in range(used - 2, -1, -1):
-                m[:, j] += left[j] * m[:, j + 1]
-            return m
-
-        unit = spread(np.ones((1, used)))
-        a, b = (spread(m) / unit for m in sp)
-        floor = VOCODER_FLOOR * a.max(axis=1, keepdims=True)
-        a, b = np.maximum(floor, a), np.maximum(floor, b)
-        idx, end = pdf["frame_index"].to_numpy(), int(pdf["_last"].iloc[0])
-        for m in (a, b):
-            for i in range(1, len(m)):
-                m[i] += CARRY_FORWARD * m[i - 1]
-            for i in range(len(m) - 2, -1, -1):
-                if idx[i] <= end - 2:
-                    m[i] += CARRY_BACKWARD * m[i + 1]
-        th = shaped_threshold(np.arange(used), VOCODER_STEPS)
-        width = np.array([hi - lo for lo, hi in bands], dtype=float)
-        edges = [lo for lo, _ in bands]
-
-        def pooled(v):
-            return np.add.reduceat(v[:, :used], edges, axis=1) / width / width
-
-        e2 = pooled(((b + th) ** LOUDNESS - (a + th) ** LOUDNESS) ** 2).sum(axis=1) / n
-        e4 = (pooled(((b + 10 * th) ** LOUDNESS - (a + 10 * th) ** LOUDNESS) ** 2) ** 2).sum(axis=1) / n
-        t2 = pooled((a + th) ** (2 * LOUDNESS)).sum(axis=1) / n
-        own = idx // length == pdf["_seg"].to_numpy()
-        out = pdf.loc[own, keys].copy()
-        out["e2"], out["e4"], out["t2"] = e2[own] ** 2, e4[own] ** 4, t2[own]
-        return out
-
-    per = halo.rows.groupBy(*keys, "_seg").applyInPandas(segment, schema)
-    scale = F.sqrt(F.sum("t2"))
-    return per.groupBy(*keys).agg((S.d(100) * F.pow(F.avg("e2"), S.d(0.25)) / scale).alias("err4"),
-                                  (S.d(100) * F.pow(F.avg("e4"), S.d(1 / 16)) / scale).alias("err16"))
+    f = spread_spectra(frames.select(*keys, "frame_index", ref, dec), {ref: "_a", dec: "_b"}, used, gain, rate)
+    f = _decayed(f, ["_a", "_b"], used, CARRY_FORWARD, keys)
+    f = _decayed(f, ["_a", "_b"], used, _backward_gain(frames, CARRY_BACKWARD, keys), keys, backward=True)
+    steps = [shaped_threshold(j, VOCODER_STEPS) for j in range(used)]
+    per_band = A.lits([1.0 / (hi - lo) for lo, hi in bands])
+
+    def loud(c, k, power):
+        return F.zip_with(c, A.lits([k * v for v in steps]), lambda x, t: F.pow(x + t, S.d(power)))
+
+    def pooled(values):
+        return F.zip_with(A.band_means(values, bands), per_band, lambda m, w: m * w)
+
+    def error(k):
+        return pooled(F.zip_with(loud("_b", k, LOUDNESS), loud("_a", k, LOUDNESS), lambda y, x: (y - x) * (y - x)))
+
+    f = f.select(*keys, (A.total(error(1)) / S.d(n)).alias("_e2"), (A.energy(error(10)) / S.d(n)).alias("_e4"), (A.total(pooled(loud("_a", 1, 2 * LOUDNESS))) / S.d(n)).alias("_t2"))
+    scale = F.sqrt(F.sum("_t2"))
+    return f.groupBy(*keys).agg((S.d(100) * F.pow(F.avg(F.pow("_e2", S.d(2))), S.d(0.25)) / scale).alias("err4"),
+                                (S.d(100) * F.pow(F.avg(F.pow("_e4", S.d(4))), S.d(1 / 16)) / scale).alias("err16"))
 
 
 def pitch_peak_error(frames: DataFrame, ref: str, dec: str, frame: int, lo: int, hi: int, keys=SONG, gain: float = 32768.0) -> DataFrame:

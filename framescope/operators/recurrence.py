@@ -1,17 +1,19 @@
 """Sequential rules over an ordered stream, run segment by segment.
 
-A rule qualifies if one step is a function of the previous state and a chain of
-steps can be written down as small as one step.  Each segment is reduced to one
-such row, the rows are chained to find the state at the start of every segment,
-and then all segments run at once.  A task sees at most one segment, plus at
-most FANOUT of those small rows.
+A rule qualifies if the step of a row is a map of states that can be composed with the next row's and written down as small.
+Each segment is reduced to one composed map, these are chained to find the state at the start of every segment,
+and then all segments run at once.  A task sees at most one segment, plus at most FANOUT of those small rows.
+
+Inside a task maps are composed by doubling, over all rows of an Arrow batch at a time: after k rounds every row has the map of
+the last 2**k rows of its group, so a segment of n rows takes log2(n) rounds of NumPy operations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,27 +23,58 @@ from framescope.operators.layout import FANOUT, KEYS, ORDER, segment_length, seg
 FIRST = -(1 << 62)  # order value of the row that brings the carried state
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
+
+
 class ClampedLinear:
     """y -> min(hi, max(lo, gain*y + step)) with gain >= 0."""
 
     cols = ("_gain", "_step", "_lo", "_hi")
     type = T.DoubleType()
+    kinds = (T.DoubleType(),) * 4
+
+    @staticmethod
+    def read(batch):
+        return tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ClampedLinear.cols)
+
+    @staticmethod
+    def write(maps):
+        return [pa.array(m) for m in maps]
 
     @staticmethod
-    def chain(first, then):
+    def apply(maps, y):
+        gain, step, lo, hi = maps
+        with np.errstate(invalid="ignore"):
+            return np.minimum(hi, np.maximum(lo, np.where(gain == 0, step, gain * y + step)))
+
+    @staticmethod
+    def compose(first, then):
         g1, s1, l1, h1 = first
-        g2, s2, l2, h2 = then
+        g2, s2, _, _ = then
+        with np.errstate(invalid="ignore"):
+            return g1 * g2, np.where(g2 == 0, 0.0, g2 * s1) + s2, ClampedLinear.apply(then, l1), ClampedLinear.apply(then, h1)
+
+    @staticmethod
+    def constant(y):
+        return np.zeros(len(y)), y, np.full(len(y), -np.inf), np.full(len(y), np.inf)
 
-        def clip(v):
-            return min(h2, max(l2, v))
+    @staticmethod
+    def states(column):
+        return column.to_numpy(zero_copy_only=False).astype(float)
 
-        lo = clip(g2 * l1 + s2) if g2 else clip(s2)
-        hi = clip(g2 * h1 + s2) if g2 else clip(s2)
-        return g1 * g2, (g2 * s1 if g2 else 0.0) + s2, lo, hi
+    @staticmethod
+    def initial(value, n):
+        return np.full(n, float(value))
 
     @staticmethod
-    def step(e, y):
-        return min(e[3], max(e[2], e[0] * y + e[1]))
+    def write_states(y):
+        return pa.array(y)
 
 
 class FiniteState:
@@ -51,109 +84,190 @@ class FiniteState:
 
     def __init__(self, states: int):
         self.cols = tuple(f"_to{i}" for i in range(states))
+        self.kinds = (T.LongType(),) * states
 
-    @staticmethod
-    def chain(first, then):
-        return tuple(then[int(s)] for s in first)
+    def read(self, batch):
+        return (np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in self.cols], 1),)
+
+    def write(self, maps):
+        return [pa.array(np.ascontiguousarray(maps[0][:, i])) for i in range(len(self.cols))]
+
+    def apply(self, maps, y):
+        return np.take_along_axis(maps[0], y[:, None], 1)[:, 0]
+
+    def compose(self, first, then):
+        return (np.take_along_axis(then[0], first[0], 1),)
+
+    def constant(self, y):
+        return (np.repeat(y[:, None], len(self.cols), 1),)
+
+    def states(self, column):
+        return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def initial(self, value, n):
+        return np.full(n, int(value), np.int64)
+
+    def write_states(self, y):
+        return pa.array(y)
 
-    @staticmethod
-    def step(e, y):
-        return e[int(y)]
+
+class Decay:
+    """y -> gain*y + add for arrays of `width` values; `_gain` is one number a row, or with `per_value` an array like `_add`."""
+
+    cols = ("_gain", "_add")
+    type = T.ArrayType(T.DoubleType())
+
+    def __init__(self, width: int, per_value: bool = False):
+        self.width, self.per_value = width, per_value
+        self.kinds = (self.type if per_value else T.DoubleType(), self.type)
+
+    def read(self, batch):
+        gain = batch.column("_gain")
+        gain = _matrix(gain, self.width) if self.per_value else gain.to_numpy(zero_copy_only=False).astype(float)[:, None]
+        return gain, _matrix(batch.column("_add"), self.width)
+
+    def write(self, maps):
+        return [_lists(maps[0]) if self.per_value else pa.array(maps[0][:, 0]), _lists(maps[1])]
+
+    def apply(self, maps, y):
+        return maps[0] * y + maps[1]
+
+    def compose(self, first, then):
+        return first[0] * then[0], then[0] * first[1] + then[1]
+
+    def constant(self, y):
+        return np.zeros((len(y), self.width if self.per_value else 1)), y
+
+    def states(self, column):
+        return _matrix(column, self.width)
+
+    def initial(self, value, n):
+        return np.full((n, self.width), float(value))
+
+    def write_states(self, y):
+        return _lists(y)
+
+
+# ---------------------------------------------------------------- kernels
+def _pick(maps, at):
+    return tuple(m[at] for m in maps)
+
+
+def composed(rule, maps, first: np.ndarray):
+    """For every row the map of all rows from `first`, the number of its group's first row, up to itself."""
+    at = np.arange(len(first))
+    back = at - first
+    maps = tuple(m.copy() for m in maps)
+    reach, d = int(back.max(initial=0)), 1
+    while d <= reach:
+        on = np.flatnonzero(back >= d)
+        for m, new in zip(maps, rule.compose(_pick(maps, on - d), _pick(maps, on)), strict=True):
+            m[on] = new
+        d *= 2
+    return maps
+
+
+def _groups(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Numbers of the rows that start a group of equal `names`."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for name in names:
+        codes = batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _key(batch: pa.RecordBatch, names: Sequence[str], row: int) -> tuple:
+    return tuple(batch.column(n)[row].as_py() for n in names)
 
 
 def _walk(rows: DataFrame, group: Sequence[str], order: str, schema: T.StructType, body):
     """Runs `body` over rows of each group in order; groups are never split."""
     placed = rows.repartition(*group).sortWithinPartitions(*group, order)
-    return placed.mapInPandas(body, schema)
+    return placed.mapInArrow(body, schema)
 
 
 def _fold(rule, rows, group, order):
-    """One row per group: its steps chained."""
-    cols, names = list(rule.cols), list(group)
-    chain, kind = rule.chain, rule.type
-    schema = T.StructType([rows.schema[g] for g in names] + [T.StructField(c, kind) for c in cols])
+    """One row per group: its maps composed."""
+    names = list(group)
+    out = names + list(rule.cols)
+    schema = T.StructType([rows.schema[g] for g in names] + [T.StructField(c, k) for c, k in zip(rule.cols, rule.kinds, strict=True)])
 
     def body(batches):
-        cur, acc = None, None
-        for pdf in batches:
-            done = []
-            keys = list(zip(*[pdf[g].tolist() for g in names]))
-            for k, e in zip(keys, zip(*[pdf[c].tolist() for c in cols])):
-                if k != cur:
-                    if cur is not None:
-                        done.append(cur + tuple(acc))
-                    cur, acc = k, e
-                else:
-                    acc = chain(acc, e)
-            yield pd.DataFrame(done, columns=names + cols)
-        if cur is not None:
-            yield pd.DataFrame([cur + tuple(acc)], columns=names + cols)
-
-    return _walk(rows.select(*names, order, *cols), names, order, schema, body)
-
-
-def _carry_in(rule, rows, starts, group, order, init):
-    """State before each row; `starts` holds the state before each group (or None)."""
-    cols, names = list(rule.cols), list(group)
-    step, kind = rule.step, rule.type
-    rows = rows.select(*names, order, *cols, F.lit(None).cast(kind).alias("_in"))
+        held = None  # key, key columns, map of a group that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = _groups(b, names)
+            ends = np.append(starts[1:], b.num_rows)
+            maps = _pick(composed(rule, rule.read(b), np.repeat(starts, ends - starts)), ends - 1)
+            keys = [b.column(n).take(pa.array(starts)) for n in names]
+            if held and held[0] == _key(b, names, 0):
+                for m, new in zip(maps, rule.compose(held[2], _pick(maps, slice(0, 1))), strict=True):
+                    m[:1] = new
+            elif held:
+                yield pa.RecordBatch.from_arrays([*held[1], *rule.write(held[2])], out)
+            last = len(starts) - 1
+            if last:
+                yield pa.RecordBatch.from_arrays([*[k.slice(0, last) for k in keys], *rule.write(_pick(maps, slice(0, last)))], out)
+            held = _key(b, names, b.num_rows - 1), [k.slice(last) for k in keys], _pick(maps, slice(last, None))
+        if held:
+            yield pa.RecordBatch.from_arrays([*held[1], *rule.write(held[2])], out)
+
+    return _walk(rows.select(*names, order, *rule.cols), names, order, schema, body)
+
+
+def _run(rule, rows, starts, group, order, init, keep, out, before):
+    """`keep` columns of `rows` and `out`, the state after (`before`: before) each row.  `starts`, if any, holds the state `_in` at
+    the start of groups; the others start with `init`."""
+    names = list(group)
+    rows = rows.withColumn("_in", F.lit(None).cast(rule.type))
     if starts is not None:
-        rows = rows.unionByName(starts.select(*names, F.lit(FIRST).cast("long").alias(order), "_in"),
-                                allowMissingColumns=True)
-    schema = T.StructType([rows.schema[g] for g in names] + [rows.schema[order], T.StructField("_in", kind)])
+        rows = rows.unionByName(starts.select(*names, F.lit(FIRST).cast("long").alias(order), "_in"), allowMissingColumns=True)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in (rows.schema[c] for c in keep)] + [T.StructField(out, rule.type)])
+    # The rows that bring a state have no map of their own.
+    rows = rows.withColumns({c: F.coalesce(c, F.array_repeat(F.lit(0.0), rule.width) if isinstance(k, T.ArrayType) else F.lit(0).cast(k))
+                             for c, k in zip(rule.cols, rule.kinds, strict=True)})
 
     def body(batches):
-        cur, y = None, init
-        for pdf in batches:
-            out = []
-            keys = list(zip(*[pdf[g].tolist() for g in names]))
-            for k, o, s, e in zip(keys, pdf[order].tolist(), pdf["_in"].tolist(),
-                                  zip(*[pdf[c].tolist() for c in cols])):
-                if k != cur:
-                    cur, y = k, init
-                if o == FIRST:
-                    y = s
-                    continue
-                out.append(k + (o, y))
-                y = step(e, y)
-            yield pd.DataFrame(out, columns=names + [order, "_in"])
-
-    return _walk(rows, names, order, schema, body)
-
-
-def scan(df: DataFrame, rule, out: str, init, keys=KEYS, order=ORDER) -> DataFrame:
-    """Adds `out`: the state after each row.  `df` holds the rule's columns."""
-    keys, cols = list(keys), list(rule.cols)
+        held = None  # key and state at the end of the last group
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts_at = _groups(b, names)
+            sizes = np.diff(np.append(starts_at, b.num_rows))
+            maps = tuple(m.copy() for m in rule.read(b))
+            brings = b.column(order).to_numpy(zero_copy_only=False) == FIRST
+            if brings.any():
+                for m, new in zip(maps, rule.constant(rule.states(b.column("_in").filter(pa.array(brings)))), strict=True):
+                    m[brings] = new
+            entry = rule.initial(init, len(starts_at))
+            if held and held[0] == _key(b, names, 0):
+                entry[:1] = held[1]
+            y = rule.apply(composed(rule, maps, np.repeat(starts_at, sizes)), np.repeat(entry, sizes, axis=0))
+            held = _key(b, names, b.num_rows - 1), y[-1:].copy()
+            if before:
+                y = np.concatenate([y[:1], y[:-1]])
+                y[starts_at] = entry
+            fine = pa.array(~brings)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).filter(fine) for c in keep], rule.write_states(y[~brings])], [*keep, out])
+
+    needed = list(dict.fromkeys([*names, order, *rule.cols, "_in", *keep]))
+    return _walk(rows.select(*needed), names, order, schema, body)
+
+
+def scan(df: DataFrame, rule, out: str, init, keys=KEYS, order=ORDER, starts: DataFrame | None = None) -> DataFrame:
+    """Adds `out`: the state after each row.  `df` holds the rule's columns.  Streams start with `init`, those in `starts` (keys
+    and `_in`) with the state given there."""
+    keys = list(keys)
     n = segment_length(df.sparkSession)
+    keep = [c for c in df.columns if c not in rule.cols]
     rows = df.withColumn("_seg", segment_of(order, n))
     seg = _fold(rule, rows, [*keys, "_seg"], order).withColumn("_sup", segment_of("_seg", FANOUT))
     sup = _fold(rule, seg, [*keys, "_sup"], "_seg")
-    sup_in = _carry_in(rule, sup, None, keys, "_sup", init)
-    seg_in = _carry_in(rule, seg, sup_in, [*keys, "_sup"], "_seg", init).select(*keys, "_seg", "_in")
-    step, kind = rule.step, rule.type
-    keep = [c for c in df.columns if c not in cols]
-    rows = rows.withColumn("_in", F.lit(None).cast(kind)).unionByName(
-        seg_in.select(*keys, "_seg", F.lit(FIRST).cast("long").alias(order), "_in"), allowMissingColumns=True)
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, kind)])
-    group = [*keys, "_seg"]
-
-    def body(batches):
-        cur, y = None, init
-        for pdf in batches:
-            ks = list(zip(*[pdf[g].tolist() for g in group]))
-            ys = []
-            for k, o, s, e in zip(ks, pdf[order].tolist(), pdf["_in"].tolist(),
-                                  zip(*[pdf[c].tolist() for c in cols])):
-                if k != cur:
-                    cur, y = k, init
-                y = s if o == FIRST else step(e, y)
-                ys.append(y)
-            res = pdf[keep].copy()
-            res[out] = ys
-            yield res[pdf[order] != FIRST]
-
-    fixed = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    return _walk(rows, group, order, fixed, body)
+    sup_in = _run(rule, sup, starts, keys, "_sup", init, [*keys, "_sup"], "_in", True)
+    seg_in = _run(rule, seg, sup_in, [*keys, "_sup"], "_seg", init, [*keys, "_seg"], "_in", True)
+    return _run(rule, rows, seg_in, [*keys, "_seg"], order, init, keep, out, False)
 
 
 def clamped(df, gain, step=0.0, lo=float("-inf"), hi=float("inf")) -> DataFrame:
@@ -162,3 +276,8 @@ def clamped(df, gain, step=0.0, lo=float("-inf"), hi=float("inf")) -> DataFrame:
         return (F.lit(v) if isinstance(v, (int, float)) else v).cast("double")
     return (df.withColumn("_gain", c(gain)).withColumn("_step", c(step))
             .withColumn("_lo", c(lo)).withColumn("_hi", c(hi)))
+
+
+def decaying(df: DataFrame, gain, add) -> DataFrame:
+    """Puts the two columns of Decay on `df`."""
+    return df.withColumn("_gain", F.lit(float(gain)) if isinstance(gain, (int, float)) else gain).withColumn("_add", add)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framescope.functions import arrays as A
 from framescope.functions import scalar as S
@@ -13,20 +14,17 @@ from framescope.operators.recurrence import ClampedLinear, clamped
 KEYS = ("stream_id",)
 
 
-def decayed_sum(frames: DataFrame, value: str, n: int, factor: float, out: str, backward: bool = False, keys=KEYS) -> DataFrame:
-    """y_i = x_i + a*y_(i-1) for each of n array elements.  Terms beyond the reach of the decay are
-    below 1e-19 of a term, so a bounded window gives the same double."""
-    reach = layout.decay_reach(factor)
-
-    def build(w):
-        rows = w.rowsBetween(0, reach) if backward else w.rowsBetween(-reach, 0)
-        past = F.collect_list(value).over(rows)
-        if backward:
-            past = F.reverse(past)
-        zero = F.array_repeat(F.lit(0.0), n)
-        return F.aggregate(past, zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a * S.d(factor) + b))
-
-    return layout.windowed(frames, {out: build}, 0 if backward else reach, reach if backward else 0, keys)
+def decayed_sum(frames: DataFrame, value: str, n: int, factor, out: str, backward: bool = False, keys=KEYS) -> DataFrame:
+    """y_i = x_i + a*y_(i-1) (`backward`: y_(i+1)) for each of n array elements, from one end of a stream to the other.  `factor` is a
+    number or a column: one number a row, or an array with one per element."""
+    gain = F.lit(float(factor)) if isinstance(factor, (int, float)) else factor
+    f = recurrence.decaying(frames, gain, F.coalesce(F.col(value), F.array_repeat(F.lit(0.0), n)))
+    per_value = isinstance(f.schema["_gain"].dataType, T.ArrayType)
+    order = "frame_index"
+    if backward:
+        order = "_rev"
+        f = f.withColumn(order, -F.col("frame_index"))
+    return recurrence.scan(f, recurrence.Decay(n, per_value), out, 0.0, keys, order).drop("_rev")
 
 
 def fill_pitch_lag(frames: DataFrame, lag: str = "lag", hold: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from framescope.functions import registry as R
@@ -247,19 +249,29 @@ def a39(spark, sf):
     return out.select("run", r6("last_score", "last_score"), *_FRACTIONS)
 
 
-@query("u02_conditions_long", with_views("scores", f"SELECT bitrate, item, condition, {s6('score', 'score')} FROM scores WHERE condition IN ('A','N')"))
+def conditions(scores):
+    """The conditions that occur, in order: a handful of names."""
+    return [r[0] for r in scores.select("condition").distinct().orderBy("condition").collect()]
+
+
+@query("u02_conditions_long", with_views("scores", f"SELECT bitrate, item, condition, {s6('score', 'score')} FROM scores"))
 def u02(spark, sf):
-    wide = V.scores(spark, sf).groupBy("bitrate", "item").pivot("condition", ["A", "N"]).agg(F.first("score"))
-    long = wide.unpivot(["bitrate", "item"], ["A", "N"], "condition", "score").where(F.col("score").isNotNull())
+    scores = V.scores(spark, sf)
+    names = conditions(scores)
+    wide = scores.groupBy("bitrate", "item").pivot("condition", names).agg(F.first("score"))
+    long = wide.unpivot(["bitrate", "item"], names, "condition", "score").where(F.col("score").isNotNull())
     return long.select("bitrate", "item", "condition", r6("score", "score"))
 
 
-@query("u03_result_files", with_views("scores", f"SELECT 'first' AS metric, item, {s6('avg(score)', 'score')}, NULL::bigint AS n FROM scores WHERE condition='A' GROUP BY item UNION ALL SELECT 'second', item, {s6('avg(score)', 'score')}, count(*) FROM scores WHERE condition='N' GROUP BY item"))
+@query("u03_result_files", with_views("scores", f"SELECT 'score-'||condition AS metric, item, {s6('avg(score)', 'score')}, CASE WHEN r%2=0 THEN count(*) END AS n FROM (SELECT *, dense_rank() OVER (ORDER BY condition) AS r FROM scores) GROUP BY condition, r, item"))
 def u03(spark, sf):
+    """Every condition is a result file; each second one also has the column n."""
     s = V.scores(spark, sf)
-    a = s.where("condition = 'A'").groupBy("item").agg(r6(F.avg("score"), "score")).withColumn("metric", F.lit("first"))
-    b = s.where("condition = 'N'").groupBy("item").agg(r6(F.avg("score"), "score"), F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("second"))
-    return a.unionByName(b, allowMissingColumns=True)
+    files = []
+    for i, name in enumerate(conditions(s)):
+        cols = [r6(F.avg("score"), "score"), *([F.count(F.lit(1)).alias("n")] if i % 2 else [])]
+        files.append(s.where(F.col("condition") == name).groupBy("item").agg(*cols).withColumn("metric", F.lit(f"score-{name}")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), files)
 
 
 @query("u05_merged_corpus", with_views("clips", "SELECT path, 'female' AS folder FROM clips WHERE gender='female' UNION ALL SELECT path, 'male' FROM clips WHERE gender='male'"))

@@ -191,7 +191,7 @@ _TH = "(0.1e0/(0.15e0*0.15e0+pow(k*pi()/240,2)))"
  JOIN (SELECT stream_id, candidate, sqrt(avg(pow(x-y,2))) AS rms FROM dsmp GROUP BY ALL) USING (stream_id, candidate) GROUP BY ALL""",
     _pow_cte(_HANN), _mask_ctes(EDGES, "0", "3.16e-10", 6), _FWD,
     """qz AS (SELECT a.stream_id, a.frame_index, a.candidate, a.b, sum(p.e*pow(0.1e0, p.frame_index-a.frame_index)) AS e FROM (SELECT *, max(frame_index) OVER (PARTITION BY stream_id) AS top FROM qm) a
- JOIN (SELECT *, max(frame_index) OVER (PARTITION BY stream_id) AS top FROM qm) p ON p.stream_id=a.stream_id AND p.candidate=a.candidate AND p.b=a.b AND p.frame_index>=a.frame_index AND (p.frame_index=a.frame_index OR (p.frame_index<p.top AND p.frame_index-a.frame_index<60)) GROUP BY ALL)""", _pair("0", "qz")))
+ JOIN (SELECT *, max(frame_index) OVER (PARTITION BY stream_id) AS top FROM qm) p ON p.stream_id=a.stream_id AND p.candidate=a.candidate AND p.b=a.b AND p.frame_index>=a.frame_index AND (p.frame_index=a.frame_index OR (p.frame_index<p.top)) GROUP BY ALL)""", _pair("0", "qz")))
 def a17(spark, sf):
     out = metrics.high_rate_index(V.decoded_frames(spark, sf), [("pcm", "dec")], BANDS)
     return out.select(*SONG, *[r6(c, c) for c in ("err4", "err16", "rms")])
@@ -204,7 +204,27 @@ def a20(spark, sf):
     return metrics.index16(V.decoded_frames(spark, sf), "pcm", "dec", BANDS).select(*SONG, r6("error", "error"))
 
 
-@query("a18_vocoder_index")
+_BARK = "(8.288e-8*hz/(3.4225e-16*pow(hz,4)+1)+0.009694e0/(5.476e-7*pow(hz,2)+1)+1e-4)*16000/66"
+_VT = "(0.1e0/(0.15e0*0.15e0+pow(k*pi()/960,2)))"
+
+
+@query("a18_vocoder_index", with_views("dsmp", f"""SELECT stream_id, candidate, {s6('100*pow(avg(pow(e2,2)),0.25e0)/sqrt(sum(t2))', 'err4')}, {s6('100*pow(avg(pow(e4,4)),1e0/16)/sqrt(sum(t2))', 'err16')}, {s6('any_value(pe)', 'pitch_error')} FROM (
+ SELECT stream_id, candidate, frame_index, sum(b2)/9 AS e2, sum(b4*b4)/9 AS e4, sum(bt)/9 AS t2 FROM (SELECT stream_id, candidate, frame_index, b,
+  sum(pow(pow(y+{_VT},0.2e0)-pow(x+{_VT},0.2e0),2))/pow(any_value(hi-lo),2) AS b2, sum(pow(pow(y+10*{_VT},0.2e0)-pow(x+10*{_VT},0.2e0),2))/pow(any_value(hi-lo),2) AS b4, sum(pow(x+{_VT},0.4e0))/pow(any_value(hi-lo),2) AS bt
+  FROM vb JOIN qb ON k>=lo AND k<hi GROUP BY ALL) GROUP BY ALL) JOIN vp USING (stream_id, candidate) GROUP BY ALL""",
+    _pow_cte(_HANN),
+    f"qb AS (SELECT * FROM (VALUES {', '.join(f'({i},{a},{b})' for i, (a, b) in enumerate(BANDS))}) v(b, lo, hi))",
+    f"vk AS (SELECT k, sum({_BARK}) OVER (ORDER BY k) AS z, coalesce(sum({_BARK}) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z0 FROM (SELECT k, 16000e0*k/66 AS hz FROM range(0,33) t(k)))",
+    # what bin q gives to bin k, first to the higher bins, then from those to the lower ones
+    "vw AS MATERIALIZED (SELECT k, q, sum(w) AS w FROM (SELECT a.k, b.k AS q, pow(0.1e0, m.z-b.z)*pow(0.0031623e0, m.z0-a.z0) AS w FROM vk a JOIN vk m ON m.k>=a.k JOIN vk b ON b.k<=m.k) GROUP BY ALL)",
+    "vl AS (SELECT k, sum(w) AS total FROM vw GROUP BY 1)",
+    "vs AS (SELECT stream_id, candidate, frame_index, vw.k, sum(w*px)/any_value(total) AS x, sum(w*py)/any_value(total) AS y FROM qp JOIN vw ON qp.k=vw.q JOIN vl ON vl.k=vw.k GROUP BY ALL)",
+    "v0 AS MATERIALIZED (SELECT stream_id, candidate, frame_index, k, max(frame_index) OVER (PARTITION BY stream_id) AS top, greatest(x, f) AS x, greatest(y, f) AS y FROM (SELECT *, 1e-8*max(x) OVER (PARTITION BY stream_id, candidate, frame_index) AS f FROM vs))",
+    "va AS MATERIALIZED (SELECT a.stream_id, a.candidate, a.frame_index, a.k, any_value(a.top) AS top, sum(p.x*pow(0.5e0, a.frame_index-p.frame_index)) AS x, sum(p.y*pow(0.5e0, a.frame_index-p.frame_index)) AS y FROM v0 a JOIN v0 p ON p.stream_id=a.stream_id AND p.candidate=a.candidate AND p.k=a.k AND p.frame_index<=a.frame_index GROUP BY ALL)",
+    "vb AS (SELECT a.stream_id, a.candidate, a.frame_index, a.k, sum(p.x*pow(0.1e0, p.frame_index-a.frame_index)) AS x, sum(p.y*pow(0.1e0, p.frame_index-a.frame_index)) AS y FROM va a JOIN va p ON p.stream_id=a.stream_id AND p.candidate=a.candidate AND p.k=a.k AND p.frame_index>=a.frame_index AND (p.frame_index=a.frame_index OR p.frame_index<p.top) GROUP BY ALL)",
+    "ve AS MATERIALIZED (SELECT stream_id, candidate, frame_index, list((x-0.8e0*px)*32768 ORDER BY n) AS x, list((y-0.8e0*py)*32768 ORDER BY n) AS y FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM dsmp WINDOW w AS (PARTITION BY stream_id, candidate, frame_index ORDER BY n)) WHERE n>0 GROUP BY ALL)",
+    "vc AS (SELECT stream_id, candidate, frame_index, lag, sum(x[i]*x[i-lag])/sqrt(sum(x[i]*x[i])*sum(x[i-lag]*x[i-lag])+31) AS cx, sum(y[i]*y[i-lag])/sqrt(sum(y[i]*y[i])*sum(y[i-lag]*y[i-lag])+31) AS cy FROM ve, range(33,64) t(i), range(4,33) u(lag) GROUP BY ALL)",
+    "vp AS (SELECT stream_id, candidate, avg(CASE WHEN cx>0.7e0 THEN abs(cx-cy) END) AS pe FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, candidate, frame_index ORDER BY cx DESC, lag) AS r FROM vc) WHERE r=1 GROUP BY ALL)"))
 def a18(spark, sf):
     f = V.decoded_frames(spark, sf)
     out = metrics.vocoder_index(f, "pcm", "dec", BANDS)
@@ -212,12 +232,11 @@ def a18(spark, sf):
     return out.join(pitch, SONG).select(*SONG, *[r6(c, c) for c in ("err4", "err16", "pitch_error")])
 
 
-@query("a19_feature_errors", with_views("dsmp", f"""SELECT stream_id, candidate, {s6('sqrt(sum(m) FILTER (WHERE n<>6))', 'total_error')}, {s6('sqrt(max(m) FILTER (WHERE n<>6))', 'max_error')}, {s6('any_value(pe)', 'pitch_error')} FROM
- (SELECT stream_id, candidate, n, avg(pow(x-y,2)) AS m FROM dsmp WHERE n<8 GROUP BY ALL) JOIN
- (SELECT a.stream_id, a.candidate, avg(abs(b.x-b.y)) FILTER (WHERE a.x>0.2e0) AS pe FROM dsmp a JOIN dsmp b ON a.stream_id=b.stream_id AND a.candidate=b.candidate AND a.frame_index=b.frame_index AND a.n=7 AND b.n=6 GROUP BY ALL) USING (stream_id, candidate) GROUP BY ALL"""))
+@query("a19_feature_errors", with_views("dsmp", f"""SELECT stream_id, candidate, {s6('sqrt(sum(m) FILTER (WHERE n<>62))', 'total_error')}, {s6('sqrt(max(m) FILTER (WHERE n<>62))', 'max_error')}, {s6('any_value(pe)', 'pitch_error')} FROM
+ (SELECT stream_id, candidate, n, avg(pow(x-y,2)) AS m FROM dsmp GROUP BY ALL) JOIN
+ (SELECT a.stream_id, a.candidate, avg(abs(b.x-b.y)) FILTER (WHERE a.x>0.2e0) AS pe FROM dsmp a JOIN dsmp b ON a.stream_id=b.stream_id AND a.candidate=b.candidate AND a.frame_index=b.frame_index AND a.n=63 AND b.n=62 GROUP BY ALL) USING (stream_id, candidate) GROUP BY ALL"""))
 def a19(spark, sf):
-    f = V.decoded_frames(spark, sf).select(*SONG, F.slice("pcm", 1, 8).alias("x"), F.slice("dec", 1, 8).alias("y"))
-    return metrics.feature_errors(f, "x", "y", 8, SONG).select(*SONG, *[r6(c, c) for c in ("total_error", "max_error", "pitch_error")])
+    return metrics.feature_errors(V.decoded_frames(spark, sf), "pcm", "dec", 64, SONG).select(*SONG, *[r6(c, c) for c in ("total_error", "max_error", "pitch_error")])
 
 
 @query("a21_highband_distortion", with_views("dsmp ddft", f"""SELECT stream_id, candidate, b AS band, {s6('dt', 'test_distortion')}, {s6('dl', 'low_passed_distortion')}, dt<=dl AS passed FROM (

@@ -143,10 +143,10 @@ def s08(spark, sf):
     return numbered(R.read_loss_trace(spark, path).withColumnRenamed("trace_id", "stream_id"), "seq", n)
 
 
-@query("s09_read_feature_matrix", f"SELECT label::bigint AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS frame_index, {s6('list_sum(list_transform(embedding[1:18], lambda x: x::double)) + embedding[20]::double', 'total')}, trunc(0.1::float + 50::float*embedding[19] + 100::float)::bigint AS period FROM embeddings")
+@query("s09_read_feature_matrix", f"SELECT label::bigint AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS frame_index, {s6('list_sum(list_transform(embedding[1:18], lambda x: x::double)) + embedding[20]::double', 'total')}, trunc(0.1::float + 50::float*embedding[19] + 100::float)::bigint AS period, {s6('list_sum(list_transform(embedding[21:36], lambda x: x::double))', 'lpc_total')}, {s6('list_sum(list_transform(embedding[37:64], lambda x: x::double))', 'rest_total')} FROM embeddings")
 def s09(spark, sf):
     n, path = layout.segment_length(spark), layout.scratch_path(spark, "features")
-    e = V.table(spark, sf, "embeddings").select(F.col("label").alias("stream_id"), "vec_id", F.slice("embedding", 1, 36).alias("f"))
+    e = V.table(spark, sf, "embeddings").select(F.col("label").alias("stream_id"), "vec_id", F.col("embedding").alias("f"))
     e = layout.dense_index(e, ["stream_id"], F.floor(F.col("vec_id") / S.d(4096)), ["vec_id"])
 
     def body(batches):
@@ -158,8 +158,12 @@ def s09(spark, sf):
     hexed = e.select("stream_id", "frame_index", "f").mapInArrow(body, T.StructType([
         e.schema["stream_id"], T.StructField("frame_index", T.LongType()), T.StructField("h", T.StringType())]))
     W.write_binary_files(joined(hexed, "h", ".f32", n), path)
-    m = numbered(R.read_feature_matrix(spark, path).withColumnRenamed("source_name", "stream_id"), "row", n)
-    return m.select(*ID, r6(A.total(F.transform("features", lambda x: x.cast("double"))), "total"), "period")
+    m = numbered(R.read_feature_matrix(spark, path, width=64).withColumnRenamed("source_name", "stream_id"), "row", n)
+
+    def whole(c):
+        return A.total(F.transform(c, lambda x: x.cast("double")))
+
+    return m.select(*ID, r6(whole("features"), "total"), "period", r6(whole("lpc"), "lpc_total"), r6(whole("rest"), "rest_total"))
 
 
 @query("s11_read_manifest", "SELECT s_name AS name, CASE s_nationkey%2 WHEN 0 THEN 'pool0' ELSE 'pool1' END AS pool, s_name||'.wav' AS wav FROM supplier")

@@ -23,43 +23,42 @@ def third(ts):
     return F.least(F.lit(2), F.floor((F.dayofmonth(ts) - 1) / S.d(10)).cast("int"))
 
 
-def live(spark, sf):
-    """Telemetry as a stream with a real timestamp."""
+def live(spark, sf, window=None, reaching=None):
+    """Telemetry as a stream with a real timestamp.  With `window`, a last event closes the windows of that size; only rows where `reaching` holds
+    get to them."""
     t = V.telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return ST.replay(spark, t, third(F.col("ts")), SLICES, order="ts")
+    closing = ST.closing_event(t if reaching is None else t.where(reaching), DELAY, window) if window else None
+    return ST.replay(spark, t, third(F.col("ts")), SLICES, closing, order="ts")
 
 
 def plain(col):
     return F.col(col).cast("timestamp_ntz").alias(col)
 
 
-_WM = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
-
-
 def _start(hours: int, every: int) -> str:
     return f"(TIMESTAMP '2024-01-01' + INTERVAL (h*{every}) HOUR)"
 
 
 @query("st01_tumbling_segments", with_views("tel", f"""SELECT stream_id, TIMESTAMP '2024-01-01' + to_hours((12*h)::bigint) AS "start", count(*) AS frames, {s6('avg(packet_bytes)', 'avg_packet_bytes')},
  {s6(CL("0.62e0*avg(d)+0.28e0*max(d)+0.10e0*" + CL("(CASE WHEN count(*)<2 THEN 0 ELSE stddev_pop(packet_bytes) END)/250e0")), 'raw_difficulty')}
- FROM (SELECT *, {DIFFICULTY_SQL} AS d, floor((epoch(ts)-epoch(TIMESTAMP '2024-01-01'))/43200)::bigint AS h FROM tel) GROUP BY stream_id, h HAVING TIMESTAMP '2024-01-01' + to_hours((12*h+12)::bigint) <= {_WM}"""))
+ FROM (SELECT *, {DIFFICULTY_SQL} AS d, floor((epoch(ts)-epoch(TIMESTAMP '2024-01-01'))/43200)::bigint AS h FROM tel) GROUP BY stream_id, h"""))
 def st01(spark, sf):
-    out = ST.run_to_table(ST.tumbling_segments(live(spark, sf), "12 hours", DELAY))
+    out = ST.run_to_table(ST.tumbling_segments(live(spark, sf, "12 hours"), "12 hours", DELAY))
     return out.select("stream_id", plain("start"), "frames", r6("avg_packet_bytes", "avg_packet_bytes"), r6("raw_difficulty", "raw_difficulty"))
 
 
 @query("st02_sliding_rates", with_views("tel", f"""SELECT stream_id, TIMESTAMP '2024-01-01' + to_hours((4*(h-k))::bigint) AS "start", sum(packet_bytes*8)::bigint AS bits, max(packet_bytes*8) AS max_bits, count(*) AS packets
- FROM (SELECT *, floor((epoch(ts)-epoch(TIMESTAMP '2024-01-01'))/14400)::bigint AS h FROM tel), range(0,3) r(k) GROUP BY stream_id, h-k HAVING TIMESTAMP '2024-01-01' + to_hours((4*(h-k)+12)::bigint) <= {_WM}"""))
+ FROM (SELECT *, floor((epoch(ts)-epoch(TIMESTAMP '2024-01-01'))/14400)::bigint AS h FROM tel), range(0,3) r(k) GROUP BY stream_id, h-k"""))
 def st02(spark, sf):
-    out = ST.run_to_table(ST.sliding_rates(live(spark, sf), "12 hours", "4 hours", DELAY))
+    out = ST.run_to_table(ST.sliding_rates(live(spark, sf, "12 hours"), "12 hours", "4 hours", DELAY))
     return out.select("stream_id", plain("start"), "bits", "max_bits", "packets")
 
 
 @query("st03_talk_spurts", with_views("tel", f"""SELECT stream_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS frames FROM (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY ts) AS g FROM (
- SELECT stream_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM tel WHERE event_type<>'error')) GROUP BY stream_id, g
- HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_type<>'error')"""))
+ SELECT stream_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM tel WHERE event_type<>'error')) GROUP BY stream_id, g"""))
 def st03(spark, sf):
-    out = ST.run_to_table(ST.talk_spurts(live(spark, sf), F.col("event_type") != "error", "6 hours", DELAY))
+    talking = F.col("event_type") != "error"
+    out = ST.run_to_table(ST.talk_spurts(live(spark, sf, "6 hours", talking), talking, "6 hours", DELAY))
     return out.select("stream_id", plain("start"), plain("stop"), "frames")
 
 

@@ -214,12 +214,14 @@ def read_f0(spark: SparkSession, path: str) -> DataFrame:
         parts[0].cast("double").alias("pitch"), parts[1].cast("double").alias("voicing"))
 
 
-def read_feature_matrix(spark: SparkSession, path: str, version: int = 2) -> DataFrame:
-    """Rows of float32 features cut into their named parts; period = trunc(0.1 + 50x + 100)."""
+def read_feature_matrix(spark: SparkSession, path: str, version: int = 2, width: int | None = None) -> DataFrame:
+    """Rows of float32 features cut into their named parts; period = trunc(0.1 + 50x + 100).  Rows may hold more values than the
+    layout names, `width` in all: those come as `rest`."""
     lay = FEATURE_LAYOUTS[version]
+    named = lay["width"]
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()),
                            T.StructField("f", T.ArrayType(T.FloatType()))])
-    width = lay["width"]
+    width = width or named
 
     def body(batches):
         for b in batches:
@@ -243,7 +245,7 @@ def read_feature_matrix(spark: SparkSession, path: str, version: int = 2) -> Dat
 
     period = (f32(0.1) + f32(50) * cut("periods")[0] + f32(100)).cast("long")
     return rows.select(stem(F.col("path")).alias("source_name"), "row", F.concat(cut("cepstrum"), cut("pitch_corr")).alias("features"),
-                       period.alias("period"), cut("lpc").alias("lpc"))
+                       period.alias("period"), cut("lpc").alias("lpc"), F.slice("f", named + 1, max(width - named, 0)).alias("rest"))
 
 
 def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -121,3 +121,33 @@ def test_no_window_needs_a_whole_stream(short_segments, frame):
     out = layout.windowed(df, {"m": lambda w: F.lag("x").over(w)}, before=1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_seg" in plan.split("hashpartitioning")[1].split(")")[0]
+
+
+def test_decaying_arrays_have_no_reach(short_segments, frame):
+    """One loud frame before hundreds of silent ones keeps its tail, in both directions and with a gain per value."""
+    df = short_segments.createDataFrame([(s, i, [1e3, 1.0] if i == 5 else [0.0, 0.0]) for s in (1, 2) for i in range(300)], "stream_id long, frame_index long, x array<double>")
+    from framescope.operators.smoothing import decayed_sum
+    tail = {r["frame_index"]: r["y"] for r in decayed_sum(df, "x", 2, 0.5, "y").where("stream_id = 2").collect()}
+    assert tail[299] == [1e3 * 0.5 ** 294, 0.5 ** 294] and tail[4] == [0.0, 0.0]
+    back = {r["frame_index"]: r["y"][0] for r in decayed_sum(df, "x", 2, 0.9, "y", backward=True).where("stream_id = 1").collect()}
+    assert np.isclose(back[0], 1e3 * 0.9 ** 5, rtol=1e-14) and back[6] == 0.0
+    gains = F.when(F.col("frame_index") == 100, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.99)))
+    each = {r["frame_index"]: r["y"] for r in decayed_sum(df, "x", 2, gains, "y").where("stream_id = 1").collect()}
+    assert each[99][0] == 1e3 and each[100][0] == 0.0 and np.isclose(each[299][1], 0.99 ** 293, rtol=1e-12)
+
+
+def test_scan_over_small_batches_and_given_starts(short_segments, frame):
+    """Groups that go on over several Arrow batches, streams with a carried state, null keys."""
+    short_segments.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = [(s, i, float((7 * i + (s or 0)) % 11 - 5)) for s in (1, 2, None) for i in range(40)]
+        df = short_segments.createDataFrame(rows, "stream_id long, frame_index long, x double")
+        starts = short_segments.createDataFrame([(2, 100.0)], "stream_id long, _in double")
+        got = {(r["stream_id"], r["frame_index"]): r["y"] for r in recurrence.scan(recurrence.clamped(df, 1.0, F.col("x"), 0.0), recurrence.ClampedLinear, "y", 3.0, starts=starts).collect()}
+    finally:
+        short_segments.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in (1, 2, None):
+        y = 100.0 if s == 2 else 3.0
+        for i in range(40):
+            y = max(0.0, y + float((7 * i + (s or 0)) % 11 - 5))
+            assert got[s, i] == y
