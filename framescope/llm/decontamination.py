@@ -1,30 +1,32 @@
 """Benchmark decontamination with SimHash windows, on DataFrame operations only.
 
 Every benchmark item is looked for in windows of its own length in words.  A window and an item are 64-bit SimHashes of their
-five-word shingles; fingerprints of equal window length are cut into radius + 1 blocks, and two fingerprints within the radius
-agree in at least one of them, so the equi-join on (length, block, bits) finds all pairs within the radius.  Each
-is then verified by the weighted Jaccard similarity of the shingles themselves, weights being their numbers of occurrence.
+five-word shingles, each shingle with the number of its occurrence, which makes bags sets: so the angle that a fingerprint
+measures follows the weighted Jaccard similarity, long runs of one word included.  Fingerprints of equal window length are cut
+into radius + 1 blocks, and two within the radius agree in at least one of them, so the equi-join on (length, block, bits)
+finds all pairs within the radius.  Each is then verified by the weighted Jaccard similarity of the shingles themselves.
+
+Shingles are 64-bit hashes of their words, made once per text; windows are slices of that array.
 
 Only windows that share a shingle with an item of their length are fingerprinted.  That loses nothing, as others have
 similarity 0, and a similarity of t needs 2t/(1+t) of the item's shingles, which is counted per document first.  Starts
-are those that line a shared shingle up with its place in the item, and all starts between two that are two item lengths
+are those that line a shared shingle up with its first or last place in the item, and all starts between two that are two item lengths
 apart or less: a window that lines up with none of its shared shingles lies between two such starts, or the nearest
 one holds all its shared shingles too.
 
-The expected distance at similarity 0.8 is 10 bits with a deviation of 3 if shingles occur once; the radius of 24 then leaves a miss five
-deviations out.  A shingle repeated c times weighs c*c in the angle but c in the similarity, so copies with long runs of one word
-can be missed.
+The expected distance at similarity 0.8 is 10 bits with a deviation of 3; the radius of 24 leaves a miss about five deviations out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.llm.storage import broadcast_if_small, col, stored
 
 SHINGLE, RADIUS, PERCENT = 5, 24, 80
 SMALL_ITEMS, SMALL_DOCUMENTS = 2_000_000, 200_000
+STRETCH = 4096
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -40,21 +42,15 @@ def shingle_hashes(words: str, size: int) -> Column:
     return F.expr(f"if(size({words}) >= {size}, transform(sequence(0, size({words}) - {size}), i -> xxhash64({run})), array())")
 
 
-def shingles(words: str) -> Column:
-    """Five-word shingles as text; fewer words are one shingle, none give none."""
-    return F.expr(f"""case when size({words}) = 0 then cast(array() as array<string>)
-        when size({words}) <= {SHINGLE} then array(array_join({words}, ' '))
-        else transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> array_join(slice({words}, i, {SHINGLE}), ' ')) end""")
-
-
-def numbered(values: str) -> Column:
-    """Every value with the number of its occurrences so far, which makes a bag a set."""
-    return F.expr(f"transform({values}, (x, i) -> concat(x, ' ', cast(size(filter(slice({values}, 1, i), y -> y = x)) as string)))")
+def bag(hashes: str) -> Column:
+    """The hashes of the sorted array column `hashes` as a set: the c-th occurrence of a value, c > 1, is a value of its own."""
+    return F.expr(f"""case when size(array_distinct({hashes})) = size({hashes}) then {hashes}
+        else transform({hashes}, (x, i) -> if(array_position({hashes}, x) = i + 1, x, xxhash64(x, i + 2 - array_position({hashes}, x)))) end""")
 
 
 def simhash(values: str) -> Column:
     return F.expr(f"""aggregate(sequence(0, 63), 0L, (bits, b) -> bits | if(
-        aggregate(transform({values}, x -> xxhash64(x)), 0, (n, h) -> n + cast(shiftright(h, b) & 1L as int)) * 2 > size({values}), shiftleft(1L, b), 0L))""")
+        aggregate({values}, 0, (n, h) -> n + cast(shiftright(h, b) & 1L as int)) * 2 > size({values}), shiftleft(1L, b), 0L))""")
 
 
 def blocks(fingerprint: str, radius: int) -> Column:
@@ -66,8 +62,11 @@ def blocks(fingerprint: str, radius: int) -> Column:
 
 def prepared_items(items: DataFrame, item_key: str, text: str) -> DataFrame:
     i = items.select(col(item_key).alias("item"), words_of(col(text)).alias("iw")).filter(F.size("iw") > 0)
-    i = i.withColumns({"m": F.size("iw"), "span": F.least(F.size("iw"), F.lit(SHINGLE)), "ish": shingles("iw")})
-    return i.withColumns({"ibag": numbered("ish"), "ifp": simhash("ish")})
+    i = i.withColumns({"m": F.size("iw"), "span": F.least(F.size("iw"), F.lit(SHINGLE))})
+    by_span = F.expr("case span " + " ".join(f"when {n} then {name}" for n, name in ((n, f"s{n}") for n in range(1, SHINGLE + 1))) + " end")
+    i = i.withColumns({f"s{n}": shingle_hashes("iw", n) for n in range(1, SHINGLE + 1)}).withColumn("ish", by_span)
+    i = i.withColumn("sorted", F.array_sort("ish")).withColumn("ibag", bag("sorted"))
+    return i.select("item", "m", "span", "ish", "ibag", simhash("ibag").alias("ifp"))
 
 
 def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS, percent: int = PERCENT, key: str = "doc_id", text: str = "text",
@@ -76,50 +75,47 @@ def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS, percent: int =
     n_words, hamming, similarity.
 
     Null and empty texts and items match nothing.  Rows equal in key and text give one result; of equally similar windows that were
-    candidates the first gives the position.
+    candidates the first gives the position.  Very long texts are searched whole.
     A document shorter than the item is one window.  Items of fewer than five words are one shingle of all their words.
     Empty tables give no rows; other columns are ignored.
     """
     it = stored(prepared_items(items, item_key, item_text), "leak-items")
-    spans = [r[0] for r in it.select("span").distinct().collect()]  # 1 to 5 at most
+    spans = sorted(r[0] for r in it.select("span").distinct().collect()) or [SHINGLE]  # 1 to 5 at most
     d = docs.select(col(key).alias("k"), F.xxhash64(col(text)).alias("h"), words_of(col(text)).alias("w"))
-
-    # Shared shingles: where they stand in the document and in the item.
-    anchors = it.select("item", "m", "span", F.posexplode(F.transform("ish", lambda x: x)).alias("q", "s"))
-    anchors = anchors.withColumn("sh", F.expr("split(s, ' ')"))
-    anchors = anchors.withColumn("sh", F.expr("case span " + " ".join(f"when {n} then xxhash64({', '.join(f'sh[{j}]' for j in range(n))})" for n in range(1, SHINGLE + 1)) + " end"))
-    anchors = broadcast_if_small(stored(anchors.select("item", "m", "span", "q", "sh"), "leak-anchors"), SMALL_ITEMS)
-    hits = None
-    for n in spans:
-        found = d.select("k", "h", F.size("w").alias("n"), F.posexplode(shingle_hashes("w", n)).alias("p", "sh")).join(anchors.filter(F.col("span") == n), "sh")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return d.select(F.col("k").alias(key), F.col("h").alias("text_hash"), F.lit(None).cast(items.schema[item_key].dataType).alias(item_key),
-                        F.lit(0).alias("position"), F.lit(0).alias("n_words"), F.lit(0).alias("hamming"), F.lit(0.0).alias("similarity")).limit(0)
+    d = d.select("k", "h", F.size("w").alias("n"), F.array(*[F.struct(F.lit(n).alias("span"), shingle_hashes("w", n).alias("sh")) for n in spans]).alias("by_span"))
+
+    # Shared shingles: where they stand in the document, and their first and last place in the item.
+    anchors = it.select("item", "m", "span", F.posexplode("ish").alias("q", "sh")).groupBy("item", "m", "span", "sh").agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
+    anchors = broadcast_if_small(stored(anchors, "leak-anchors"), SMALL_ITEMS)
+    # The outer forms: for the others Spark infers a filter on the array and moves it below, where words would be split anew for every shingle.
+    hits = d.select("k", "h", "n", F.explode_outer("by_span").alias("s")).select("k", "h", "n", F.posexplode_outer("s.sh").alias("p", "sh")).join(anchors, "sh")
+    hits = stored(hits.select("k", "h", "n", "item", "m", "span", "p", "q0", "q1").distinct(), "leak-hits")
     most = F.col("m") - F.col("span") + 1
     small = F.least(F.col("m"), F.col("n"))
     # Overlap that the similarity needs: percent / 100 of the union of the item's and the window's shingles.
     need = F.ceil(F.lit(percent / (100 + percent)) * (most + F.greatest(small - F.col("span") + 1, F.lit(1))) - 1e-9)
-    starts = (hits.withColumn("start", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m"))))
-              .groupBy("k", "h", "item", "m", "span", "n").agg(F.size(F.collect_set("p")).alias("shared"), F.array_sort(F.collect_set("start")).alias("starts"))
-              .filter(F.col("shared") >= need)
-              .withColumn("start", F.explode(F.expr("""array_distinct(flatten(transform(starts, (s, i) ->
-                  if(i + 1 < size(starts) and starts[i + 1] - s <= 2 * m and starts[i + 1] > s, sequence(s, starts[i + 1] - 1), array(s)))))""")))
-              .select("k", "h", "m", "start").distinct())
-    wanted = stored(starts.groupBy("k", "h").agg(F.collect_list(F.struct("m", "start")).alias("at")), "leak-starts")
-    wanted = broadcast_if_small(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), SMALL_DOCUMENTS)
-    cut = (d.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).select("k", "h", "w", F.explode("at").alias("a"))
-           .select("k", "h", "a.m", "a.start", F.expr("array_join(slice(w, a.start + 1, a.m), ' ')").alias("window")))
-    cut = stored(cut.distinct(), "leak-windows")
+    enough = hits.groupBy("k", "h", "n", "item", "m", "span").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= need)
+    enough = enough.select(F.col("k").alias("ek"), F.col("h").alias("eh"), F.col("item").alias("ei"))
+    held = hits.join(broadcast_if_small(stored(enough, "leak-enough"), SMALL_DOCUMENTS), F.col("k").eqNullSafe(F.col("ek")) & (F.col("h") == F.col("eh")) & F.col("item").eqNullSafe(F.col("ei")), "left_semi")
+    lined = [F.greatest(F.lit(0), F.least(F.col("p") - F.col(q), F.col("n") - F.col("m"))) for q in ("q0", "q1")]
+    starts = held.select("k", "h", "item", "m", "span", F.explode(F.array_distinct(F.array(*lined))).alias("start")).distinct()
+    after = F.lead("start").over(Window.partitionBy("k", "h", "item").orderBy("start"))
+    starts = starts.withColumn("after", after).withColumn("last", F.when(F.col("after") - F.col("start") <= 2 * F.col("m"), F.col("after") - 1).otherwise(F.col("start")))
+    starts = starts.select("k", "h", "m", "span", F.explode(F.sequence("start", "last")).alias("start")).distinct()
+    # One array of starts per document and stretch of STRETCH words.
+    wanted = starts.groupBy("k", "h", F.floor(F.col("start") / STRETCH).alias("stretch")).agg(F.collect_list(F.struct("m", "span", "start")).alias("at"))
+    wanted = broadcast_if_small(stored(wanted.select(F.col("k").alias("wk"), F.col("h").alias("wh"), "at"), "leak-starts"), SMALL_DOCUMENTS)
+    cut = d.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).select("k", "h", "by_span", F.explode("at").alias("a"))
+    window = F.expr("array_sort(slice(filter(by_span, s -> s.span = a.span)[0].sh, a.start + 1, a.m - a.span + 1))")
+    cut = stored(cut.select("k", "h", "a.m", "a.start", window.alias("window")).distinct(), "leak-windows")
 
     # Equal windows are fingerprinted and verified once.
-    w = cut.select("m", "window").distinct().withColumn("wsh", F.split("window", " "))
-    w = stored(w.withColumn("wsh", shingles("wsh")).withColumns({"wbag": numbered("wsh"), "wfp": simhash("wsh")}).drop("wsh"), "leak-fingerprints")
+    w = stored(cut.select("m", "window").distinct().withColumn("wbag", bag("window")).withColumn("wfp", simhash("wbag")), "leak-fingerprints")
     left = w.select("m", "window", "wfp", blocks("wfp", radius).alias("b")).select("m", "window", "wfp", "b.block", "b.bits")
     right = it.select("m", "item", "ifp", blocks("ifp", radius).alias("b")).select("m", "item", "ifp", "b.block", "b.bits")
     near = (left.join(right, ["m", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))))
             .filter(F.col("hamming") <= radius).select("m", "window", "item", "hamming").distinct())
-    both = near.join(w.select("m", "window", "wbag"), ["m", "window"]).join(it.select("item", "m", "ibag").distinct(), ["item", "m"])
+    both = near.join(w.select("m", "window", "wbag"), ["m", "window"]).join(it.select(F.col("item").alias("bi"), F.col("m").alias("bm"), "ibag").distinct(), F.col("item").eqNullSafe(F.col("bi")) & (F.col("m") == F.col("bm")))
     both = both.withColumn("common", F.size(F.array_intersect("wbag", "ibag")))
     both = both.withColumn("total", F.size("wbag") + F.size("ibag") - F.col("common")).filter(F.col("common") * 100 >= F.col("total") * percent)
     leaks = cut.join(both.select("m", "window", "item", "hamming", (F.col("common") / F.col("total")).alias("similarity")), ["m", "window"])
@@ -129,7 +125,8 @@ def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS, percent: int =
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """The rows and columns of `docs` that hold no item; rows with a null key are judged like others."""
+    """The rows and columns of `docs` that hold no item.  Null and empty texts hold none, rows with a null key are judged like others, repeated
+    rows alike; empty tables are fine."""
     bad = stored(find(docs, items, key=key, text=text, **params).select(F.col(key).alias("__leak_key"), F.col("text_hash").alias("__leak_hash")).distinct(), "leak-rows")
     bad = broadcast_if_small(bad, SMALL_DOCUMENTS)
     return docs.join(bad, col(key).eqNullSafe(F.col("__leak_key")) & (F.xxhash64(col(text)) == F.col("__leak_hash")), "left_anti")

@@ -187,21 +187,19 @@ def near_groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: s
 
     Words are lower-cased in A-Z and separated by ASCII white space; a shingle is five words, fewer words are one shingle.
     Null and empty texts have no shingles and link with nothing; equal sets are linked; a null key stays null and gives no
-    name to a component unless all its keys are null.  An empty table gives no rows; other columns are ignored.
-    Sets are told apart by two 64-bit hashes; should two sets share the first, the join stops with an error."""
+    name to a component unless all its keys are null.  An empty table gives no rows; other columns are ignored.  Very long texts are
+    read whole.  Sets are told apart by two 64-bit hashes together; every distinct pair gets a number, which names the set from then on."""
     about = stored(describe(docs, key, text), "near-documents")
     total = about.agg(F.sum("n_shingles")).first()[0] or 0
-    nodes = about.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("doc"), F.min("set_check").alias("c0"), F.max("set_check").alias("c1"))
-    nodes = stored(nodes, "near-nodes")
-    if nodes.filter("c0 != c1").limit(1).count():
-        raise ValueError("two shingle sets have one hash; change shingles.SALT")
-    sets = stored(shared_sets(docs, total, percent, key, text), "near-shared")
-    sets = sets.groupBy("set_key", "n_shingles").agg(F.first("shared").alias("shared")).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "shared")
-    group = components_of_sets(stored(sets, "near-distinct"), percent)
-    grouped = nodes.join(group.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    own = ["set_key", "set_check"]
+    nodes = about.filter("n_shingles > 0").groupBy(*own).agg(F.min("doc").alias("doc"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    sets = stored(shared_sets(docs, total, percent, key, text), "near-shared").groupBy(*own).agg(F.max("n_shingles").alias("n"), F.first("shared").alias("shared"))
+    group = components_of_sets(stored(sets.join(nodes, own).select("node", "n", "shared"), "near-distinct"), percent)
+    grouped = nodes.join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = grouped.groupBy("label").agg(F.min("doc").alias("component_id"))
-    by_set = stored(grouped.join(names, "label").select("set_key", "component_id"), "near-names")
-    out = about.filter("n_shingles > 0").join(by_set, "set_key").select("doc", "n_shingles", "component_id")
+    by_set = stored(grouped.join(names, "label").select(*own, "component_id"), "near-names")
+    out = about.filter("n_shingles > 0").join(by_set, own).select("doc", "n_shingles", "component_id")
     return out.unionByName(about.filter("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component_id"))).withColumnRenamed("doc", key)
 
 

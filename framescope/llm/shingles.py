@@ -122,7 +122,7 @@ def runs(batches, names: tuple[str, ...]):
 
 
 def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str, range_size: int = 300_000, batch_bytes: int = 4 << 20) -> DataFrame:
-    """set_key, n_shingles, shared (array of the shingles that another document has too), for documents of which at least
+    """set_key, set_check, n_shingles, shared (array of the shingles that another document has too), for documents of which at least
     `percent` of 100 are shared.  Rows of one batch with equal sets count once.
 
     Three steps: cut by hash range, count within a range (about `range_size` shingles, as `n_total` are spread over as many
@@ -140,12 +140,13 @@ def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str
             pieces, sets, seen = [], [], {}
             for i, j in bytewords.groups(some):
                 owner, sh = shingle_sets(some[i:j])
-                n, k, _ = set_keys(owner, sh, j - i)
+                n, k, c = set_keys(owner, sh, j - i)
                 place = np.full(j - i, -1, np.int64)
                 for d in np.flatnonzero(n).tolist():
-                    if int(k[d]) not in seen:
-                        seen[int(k[d])] = place[d] = len(sets)
-                        sets.append((int(k[d]), int(n[d])))
+                    name = int(k[d]), int(c[d])
+                    if name not in seen:
+                        seen[name] = place[d] = len(sets)
+                        sets.append((*name, int(n[d])))
                 own = place[owner]
                 pieces.append((own[own >= 0].astype(np.uint16), sh[own >= 0]))
             if not sets:
@@ -181,7 +182,7 @@ def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str
 
     def gather(batches):
         for _, rows in runs(batches, ("batch", "range", "owners", "body")):
-            sets = np.frombuffer(next(b for r, _, b in rows if r < 0), np.int64).reshape(-1, 2)
+            sets = np.frombuffer(next(b for r, _, b in rows if r < 0), np.int64).reshape(-1, 3)
             parts = [(np.frombuffer(o, np.uint16), unpacked(b)) for r, o, b in rows if r >= 0]
             if not parts:
                 continue
@@ -190,12 +191,12 @@ def shared_sets(docs: DataFrame, n_total: int, percent: int, key: str, text: str
             owner, sh = owner[order], sh[order].astype(np.int64)
             n = np.bincount(owner, minlength=len(sets))
             ends = np.cumsum(n)
-            keep = np.flatnonzero((n * 100 >= sets[:, 1] * percent) & (n > 0))
+            keep = np.flatnonzero((n * 100 >= sets[:, 2] * percent) & (n > 0))
             for at in range(0, len(keep), 512):
                 some = keep[at:at + 512]
                 lists = pa.array([sh[ends[d] - n[d]:ends[d]] for d in some], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(sets[some, 0]), pa.array(sets[some, 1]), lists], ["set_key", "n_shingles", "shared"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(sets[some, j]) for j in range(3)], lists], ["set_key", "set_check", "n_shingles", "shared"])
 
     ranges = base.mapInArrow(lean(cut), "range long, batch string, owners binary, body binary").repartition("range", F.when(F.col("range") < 0, F.col("batch"))).sortWithinPartitions("range")
     found = ranges.mapInArrow(lean(count), "batch string, range long, owners binary, body binary").repartition("batch").sortWithinPartitions("batch", "range")
-    return found.mapInArrow(lean(gather), "set_key long, n_shingles long, shared array<long>")
+    return found.mapInArrow(lean(gather), "set_key long, set_check long, n_shingles long, shared array<long>")

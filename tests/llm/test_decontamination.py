@@ -81,3 +81,21 @@ def test_blocks_find_all_within_the_radius(spark):
         df = spark.createDataFrame(pairs, "i int, a long, b long")
         left, right = df.select("i", D.blocks("a", radius).alias("k")), df.select("i", D.blocks("b", radius).alias("k"))
         assert left.join(right, ["i", "k"]).select("i").distinct().count() == len(pairs)
+
+
+def test_copies_that_differ_in_a_run_of_one_word(spark, frame):
+    """Nearly all shingles are the same, one of them many times: no such copy may lie beyond the radius."""
+    rows, items, least = [], [], 1.0
+    for size, run in ((200, 17), (400, 30), (200, 13)):
+        for i in range(40):
+            rnd = random.Random(size * 1000 + run * 100 + i)
+            words = [f"w{rnd.getrandbits(40)}" for _ in range(size)]
+            a, b = list(words), list(words)
+            a[50:50 + run], b[50:50 + run] = ["alpha"] * run, ["omega"] * run
+            number = len(items)
+            items.append((number, " ".join(a)))
+            rows.append((number, " ".join([f"x{rnd.getrandbits(40)}" for _ in range(30)] + b + ["end"])))
+            least = min(least, similarity(bag(a), bag(b)))
+    assert 0.8 <= least < 0.82
+    got = {(r["doc_id"], r["item_id"]): r["position"] for r in D.find(frame(rows), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == {(i, i): 30 for i in range(len(items))}

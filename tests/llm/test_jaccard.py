@@ -124,3 +124,16 @@ def test_rows_without_words_all_stay(frame, prose):
     rows = [(None, None, "de", "a"), (None, None, "en", "b"), (None, "", "fr", "b"), (1, " \t", "en", "a"), (1, " \t", "en", "c"), (2, prose(9, 1), "en", "a"), (2, prose(9, 1), "en", "b")]
     kept = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in jaccard.one_per_group(frame(rows)).collect()]
     assert Counter(k for k in kept if k[0] != 2) == Counter(rows[:5]) and len([k for k in kept if k[0] == 2]) == 1
+
+
+def test_sets_that_share_their_first_hash(frame, prose, monkeypatch):
+    from framescope.llm import shingles
+    real = shingles.set_keys
+
+    def same_key(owner, sh, n_texts):
+        n, key, check = real(owner, sh, n_texts)
+        return n, np.where(key != 0, 7, key), check
+    monkeypatch.setattr(shingles, "set_keys", same_key)
+    rows = [(1, prose(80, 1)), (2, prose(80, 1)), (3, prose(80, 1) + " end"), (4, prose(60, 2)), (5, ""), (6, prose(60, 2) + " x y")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(frame(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 4}
