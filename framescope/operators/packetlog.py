@@ -42,8 +42,8 @@ def silence_gate(frames: DataFrame, active, name: str = "gated") -> DataFrame:
     return f.withColumn(name, hit.cast("int")).drop("_on")
 
 
-def hysteresis_class(frames: DataFrame, value, limits, margins, out: str = "cls", init: int = 0) -> DataFrame:
-    """Class by ascending limits; the previous class holds while the value is within its margin."""
+def hysteresis_steps(frames: DataFrame, value, limits, margins) -> DataFrame:
+    """Puts the columns of recurrence.FiniteState on `frames`: which class follows each class."""
     v = value.cast("double")
     plain = sum((v >= S.d(t)).cast("int") for t in limits)
     f = frames
@@ -54,7 +54,12 @@ def hysteresis_class(frames: DataFrame, value, limits, margins, out: str = "cls"
         if prev > 0:
             stay = stay | ((plain < prev) & (v > S.d(limits[prev - 1] - margins[prev - 1])))
         f = f.withColumn(f"_to{prev}", F.when(stay, F.lit(prev)).otherwise(plain).cast("long"))
-    return recurrence.scan(f, recurrence.FiniteState(len(limits) + 1), out, init)
+    return f
+
+
+def hysteresis_class(frames: DataFrame, value, limits, margins, out: str = "cls", init: int = 0) -> DataFrame:
+    """Class by ascending limits; the previous class holds while the value is within its margin."""
+    return recurrence.scan(hysteresis_steps(frames, value, limits, margins), recurrence.FiniteState(len(limits) + 1), out, init)
 
 
 def leaky_bucket(frames: DataFrame, excess) -> DataFrame:

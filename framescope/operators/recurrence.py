@@ -111,6 +111,25 @@ class FiniteState:
         return pa.array(y)
 
 
+class StateMap(FiniteState):
+    """state -> next state as one array column `_map`; for rules of many states."""
+
+    cols = ("_map",)
+    kinds = (T.ArrayType(T.LongType()),)
+
+    def __init__(self, states: int):
+        self.width = states
+
+    def read(self, batch):
+        return (batch.column("_map").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, self.width),)
+
+    def write(self, maps):
+        return [_lists(maps[0])]
+
+    def constant(self, y):
+        return (np.repeat(y[:, None], self.width, 1),)
+
+
 class Decay:
     """y -> gain*y + add for arrays of `width` values; `_gain` is one number a row, or with `per_value` an array like `_add`."""
 
@@ -217,16 +236,16 @@ def _fold(rule, rows, group, order):
     return _walk(rows.select(*names, order, *rule.cols), names, order, schema, body)
 
 
-def _run(rule, rows, starts, group, order, init, keep, out, before):
-    """`keep` columns of `rows` and `out`, the state after (`before`: before) each row.  `starts`, if any, holds the state `_in` at
+def _run(rule, rows, starts, group, order, init, keep, after=None, before=None):
+    """`keep` columns of `rows`, and the states after and before each row under these names.  `starts`, if any, holds the state `_in` at
     the start of groups; the others start with `init`."""
     names = list(group)
     rows = rows.withColumn("_in", F.lit(None).cast(rule.type))
     if starts is not None:
         rows = rows.unionByName(starts.select(*names, F.lit(FIRST).cast("long").alias(order), "_in"), allowMissingColumns=True)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in (rows.schema[c] for c in keep)] + [T.StructField(out, rule.type)])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in (rows.schema[c] for c in keep)] + [T.StructField(c, rule.type) for c in (after, before) if c])
     # The rows that bring a state have no map of their own.
-    rows = rows.withColumns({c: F.coalesce(c, F.array_repeat(F.lit(0.0), rule.width) if isinstance(k, T.ArrayType) else F.lit(0).cast(k))
+    rows = rows.withColumns({c: F.coalesce(c, F.array_repeat(F.lit(0).cast(k.elementType), rule.width) if isinstance(k, T.ArrayType) else F.lit(0).cast(k))
                              for c, k in zip(rule.cols, rule.kinds, strict=True)})
 
     def body(batches):
@@ -246,28 +265,29 @@ def _run(rule, rows, starts, group, order, init, keep, out, before):
                 entry[:1] = held[1]
             y = rule.apply(composed(rule, maps, np.repeat(starts_at, sizes)), np.repeat(entry, sizes, axis=0))
             held = _key(b, names, b.num_rows - 1), y[-1:].copy()
+            out = {after: y} if after else {}
             if before:
-                y = np.concatenate([y[:1], y[:-1]])
-                y[starts_at] = entry
+                out[before] = np.concatenate([y[:1], y[:-1]])
+                out[before][starts_at] = entry
             fine = pa.array(~brings)
-            yield pa.RecordBatch.from_arrays([*[b.column(c).filter(fine) for c in keep], rule.write_states(y[~brings])], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).filter(fine) for c in keep], *[rule.write_states(v[~brings]) for v in out.values()]], [*keep, *out])
 
     needed = list(dict.fromkeys([*names, order, *rule.cols, "_in", *keep]))
     return _walk(rows.select(*needed), names, order, schema, body)
 
 
-def scan(df: DataFrame, rule, out: str, init, keys=KEYS, order=ORDER, starts: DataFrame | None = None) -> DataFrame:
-    """Adds `out`: the state after each row.  `df` holds the rule's columns.  Streams start with `init`, those in `starts` (keys
-    and `_in`) with the state given there."""
+def scan(df: DataFrame, rule, out: str, init, keys=KEYS, order=ORDER, starts: DataFrame | None = None, before: str | None = None) -> DataFrame:
+    """Adds `out`: the state after each row, and under `before` that before it.  `df` holds the rule's columns.  Streams start with
+    `init`, those in `starts` (keys and `_in`) with the state given there."""
     keys = list(keys)
     n = segment_length(df.sparkSession)
     keep = [c for c in df.columns if c not in rule.cols]
     rows = df.withColumn("_seg", segment_of(order, n))
     seg = _fold(rule, rows, [*keys, "_seg"], order).withColumn("_sup", segment_of("_seg", FANOUT))
     sup = _fold(rule, seg, [*keys, "_sup"], "_seg")
-    sup_in = _run(rule, sup, starts, keys, "_sup", init, [*keys, "_sup"], "_in", True)
-    seg_in = _run(rule, seg, sup_in, [*keys, "_sup"], "_seg", init, [*keys, "_seg"], "_in", True)
-    return _run(rule, rows, seg_in, [*keys, "_seg"], order, init, keep, out, False)
+    sup_in = _run(rule, sup, starts, keys, "_sup", init, [*keys, "_sup"], before="_in")
+    seg_in = _run(rule, seg, sup_in, [*keys, "_sup"], "_seg", init, [*keys, "_seg"], before="_in")
+    return _run(rule, rows, seg_in, [*keys, "_seg"], order, init, keep, out, before)
 
 
 def clamped(df, gain, step=0.0, lo=float("-inf"), hi=float("inf")) -> DataFrame:

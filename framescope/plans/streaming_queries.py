@@ -71,9 +71,9 @@ _TALK = draw_sql("event_id // 40", 5, "talk")
                  "CASE WHEN b.active THEN 0 WHEN r.q+b.ms>600 THEN 200 ELSE r.q+b.ms END, CASE WHEN NOT b.active AND r.q+b.ms>200 AND r.q+b.ms<=600 THEN 1 ELSE 0 END")))
 def st04(spark, sf):
     ms = F.element_at(F.array(*[F.lit(v) for v in (10, 20, 40, 60)]), (F.col("event_id") % 4 + 1).cast("int"))
-    f = live(spark, sf).select("stream_id", "ts", F.col("frame_index").alias("seq"), ms.alias("frame_ms"),
-                               (S.draw(F.floor(F.col("event_id") / S.d(40)), 5, "talk") < S.d(0.4)).alias("active"))
-    return ST.run_to_table(ST.silence_gate(f))
+    f = live(spark, sf, "1 second").select("stream_id", "ts", F.col("frame_index").alias("seq"), ms.alias("frame_ms"),
+                                           (S.draw(F.floor(F.col("event_id") / S.d(40)), 5, "talk") < S.d(0.4)).alias("active"))
+    return ST.ordered(f, ST.silence_gate(), DELAY)
 
 
 @query("st05_class_changes", with_views("tel", "SELECT stream_id, frame_index AS seq, cls::int AS cls FROM (SELECT *, coalesce(lag(cls) OVER (PARTITION BY stream_id ORDER BY frame_index), 0) AS before FROM rec) WHERE cls<>before",
@@ -81,25 +81,31 @@ def st04(spark, sf):
        recursion("st", "(CASE WHEN i0>0 AND v<t[1]+h[1] THEN 0 ELSE i0 END)::bigint AS cls",
                  "(CASE WHEN i0>cls AND v<t[cls+1]+h[cls+1] THEN cls WHEN i0<cls AND v>t[cls]-h[cls] THEN cls ELSE i0 END)::bigint")))
 def st05(spark, sf):
-    f = live(spark, sf).select("stream_id", "ts", F.col("frame_index").alias("seq"), (F.col("packet_bytes") * 40).cast("double").alias("value"))
-    return ST.run_to_table(ST.class_changes(f, BANDWIDTH_LIMITS, BANDWIDTH_MARGINS))
+    f = live(spark, sf, "1 second").select("stream_id", "ts", F.col("frame_index").alias("seq"), (F.col("packet_bytes") * 40).cast("double").alias("value"))
+    return ST.ordered(f, ST.class_changes(BANDWIDTH_LIMITS, BANDWIDTH_MARGINS), DELAY)
 
 
 @query("st06_bucket_alarm", with_views("tel", "SELECT stream_id, frame_index AS seq, level FROM rec WHERE level>=5000",
        "base AS MATERIALIZED (SELECT stream_id, frame_index, packet_bytes*8-3000 AS x FROM tel)", recursion("base", "greatest(0, x) AS level", "greatest(0, r.level+b.x)")))
 def st06(spark, sf):
-    f = live(spark, sf).select("stream_id", "ts", F.col("frame_index").alias("seq"), (F.col("packet_bytes") * 8 - 3000).alias("excess"))
-    return ST.run_to_table(ST.bucket_alarm(f, 5000))
+    f = live(spark, sf, "1 second").select("stream_id", "ts", F.col("frame_index").alias("seq"), (F.col("packet_bytes") * 8 - 3000).alias("excess"))
+    return ST.ordered(f, ST.bucket_alarm(5000), DELAY)
 
 
-@query("st07_gap_events")
+_LATE = draw_sql("event_id", 43, "late")
+
+
+@query("st07_gap_events", with_views("tel", """SELECT stream_id, unnest(range(top+1, seq)) AS seq, 'lost' AS event FROM pt WHERE seq > top+1
+ UNION ALL SELECT stream_id, seq, CASE WHEN ts >= latest - INTERVAL 1 DAY THEN 'restored' ELSE 'late' END FROM pt WHERE seq <= top""",
+       f"""pa AS (SELECT stream_id, frame_index AS seq, ts, ts + to_hours((CASE WHEN {_LATE} < 0.05e0 THEN 240 WHEN {_LATE} < 0.5e0 THEN 12 ELSE 0 END)::bigint) AS arrival FROM tel WHERE event_type<>'error')""",
+       """pt AS (SELECT *, coalesce(max(seq) OVER w, -1) AS top, max(ts) OVER w AS latest FROM pa WINDOW w AS (PARTITION BY stream_id ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def st07(spark, sf):
-    """Packets of type error never arrive; some others arrive a third of a month late."""
-    t = V.telemetry(spark, sf).where(F.col("event_type") != "error")
-    late = F.when(S.draw("event_id", 43, "late") < S.d(0.05), 1).otherwise(0)
-    t = t.select("stream_id", F.col("frame_index").alias("seq"), F.col("ts").cast("timestamp").alias("arrival"), "event_id")
-    slot = F.least(F.lit(SLICES - 1), third(F.col("arrival")) + late)
-    return ST.run_to_table(ST.gap_events(ST.replay(spark, t, slot, SLICES, order="arrival").select("stream_id", "seq", "arrival"), reorder=16))
+    """Packets of type error never arrive; some others arrive half a day or ten days late."""
+    t = V.telemetry(spark, sf).where(F.col("event_type") != "error").withColumn("ts", F.col("ts").cast("timestamp"))
+    draw = S.draw("event_id", 43, "late")
+    hours = F.when(draw < S.d(0.05), 240).when(draw < S.d(0.5), 12).otherwise(0)
+    p = t.select("stream_id", F.col("frame_index").alias("seq"), "ts", F.timestamp_micros(F.unix_micros("ts") + hours * F.lit(3_600_000_000)).alias("arrival"))
+    return ST.gap_events(ST.live_gaps(ST.replay(spark, p, F.lit(0), SLICES, order="arrival"), DELAY))
 
 
 @query("st08_without_duplicates", with_views("tel", "SELECT stream_id, frame_index AS seq, packet_bytes FROM tel"))

@@ -1,16 +1,38 @@
 """Live rules."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from framescope.operators import layout
 from framescope.streaming import operators as ST
 
 
-def test_gap_events(spark):
-    from pyspark.sql import functions as F
-    arrivals = [(1, 0, 0), (1, 1, 1), (1, 4, 2), (1, 2, 3), (1, 4, 4), (1, 30, 5), (1, 3, 6), (1, 29, 7), (2, 2, 0)]
-    df = spark.createDataFrame(arrivals, "stream_id long, seq long, arrival long").withColumn("arrival", F.timestamp_seconds("arrival"))
-    live = ST.replay(spark, df, F.when(F.second("arrival") < 3, 0).otherwise(1), 2)
-    got = {(r["stream_id"], r["seq"], r["event"]) for r in ST.run_to_table(ST.gap_events(live, reorder=8)).collect()}
-    lost = {(1, s, "lost") for s in (2, 3, *range(5, 30))} | {(2, 0, "lost"), (2, 1, "lost")}
-    assert got == lost | {(1, 2, "restored"), (1, 29, "restored"), (1, 4, "late"), (1, 3, "late")}
+def plain_gaps(rows, delay):
+    """rows: (stream, seq, sent, arrival) in order of arrival."""
+    top, latest, seen, out = {}, {}, set(), []
+    for s, seq, ts, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if seq > top.get(s, -1):
+            out += [(s, q, "lost") for q in range(top.get(s, -1) + 1, seq)]
+        else:
+            out.append((s, seq, "restored" if (s, seq) not in seen and ts >= latest[s] - delay else "late"))
+        seen.add((s, seq))
+        top[s], latest[s] = max(seq, top.get(s, -1)), max(ts, latest.get(s, ts))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_gap_events(short_segments, files, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(s, q, 60 * q, 60 * q + rnd.choice([0, 0, 0, 90, 400, 3000])) for s, n in ((1, 200), (2, 30)) for q in range(n) if rnd.random() < 0.8]
+    rows += [(1, 50, 3000, 9000), (1, 50, 3000, 9001), (3, 7, 5, 5)]
+    df = short_segments.createDataFrame(rows, "stream_id long, seq long, ts long, arrival long").withColumns({c: F.timestamp_seconds(c) for c in ("ts", "arrival")})
+    live = ST.replay(short_segments, df, F.lit(0), files, order="arrival")
+    got = ST.gap_events(ST.live_gaps(live, "10 minutes"), block=3).collect()
+    want = plain_gaps(rows, 600)
+    assert sorted(tuple(r) for r in got) == want
+    assert {e for _, _, e in want} == {"lost", "restored", "late"}
 
 
 def test_stream_equals_batch(spark, sf):
@@ -21,7 +43,6 @@ def test_stream_equals_batch(spark, sf):
 
 
 def test_closed_replay_emits_the_last_windows(spark):
-    from pyspark.sql import functions as F
     hours = [(1, 1), (1, 2), (1, 30), (1, 100), (1, 101), (2, 99)]
     df = spark.createDataFrame([(s, h, 100, "view") for s, h in hours] + [(1, 200, 100, "error")], "stream_id long, h long, packet_bytes long, event_type string")
     df = df.withColumn("ts", F.timestamp_seconds(F.col("h") * 3600)).drop("h")
@@ -39,20 +60,68 @@ def test_closed_replay_emits_the_last_windows(spark):
 
 
 def test_slices_are_cut_into_bounded_files_in_order(spark, monkeypatch):
-    from pyspark.sql import functions as F
     monkeypatch.setattr(ST, "FILE_ROWS", 10)
     times = [(7 * i) % 60 for i in range(60)]
     df = spark.createDataFrame([(1, t, t) for t in times] + [(2, 100, t) for t in (1, 5)], "stream_id long, excess long, seq long").withColumn("ts", F.timestamp_seconds("seq"))
     live = ST.replay(spark, df, F.when(F.col("seq") < 40, 0).otherwise(1), 2, order="ts")
-    per_file = live.select("*", F.col("_metadata.file_path").alias("file"))
-    sizes = [r["count"] for r in ST.run_to_table(per_file).groupBy("file").count().collect()]
-    assert sum(sizes) == 62 and max(sizes) <= 20 and len(sizes) >= 5
-    got = {(r["stream_id"], r["seq"], r["level"]) for r in ST.run_to_table(ST.bucket_alarm(live, 0)).collect()}
-    assert got == {(1, t, t * (t + 1) // 2) for t in range(60)} | {(2, 1, 100), (2, 5, 200)}
+    per_file = live.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+    files = ST.run_to_table(per_file).groupBy("file", "at").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("z")).orderBy("at").collect()
+    assert sum(r["n"] for r in files) == 62 and max(r["n"] for r in files) <= 20 and len(files) >= 5
+    assert all(x["z"] < y["a"] for x, y in zip(files, files[1:]))
+
+
+def frames_with(spark, rows):
+    return spark.createDataFrame(rows, "stream_id long, seq long, sec long, excess long, frame_ms int, active boolean, value double").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+
+
+def run_rule(spark, df, rule, files, delay="60 seconds", closed=True, **params):
+    closing = ST.closing_event(df, delay, "1 second") if closed else None
+    live = ST.replay(spark, df, F.floor(F.unix_seconds("ts") / F.lit(1e9)).cast("int"), files, closing, order="ts")
+    return sorted(tuple(r) for r in ST.ordered(live, rule, delay, **params).collect())
+
+
+def test_ordered_rules_do_not_depend_on_slices(short_segments):
+    """Most rows are one stream's, which is many segments; order is by time, not by number or place in a file."""
+    rnd = random.Random(5)
+    rows = [(1 if i % 4 else 2, i, (i * 37) % 300, rnd.randint(-40, 60), rnd.choice([10, 20, 40, 60]), rnd.random() < 0.05, rnd.random() * 10) for i in range(300)]
+    df = frames_with(short_segments, rows)
+    want = {"gate": [], "cls": [], "level": []}
+    for s in (1, 2):
+        quiet = cls = level = 0
+        for _, seq, _, excess, ms, active, value in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])):
+            quiet = 0 if active else quiet + ms
+            gate = int(not active and 200 < quiet <= 600)
+            quiet = 200 if quiet > 600 else quiet
+            want["gate"].append((s, seq, gate))
+            new = sum(value >= t for t in (3, 7))
+            if new > cls and value < (3, 7)[cls] + 0.5 or new < cls and value > (3, 7)[cls - 1] - 0.5:
+                new = cls
+            if new != cls:
+                want["cls"].append((s, seq, new))
+            cls, level = new, max(0, level + excess)
+            if level >= 100:
+                want["level"].append((s, seq, level))
+    for files in (1, 4):
+        assert run_rule(short_segments, df, ST.silence_gate(), files) == sorted(want["gate"])
+    assert run_rule(short_segments, df, ST.class_changes([3.0, 7.0], [0.5, 0.5]), 3) == sorted(want["cls"])
+    assert run_rule(short_segments, df, ST.bucket_alarm(100), 2) == sorted(want["level"])
+
+
+def test_late_rows_are_counted_and_silent_streams_expire(spark):
+    def at(s, seq, sec):
+        return (s, seq, sec, 10, 20, False, 0.0)
+    df = frames_with(spark, [at(1, 0, 0), at(2, 1, 1), at(1, 2, 500), at(1, 3, 5), at(2, 4, 2000), at(1, 5, 2100)]).withColumn("part", F.expr("CASE WHEN seq < 3 THEN 0 WHEN seq < 4 THEN 1 WHEN seq < 5 THEN 2 ELSE 3 END"))
+    # Each part is one micro-batch; number 3 comes after the watermark has passed its time.
+    live = ST.replay(spark, df, F.col("part"), 4).drop("part")
+    out = layout.scratch_path(spark, "ordered")
+    ST.start_ordered(live, ST.bucket_alarm(0), out, "60 seconds", expire="10 minutes").awaitTermination()
+    assert [(r["stream_id"], r["seq"]) for r in spark.read.parquet(f"{out}/late").collect()] == [(1, 3)]
+    got = sorted((r["stream_id"], r["seq"], r["level"]) for r in spark.read.parquet(f"{out}/rows").collect())
+    assert got == [(1, 0, 10), (1, 2, 20), (2, 1, 10), (2, 4, 10)]  # stream 2 began anew
 
 
 def test_one_jump_is_one_row(spark):
-    from pyspark.sql import functions as F
-    df = spark.createDataFrame([(1, 0, 0), (1, 1 << 40, 1), (1, (1 << 40) - 3, 2), (1, 5, 3)], "stream_id long, seq long, arrival long").withColumn("arrival", F.timestamp_seconds("arrival"))
-    got = sorted(tuple(r) for r in ST.run_to_table(ST.gap_ranges(ST.replay(spark, df, F.lit(0), 1), reorder=8)).collect())
+    df = spark.createDataFrame([(1, 0, 0), (1, 1 << 40, 1), (1, (1 << 40) - 3, 2), (1, 5, 3)], "stream_id long, seq long, at long").withColumn("arrival", F.timestamp_seconds("at"))
+    df = df.withColumn("ts", F.timestamp_seconds(F.when(F.col("seq") == 5, F.lit(-1000)).otherwise(F.col("at"))))
+    got = sorted(tuple(r) for r in ST.live_gaps(ST.replay(spark, df.drop("at"), F.lit(0), 1), "1 minute").collect())
     assert got == [(1, 1, (1 << 40) - 1, "lost"), (1, 5, 5, "late"), (1, (1 << 40) - 3, (1 << 40) - 3, "restored")]
