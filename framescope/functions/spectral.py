@@ -39,7 +39,10 @@ def flux_features(df: DataFrame, cur: str, prev: str, prev2: str, bands: list[tu
             if b.num_rows == 0:
                 continue
             cols = [b.column(b.schema.get_field_index(c)) for c in (cur, prev, prev2)]
-            width = len(cols[0][0])
+            lengths = [n for c in cols for n in pc.unique(pc.list_value_length(c)).to_pylist() if n]
+            if len(set(lengths)) > 1:
+                raise ValueError(f"frames of different lengths: {sorted(set(lengths))}")
+            width = max(lengths, default=1)
             shape = np.hanning(width)
             (x, _), (p, has1), (q, has2) = (matrix(c, width) for c in cols)
             sx, sp, sq = (np.fft.rfft(m * shape, axis=1) for m in (x, p, q))
@@ -58,6 +61,56 @@ def flux_features(df: DataFrame, cur: str, prev: str, prev2: str, bands: list[tu
     return df.mapInArrow(body, schema)
 
 
+def _rows_of(column: pa.Array, size: int, last: bool) -> np.ndarray:
+    """The first (or last) `size` samples of every list."""
+    ends = column.offsets.to_numpy()
+    at = ends[1:] - size if last else ends[:-1]
+    return column.values.to_numpy(zero_copy_only=False)[at[:, None] + np.arange(size)]
+
+
+def _measured(df: DataFrame, inputs: tuple[str, str], names: tuple[str, ...], kernel) -> DataFrame:
+    """Replaces two columns of sample lists by the numbers that `kernel` makes of them."""
+    keep = [f for f in df.schema.fields if f.name not in inputs]
+    schema = T.StructType([*keep, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def body(batches):
+        for b in batches:
+            if b.num_rows:
+                values = kernel(*[b.column(c) for c in inputs])
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *[pa.array(v, from_pandas=True) for v in values]], schema.names)
+
+    return df.mapInArrow(body, schema)
+
+
+def distances(df: DataFrame, ref: str, dec: str, size: int, weights: list[float]) -> DataFrame:
+    """`lsd` and `pse` of every pair of windows: distance of the log spectra, plain and weighted by bin and by masking."""
+    shape, base = np.hanning(size), np.array(weights)
+
+    def kernel(x, y):
+        ms, md = (np.abs(np.fft.rfft(_rows_of(c, size, True) * shape, axis=1)) for c in (x, y))
+        gap = np.log10(ms ** 2 + 1e-12) - np.log10(md ** 2 + 1e-12)
+        w = base / np.sqrt(np.maximum(ms, 1e-6))
+        w /= w.mean(axis=1, keepdims=True)
+        return 10 * np.sqrt((gap ** 2).mean(axis=1)), np.sqrt(((gap * w) ** 2).mean(axis=1))
+
+    return _measured(df, (ref, dec), ("lsd", "pse"), kernel)
+
+
+def flux_changes(df: DataFrame, ref: str, dec: str, size: int) -> DataFrame:
+    """`flux_err` and `ref_flux` of windows that hold the samples of the one before them too; for one that does not, null and 0."""
+    shape = np.hanning(size)
+
+    def kernel(x, y):
+        has = np.diff(x.offsets.to_numpy()) > size
+        rises = []
+        for c in (x, y):
+            now, before = (np.abs(np.fft.rfft(_rows_of(c, size, last) * shape, axis=1)) for last in (True, False))
+            rises.append(np.maximum(now - before, 0.0))
+        return np.where(has, ((rises[0] - rises[1]) ** 2).mean(axis=1), np.nan), np.where(has, rises[0].sum(axis=1), 0.0)
+
+    return _measured(df, (ref, dec), ("flux_err", "ref_flux"), kernel)
+
+
 def spectra(df: DataFrame, cols: dict[str, str], window: str = "raised", phase: bool = False, power: bool = False,
             gain: float = 1.0) -> DataFrame:
     """Adds, for `cols` input -> prefix, arrays `<prefix>mag` (or `<prefix>pow`) and `<prefix>phase`.

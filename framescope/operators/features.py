@@ -25,6 +25,27 @@ def overlapped(blocks: DataFrame, col: str, block: int, window: int, out: str, k
     return f.where(F.size(out) == window)
 
 
+def windows(blocks: DataFrame, cols: dict[str, str], block: int, size: int, hop: int, lead: int = 0, keys=KEYS) -> DataFrame:
+    """A signal in blocks of `block` samples, cut anew: keys, window, and for `cols` input -> output the samples of every window, any
+    `size` and `hop`.  Window j starts at sample j*hop; the last one ends before the last sample.  With `lead` a window also has that many samples
+    before its start, except where the signal begins there."""
+    keys = list(keys)
+    back, ahead = -(-lead // block), -(-size // block)
+
+    def run(c):
+        return lambda w: F.flatten(F.collect_list(c).over(w.rowsBetween(-back, ahead)))
+
+    f = layout.windowed(blocks.select(*keys, "frame_index", *cols), {f"_run{i}": run(c) for i, c in enumerate(cols)}, back, ahead, keys)
+    i = F.col("frame_index")
+    first = (i - F.least(i, F.lit(back))) * block
+    lo, hi = F.ceil(i * block / S.d(hop)), F.ceil((i + 1) * block / S.d(hop)) - 1
+    f = f.select(*keys, first.alias("_first"), *[f"_run{n}" for n in range(len(cols))], F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("window"))
+    f = f.withColumn("_at", F.col("window") * hop - F.col("_first")).where(F.size("_run0") > F.col("_at") + size)
+    extra = F.least(F.lit(lead), F.col("_at"))
+    cut = [F.slice(f"_run{n}", (F.col("_at") - extra + 1).cast("int"), (extra + size).cast("int")).alias(out) for n, out in enumerate(cols.values())]
+    return f.select(*keys, "window", *cut)
+
+
 def realigned(frames: DataFrame, col: str, lag: int, block: int, out: str, keys=KEYS) -> DataFrame:
     """Frames of a signal that is `lag` samples late: sample i of the result is sample i+lag."""
     whole, part = divmod(lag, block)

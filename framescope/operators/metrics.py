@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from framescope.functions import arrays as A
 from framescope.functions import scalar as S
 from framescope.functions import spectral
-from framescope.operators import layout, smoothing
+from framescope.operators import features, layout, smoothing
 from framescope.operators.quantiles import quantiles
 
 SONG = ("stream_id", "candidate")
@@ -48,53 +49,75 @@ def perceptual_weights(bins: int, rate: float = 48000.0) -> list[float]:
     return (w / w.max()).tolist()
 
 
-# ------------------------------------------------------------------ per frame
-def frame_measures(frames: DataFrame, bins: int, ref: str = "pcm", dec: str = "dec", rate: float = 48000.0) -> DataFrame:
-    """All per-frame pieces in one pass: one shuffle of samples, one spectrum kernel.
-    Stereo frames hold the left channel in the first half and the right in the second."""
-    f = layout.windowed(frames, {"_pr": lambda w: F.lag(ref).over(w), "_pd": lambda w: F.lag(dec).over(w)}, before=1, keys=SONG)
-    f = spectral.spectra(f, {ref: "_r", dec: "_d", "_pr": "_q", "_pd": "_e"})
-    first = F.col("_pr").isNull()
-
-    def log_db(m, k):
-        return F.transform(m, lambda x: S.d(k) * F.log10(x * x + S.d(1e-12)))
-
-    lsd = F.sqrt(A.mean_sq_diff(log_db("_rmag", 10.0), log_db("_dmag", 10.0)))
-    weights = F.zip_with("_rmag", A.lits(perceptual_weights(bins, rate)), lambda m, w: w / F.sqrt(F.greatest(m, S.d(1e-6))))
-    f = f.withColumn("_w", weights).withColumn("_wm", A.mean("_w"))
-    diff = F.zip_with(log_db("_rmag", 1.0), log_db("_dmag", 1.0), lambda x, y: x - y)
-    weighted = F.zip_with(diff, "_w", lambda x, w: x * w / F.col("_wm"))
-    pse = F.sqrt(A.energy(weighted) / S.d(bins))
-    flux = A.mean_sq_diff(A.positive_diff("_rmag", "_qmag"), A.positive_diff("_dmag", "_emag"))
-    return f.select(
+# ------------------------------------------------------------------ per frame and per window
+@dataclass(frozen=True)
+class Cuts:
+    """Samples a frame and channel, and size and hop of the windows for spectra and for flux.  Attack frames are those of the flux, whose
+    hop is a frame's length."""
+
+    frame: int = 960
+    spectrum: tuple[int, int] = (2048, 1024)
+    flux: tuple[int, int] = (2048, 960)
+    rate: float = 48000.0
+
+
+def channel(col: str, right: bool):
+    """Stereo frames hold the left channel in the first half and the right in the second."""
+    half = F.floor(F.size(col) / S.d(2)).cast("int")
+    return F.slice(F.col(col), half + 1 if right else F.lit(1), half)
+
+
+def downmixed(frames: DataFrame, ref: str = "pcm", dec: str = "dec") -> DataFrame:
+    mono = [F.zip_with(channel(c, False), channel(c, True), lambda x, y: S.d(0.5) * (x + y)).alias(out) for c, out in ((ref, "_ref"), (dec, "_dec"))]
+    return frames.select(*SONG, "frame_index", *mono)
+
+
+def frame_measures(frames: DataFrame, ref: str = "pcm", dec: str = "dec") -> DataFrame:
+    """mse, power, envelopes of the downmix and stereo image of every frame, without a shuffle."""
+    mono = {c: F.zip_with(channel(c, False), channel(c, True), lambda x, y: S.d(0.5) * (x + y)) for c in (ref, dec)}
+    return frames.select(
         *SONG, "frame_index", A.mean_sq_diff(ref, dec).alias("mse"), (A.energy(ref) / F.size(ref)).alias("power"),
-        A.rms(ref).alias("env_ref"), A.rms(dec).alias("env_dec"), lsd.alias("lsd"), pse.alias("pse"),
-        F.abs(F.log1p(side_ratio(ref)) - F.log1p(side_ratio(dec))).alias("image"),
-        F.when(~first, flux).alias("flux_err"),
-        F.when(first, S.d(0)).otherwise(A.total(A.positive_diff("_rmag", "_qmag"))).alias("ref_flux"))
+        A.rms(mono[ref]).alias("env_ref"), A.rms(mono[dec]).alias("env_dec"),
+        F.abs(F.log1p(side_ratio(ref)) - F.log1p(side_ratio(dec))).alias("image"))
+
+
+def spectral_measures(frames: DataFrame, cuts: Cuts = Cuts(), ref: str = "pcm", dec: str = "dec") -> DataFrame:
+    """lsd and pse of every window of the downmix; spectra never leave the kernel."""
+    size, hop = cuts.spectrum
+    w = features.windows(downmixed(frames, ref, dec), {"_ref": "_r", "_dec": "_d"}, cuts.frame, size, hop, 0, SONG)
+    return spectral.distances(w, "_r", "_d", size, perceptual_weights(size // 2 + 1, cuts.rate))
+
+
+def flux_measures(frames: DataFrame, cuts: Cuts = Cuts(), ref: str = "pcm", dec: str = "dec") -> DataFrame:
+    """flux_err and ref_flux of every window of the downmix."""
+    size, hop = cuts.flux
+    w = features.windows(downmixed(frames, ref, dec), {"_ref": "_r", "_dec": "_d"}, cuts.frame, size, hop, hop, SONG)
+    return spectral.flux_changes(w, "_r", "_d", size)
 
 
 def side_ratio(col: str):
     half = F.floor(F.size(col) / S.d(2)).cast("int")
-    left, right = F.slice(F.col(col), F.lit(1), half), F.slice(F.col(col), half + 1, half)
+    left, right = channel(col, False), channel(col, True)
     mid = A.energy(F.zip_with(left, right, lambda x, y: S.d(0.5) * (x + y))) / half
     side = A.energy(F.zip_with(left, right, lambda x, y: S.d(0.5) * (x - y))) / half
     return side / F.greatest(mid, S.d(1e-12))
 
 
-def item_metrics(measures: DataFrame) -> DataFrame:
-    return measures.groupBy(*SONG).agg(
+def item_metrics(measures: DataFrame, spectra: DataFrame, flux: DataFrame) -> DataFrame:
+    whole = measures.groupBy(*SONG).agg(
         (S.d(10) * F.log10(F.avg("power") / F.greatest(F.avg("mse"), S.d(1e-20)))).alias("snr"),
-        F.corr("env_ref", "env_dec").alias("env_corr"), F.avg("lsd").alias("lsd"), F.avg("pse").alias("perceptual_spectral"),
-        F.avg("image").alias("stereo_image_error"), F.avg("flux_err").alias("flux_mse"))
-
-
-def against_baseline(measures: DataFrame, baseline: str, quantile: float = 0.95) -> DataFrame:
-    """Mean error differences over all, attack and calm frames, and counts of better and worse ones."""
-    base = measures.where(F.col("candidate") == baseline)
-    limit = quantiles(base, "ref_flux", {"_limit": quantile})
-    base = layout.attach(base, limit).select("stream_id", "frame_index", F.col("mse").alias("_base"),
-                                             (F.col("ref_flux") >= F.col("_limit")).alias("attack"))
+        F.corr("env_ref", "env_dec").alias("env_corr"), F.avg("image").alias("stereo_image_error"))
+    by_window = spectra.groupBy(*SONG).agg(F.avg("lsd").alias("lsd"), F.avg("pse").alias("perceptual_spectral"))
+    return whole.join(by_window, list(SONG), "left").join(flux.groupBy(*SONG).agg(F.avg("flux_err").alias("flux_mse")), list(SONG), "left")
+
+
+def against_baseline(measures: DataFrame, flux: DataFrame, baseline: str, quantile: float = 0.95) -> DataFrame:
+    """Mean error differences over all, attack and calm frames, and counts of better and worse ones.  Frames that start no flux window are
+    not compared."""
+    rises = flux.where(F.col("candidate") == baseline).select("stream_id", F.col("window").alias("frame_index"), "ref_flux")
+    attack = layout.attach(rises, quantiles(rises, "ref_flux", {"_limit": quantile}))
+    attack = attack.select("stream_id", "frame_index", (F.col("ref_flux") >= F.col("_limit")).alias("attack"))
+    base = measures.where(F.col("candidate") == baseline).select("stream_id", "frame_index", F.col("mse").alias("_base")).join(attack, ["stream_id", "frame_index"])
     d = F.col("mse") - F.col("_base")
     return measures.join(base, ["stream_id", "frame_index"]).groupBy(*SONG).agg(
         F.avg(d).alias("overall_mean_delta"), F.avg(F.when(F.col("attack"), d)).alias("attack_mean_delta"),
@@ -110,12 +133,12 @@ def weighted_score(weights: dict[str, float]):
     return out
 
 
-def song_metrics(frames: DataFrame, baseline: str, bins: int, weights=SCORE_SPECTRAL) -> DataFrame:
+def song_metrics(frames: DataFrame, baseline: str, cuts: Cuts = Cuts(), weights=SCORE_SPECTRAL) -> DataFrame:
     """One row per song and candidate: measures, differences from the baseline candidate, score."""
-    m = layout.cut_lineage(frame_measures(frames, bins))
-    items = item_metrics(m)
+    m, flux = layout.cut_lineage(frame_measures(frames)), layout.cut_lineage(flux_measures(frames, cuts))
+    items = layout.cut_lineage(item_metrics(m, spectral_measures(frames, cuts), flux))
     base = items.where(F.col("candidate") == baseline).select("stream_id", *[F.col(k).alias(f"_{k}") for k in DELTAS])
-    out = items.join(base, "stream_id").join(against_baseline(m, baseline), list(SONG))
+    out = items.join(base, "stream_id").join(against_baseline(m, flux, baseline), list(SONG))
     for k, name in DELTAS.items():
         out = out.withColumn(name, F.col(k) - F.col(f"_{k}")).drop(f"_{k}")
     return out.withColumn("score", weighted_score(weights))

@@ -17,19 +17,34 @@ SONG = ["stream_id", "candidate"]
 BANDS = A.ranges(EDGES)
 BASE = "q16"
 
-DD = "dd AS MATERIALIZED (SELECT * FROM ddft)"
+#: A frame has 32 samples a channel; spectra in windows of 2:1, flux in windows of about 2048:960.
+CUTS = metrics.Cuts(32, (64, 32), (68, 32))
+
+
+def _windows(name: str, size: int, hop: int) -> str:
+    """Spectra of all windows of the downmix that end before its last sample."""
+    return f"""{name} AS MATERIALIZED (SELECT stream_id, candidate, j, k, sqrt(pow(sum(x*w*c),2)+pow(sum(x*w*s),2)) AS m, sqrt(pow(sum(y*w*c),2)+pow(sum(y*w*s),2)) AS dm
+ FROM (SELECT mono.*, j, k, 0.5e0-0.5e0*cos(2*pi()*i/{size - 1}) AS w, cos(2*pi()*k*i/{size}) AS c, sin(2*pi()*k*i/{size}) AS s
+  FROM (SELECT stream_id, j, i, j*{hop}+i AS t FROM (SELECT stream_id, unnest(range(0, (total-{size}-1)//{hop}+1)) AS j FROM len WHERE total>{size}), range(0,{size}) u(i)) JOIN mono USING (stream_id, t), range(0,{size // 2 + 1}) v(k)) GROUP BY ALL)"""
+
+
+DD = ("mono AS MATERIALIZED (SELECT a.stream_id, a.candidate, a.frame_index*32+a.n AS t, 0.5e0*(a.x+b.x) AS x, 0.5e0*(a.y+b.y) AS y FROM dsmp a JOIN dsmp b ON a.stream_id=b.stream_id AND a.candidate=b.candidate AND a.frame_index=b.frame_index AND b.n=a.n+32),\n"
+      "len AS (SELECT stream_id, max(t)+1 AS total FROM mono GROUP BY 1),\n" + _windows("ws", 64, 32) + ",\n" + _windows("wf", 68, 32))
 FM = f"""pw AS (SELECT k, w/max(w) OVER () AS w FROM (SELECT k, pow(10e0, (20*log10(greatest(12194e0*12194e0*f2*f2/greatest((f2+20.6e0*20.6e0)*sqrt((f2+107.7e0*107.7e0)*(f2+737.9e0*737.9e0))*(f2+12194e0*12194e0),1e-20),1e-20))+2)/20)*(1+0.45e0*exp(-0.5e0*pow((750e0*k-3200)/1400,2))) AS w
  FROM (SELECT k, pow(greatest(750e0*k,1),2) AS f2 FROM range(0,33) t(k)))),
-sp AS (SELECT dd.*, w/sqrt(greatest(m,1e-6)) AS wt, lag(m) OVER o AS pm, lag(dm) OVER o AS pdm FROM dd JOIN pw USING (k) WINDOW o AS (PARTITION BY stream_id, candidate, k ORDER BY frame_index)),
-sp2 AS (SELECT *, avg(wt) OVER (PARTITION BY stream_id, candidate, frame_index) AS mw FROM sp),
-spm AS (SELECT stream_id, candidate, frame_index, sqrt(avg(pow(10*log10(m*m+1e-12)-10*log10(dm*dm+1e-12),2))) AS lsd, sqrt(avg(pow((log10(m*m+1e-12)-log10(dm*dm+1e-12))*wt/mw,2))) AS pse,
- avg(CASE WHEN pm IS NOT NULL THEN pow(greatest(m-pm,0)-greatest(dm-pdm,0),2) END) AS flux_err, coalesce(sum(greatest(m-pm,0)) FILTER (WHERE pm IS NOT NULL),0) AS ref_flux FROM sp2 GROUP BY ALL),
-tdm AS (SELECT stream_id, candidate, frame_index, avg(pow(x-y,2)) AS mse, avg(x*x) AS power, sqrt(avg(x*x)) AS env_ref, sqrt(avg(y*y)) AS env_dec FROM dsmp GROUP BY ALL),
+sp AS (SELECT *, wt/avg(wt) OVER (PARTITION BY stream_id, candidate, j) AS rel FROM (SELECT ws.*, w/sqrt(greatest(m,1e-6)) AS wt FROM ws JOIN pw USING (k))),
+spm AS MATERIALIZED (SELECT stream_id, candidate, j AS "window", sqrt(avg(pow(10*log10(m*m+1e-12)-10*log10(dm*dm+1e-12),2))) AS lsd, sqrt(avg(pow((log10(m*m+1e-12)-log10(dm*dm+1e-12))*rel,2))) AS pse FROM sp GROUP BY ALL),
+flm AS MATERIALIZED (SELECT stream_id, candidate, j AS "window", avg(CASE WHEN pm IS NOT NULL THEN pow(greatest(m-pm,0)-greatest(dm-pdm,0),2) END) AS flux_err, coalesce(sum(greatest(m-pm,0)) FILTER (WHERE pm IS NOT NULL),0) AS ref_flux
+ FROM (SELECT *, lag(m) OVER o AS pm, lag(dm) OVER o AS pdm FROM wf WINDOW o AS (PARTITION BY stream_id, candidate, k ORDER BY j)) GROUP BY ALL),
+tdm AS (SELECT stream_id, candidate, frame_index, avg(pow(x-y,2)) AS mse, avg(x*x) AS power FROM dsmp GROUP BY ALL),
+evm AS (SELECT stream_id, candidate, t//32 AS frame_index, sqrt(avg(x*x)) AS env_ref, sqrt(avg(y*y)) AS env_dec FROM mono GROUP BY ALL),
 img AS (SELECT stream_id, candidate, frame_index, abs(ln(1+sum(pow(0.5e0*(l-r),2))/32/greatest(sum(pow(0.5e0*(l+r),2))/32,1e-12)) - ln(1+sum(pow(0.5e0*(dl-dr),2))/32/greatest(sum(pow(0.5e0*(dl+dr),2))/32,1e-12))) AS image
  FROM (SELECT a.stream_id, a.candidate, a.frame_index, a.x AS l, b.x AS r, a.y AS dl, b.y AS dr FROM dsmp a JOIN dsmp b ON a.stream_id=b.stream_id AND a.candidate=b.candidate AND a.frame_index=b.frame_index AND b.n=a.n+32) GROUP BY ALL),
-fm AS MATERIALIZED (SELECT * FROM spm JOIN tdm USING (stream_id, candidate, frame_index) JOIN img USING (stream_id, candidate, frame_index))"""
-IM = """im AS (SELECT stream_id, candidate, 10*log10(avg(power)/greatest(avg(mse),1e-20)) AS snr, corr(env_ref, env_dec) AS env_corr, avg(lsd) AS lsd, avg(pse) AS perceptual_spectral, avg(image) AS stereo_image_error, avg(flux_err) AS flux_mse FROM fm GROUP BY ALL)"""
-AB = f"""bs AS (SELECT stream_id, frame_index, mse AS base, ref_flux >= quantile_cont(ref_flux,0.95) OVER (PARTITION BY stream_id) AS attack FROM fm WHERE candidate='{BASE}'),
+fm AS MATERIALIZED (SELECT * FROM tdm JOIN evm USING (stream_id, candidate, frame_index) JOIN img USING (stream_id, candidate, frame_index))"""
+IM = """im AS (SELECT * FROM (SELECT stream_id, candidate, 10*log10(avg(power)/greatest(avg(mse),1e-20)) AS snr, corr(env_ref, env_dec) AS env_corr, avg(image) AS stereo_image_error FROM fm GROUP BY ALL)
+ LEFT JOIN (SELECT stream_id, candidate, avg(lsd) AS lsd, avg(pse) AS perceptual_spectral FROM spm GROUP BY ALL) USING (stream_id, candidate) LEFT JOIN (SELECT stream_id, candidate, avg(flux_err) AS flux_mse FROM flm GROUP BY ALL) USING (stream_id, candidate))"""
+AB = f"""atk AS (SELECT stream_id, "window" AS frame_index, ref_flux >= quantile_cont(ref_flux,0.95) OVER (PARTITION BY stream_id) AS attack FROM flm WHERE candidate='{BASE}'),
+bs AS (SELECT stream_id, frame_index, mse AS base, attack FROM fm JOIN atk USING (stream_id, frame_index) WHERE candidate='{BASE}'),
 ab AS (SELECT stream_id, candidate, avg(mse-base) AS overall_mean_delta, avg(mse-base) FILTER (WHERE attack) AS attack_mean_delta, coalesce(avg(mse-base) FILTER (WHERE NOT attack),0) AS calm_mean_delta,
  count(*) FILTER (WHERE mse<base) AS frames_better_than_baseline, count(*) FILTER (WHERE base<mse) AS frames_worse_than_baseline FROM fm JOIN bs USING (stream_id, frame_index) GROUP BY ALL)"""
 SM = f"""sm0 AS (SELECT im.*, ab.* EXCLUDE (stream_id, candidate), im.snr-b.snr AS snr_delta, im.lsd-b.lsd AS lsd_delta, im.perceptual_spectral-b.perceptual_spectral AS perceptual_spectral_delta,
@@ -44,33 +59,36 @@ ALL = (DD, FM, IM, AB, SM, KB, ST)
 
 
 def measures(spark, sf):
-    return metrics.frame_measures(V.decoded_frames(spark, sf), 33)
+    """The tables by frame, by spectral window and by flux window."""
+    f = V.decoded_frames(spark, sf)
+    return metrics.frame_measures(f), metrics.spectral_measures(f, CUTS), metrics.flux_measures(f, CUTS)
 
 
-for _id, _col in (("a06_frame_mse", "mse"), ("a09_log_spectral_distance_frames", "lsd"), ("a10_perceptual_error_frames", "pse"),
-                  ("a11_stereo_image_frames", "image"), ("a12_flux_error_frames", "flux_err")):
-    @query(_id, with_views("dsmp ddft", f"SELECT stream_id, candidate, frame_index, {s6(_col, _col)} FROM fm", DD, FM))
-    def _frame_query(spark, sf, col=_col):
-        return measures(spark, sf).select(*SONG, "frame_index", r6(col, col))
+for _id, _col, _table, _at in (("a06_frame_mse", "mse", "fm", "frame_index"), ("a09_log_spectral_distance_frames", "lsd", "spm", "window"), ("a10_perceptual_error_frames", "pse", "spm", "window"),
+                               ("a11_stereo_image_frames", "image", "fm", "frame_index"), ("a12_flux_error_frames", "flux_err", "flm", "window")):
+    @query(_id, with_views("dsmp", f'SELECT stream_id, candidate, "{_at}", {s6(_col, _col)} FROM {_table}', DD, FM))
+    def _frame_query(spark, sf, col=_col, table=("fm", "spm", "flm").index(_table), at=_at):
+        return measures(spark, sf)[table].select(*SONG, at, r6(col, col))
 
 for _id, _cols in (("a07_snr", ["snr"]), ("a08_envelope_correlation", ["env_corr"]), ("a09_log_spectral_distance", ["lsd"]),
                    ("a10_perceptual_spectral_error", ["perceptual_spectral"]), ("a11_stereo_image_error", ["stereo_image_error"]),
                    ("a12_transient_flux_mse", ["flux_mse"])):
-    @query(_id, with_views("dsmp ddft", "SELECT stream_id, candidate, " + ", ".join(s6(c, c) for c in _cols) + " FROM im", DD, FM, IM))
+    @query(_id, with_views("dsmp", "SELECT stream_id, candidate, " + ", ".join(s6(c, c) for c in _cols) + " FROM im", DD, FM, IM))
     def _item_query(spark, sf, cols=tuple(_cols)):
-        return metrics.item_metrics(measures(spark, sf)).select(*SONG, *[r6(c, c) for c in cols])
+        return metrics.item_metrics(*measures(spark, sf)).select(*SONG, *[r6(c, c) for c in cols])
 
 _A13 = ["overall_mean_delta", "attack_mean_delta", "calm_mean_delta"]
 
 
 @query("a13_masked_deltas", with_views("dsmp ddft", "SELECT stream_id, candidate, frames_better_than_baseline, frames_worse_than_baseline, " + ", ".join(s6(c, c) for c in _A13) + " FROM ab", DD, FM, AB))
 def a13(spark, sf):
-    out = metrics.against_baseline(layout.cut_lineage(measures(spark, sf)), BASE)
+    frames, _, flux = measures(spark, sf)
+    out = metrics.against_baseline(frames, layout.cut_lineage(flux), BASE)
     return out.select(*SONG, *ranking.COUNTS, *[r6(c, c) for c in _A13])
 
 
 def songs(spark, sf):
-    m = metrics.song_metrics(V.decoded_frames(spark, sf), BASE, 33)
+    m = metrics.song_metrics(V.decoded_frames(spark, sf), BASE, CUTS)
     q = F.create_map(*[F.lit(x) for kv in V.CANDIDATES.items() for x in kv])
     grid = ranking.work_grid(V.pcm_frames(spark, sf).select(*ID), list(V.CANDIDATES))
     kb = grid.groupBy(*SONG).agg((F.avg(F.col("frame_index") * 7 % 100 + q[F.col("candidate")]) * S.d(8 * 48000) / S.d(960) / S.d(1000)).alias("avg_kbps"))
@@ -79,7 +97,7 @@ def songs(spark, sf):
 
 @query("a14_rank_score", with_views("dsmp ddft", f"SELECT stream_id, candidate, {s6('score', 'score')}, {s6('simple_score', 'simple_score')} FROM sg", DD, FM, IM, AB, SM))
 def a14(spark, sf):
-    m = metrics.song_metrics(V.decoded_frames(spark, sf), BASE, 33)
+    m = metrics.song_metrics(V.decoded_frames(spark, sf), BASE, CUTS)
     return m.select(*SONG, r6("score", "score"), r6(metrics.weighted_score(metrics.SCORE_SIMPLE), "simple_score"))
 
 
@@ -115,7 +133,7 @@ def s18(spark, sf):
         # the baseline's frames are needed for every song that has work left
         todo = work.select("stream_id", "candidate").unionByName(
             work.select("stream_id", F.lit(BASE).alias("candidate"))).distinct()
-        m = metrics.song_metrics(frames.join(todo, SONG, "left_semi"), BASE, 33)
+        m = metrics.song_metrics(frames.join(todo, SONG, "left_semi"), BASE, CUTS)
         return m.join(work, SONG, "left_semi").withColumn("avg_kbps", S.d(0))
 
     gate = ranking.with_stored(spark, path, grid.where(F.col("stream_id").isin(1, 3)), SONG, compute)

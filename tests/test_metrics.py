@@ -31,10 +31,41 @@ def frames(spark, ref, dec, right=None):
     return spark.createDataFrame(rows, schema + (", r_pcm array<double>, r_dec array<double>" if right is not None else ""))
 
 
+def items(f, cuts=M.Cuts(32, (64, 32), (68, 32))):
+    return M.item_metrics(M.frame_measures(f), M.spectral_measures(f, cuts), M.flux_measures(f, cuts))
+
+
+@pytest.mark.parametrize("cuts", [M.Cuts(32, (64, 32), (68, 32)), M.Cuts(32, (100, 13), (50, 32)), M.Cuts(960)])
+def test_windows_of_the_downmix(short_segments, cuts):
+    """Against loops over whole signals, for windows of odd sizes and at the full 2048:1024 and 2048:960."""
+    rng = np.random.default_rng(5)
+    count, half = 21, cuts.frame
+    ref = rng.normal(0, 0.2, (2, count * half))
+    dec = ref + rng.normal(0, 0.02, ref.shape)
+    rows = [(1, "c", i, np.concatenate(ref[:, i * half:(i + 1) * half]).tolist(), np.concatenate(dec[:, i * half:(i + 1) * half]).tolist()) for i in range(count)]
+    got = items(short_segments.createDataFrame(rows, "stream_id long, candidate string, frame_index long, pcm array<double>, dec array<double>"), cuts).first()
+    x, y = ref.mean(axis=0), dec.mean(axis=0)
+
+    def spectra(size, hop):
+        starts = range(0, len(x) - size, hop)
+        return [np.array([np.abs(np.fft.rfft(v[s:s + size] * np.hanning(size))) for s in starts]) for v in (x, y)]
+
+    a, b = spectra(*cuts.spectrum)
+    gap = np.log10(a ** 2 + 1e-12) - np.log10(b ** 2 + 1e-12)
+    w = np.array(M.perceptual_weights(cuts.spectrum[0] // 2 + 1)) / np.sqrt(np.maximum(a, 1e-6))
+    w /= w.mean(axis=1, keepdims=True)
+    assert got["lsd"] == pytest.approx(np.sqrt(((10 * gap) ** 2).mean(axis=1)).mean(), rel=1e-9)
+    assert got["perceptual_spectral"] == pytest.approx(np.sqrt(((gap * w) ** 2).mean(axis=1)).mean(), rel=1e-9)
+    a, b = (np.maximum(m[1:] - m[:-1], 0) for m in spectra(*cuts.flux))
+    assert got["flux_mse"] == pytest.approx(((a - b) ** 2).mean(axis=1).mean(), rel=1e-9)
+    env = [np.sqrt((v.reshape(count, half) ** 2).mean(axis=1)) for v in (x, y)]
+    assert got["env_corr"] == pytest.approx(np.corrcoef(*env)[0, 1], rel=1e-9)
+
+
 def test_identical_signals(short_segments, signals):
     ref, _ = signals
     f = frames(short_segments, ref, ref)
-    row = M.item_metrics(M.frame_measures(f, 33)).first()
+    row = items(f).first()
     assert row["snr"] >= 100 and row["lsd"] < 1e-9 and row["perceptual_spectral"] < 1e-9 and row["stereo_image_error"] < 1e-9
     q = M.quality_index(f, [("pcm", "dec")], BANDS).first()
     assert q["quality"] == pytest.approx(100) and q["passed"]
@@ -44,8 +75,8 @@ def test_identical_signals(short_segments, signals):
 
 def test_spectral_distance_is_symmetric(short_segments, signals):
     ref, dec = signals
-    a = M.item_metrics(M.frame_measures(frames(short_segments, ref, dec), 33)).orderBy("stream_id").toPandas()
-    b = M.item_metrics(M.frame_measures(frames(short_segments, dec, ref), 33)).orderBy("stream_id").toPandas()
+    a = items(frames(short_segments, ref, dec)).orderBy("stream_id").toPandas()
+    b = items(frames(short_segments, dec, ref)).orderBy("stream_id").toPandas()
     np.testing.assert_allclose(a["lsd"], b["lsd"], rtol=1e-12)
 
 
