@@ -5,13 +5,14 @@ Every reader returns a lazy DataFrame; schemas are fixed, never inferred.
 
 from __future__ import annotations
 
+import re
 import struct
 from functools import reduce
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ TELEMETRY_DOUBLES = ["analysis_tonality", "analysis_activity", "analysis_activit
 TELEMETRY_STRINGS = ["selected_bandwidth", "signal"]
 BANDWIDTH_NAMES = ["NB", "MB", "WB", "SWB", "FB"]
 MAX_PACKET = 1500
+RANGE_BYTES = 8 << 20  # of a file that one task reads at a time
+MOST_TASKS = 20_000
 FEATURE_LAYOUTS = {
     2: {"width": 36, "cepstrum": (0, 18), "periods": (18, 19), "pitch_corr": (19, 20), "lpc": (20, 36)},
     1: {"width": 55, "cepstrum": (0, 18), "periods": (36, 37), "pitch_corr": (37, 38), "lpc": (39, 55)},
@@ -36,10 +39,67 @@ def stem(path) -> Column:
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """path, length, content; what is not selected is not read."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    return r.load(path).select("path", "content")
+    return r.load(path).select("path", "length", "content")
+
+
+# ---------------------------------------------------------------- files in pieces
+def _location(uri: str):
+    """(file system, path in it) of a file that Spark has listed."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri)
+
+
+def _opens(files: DataFrame) -> bool:
+    """Whether tasks can open these files themselves.  Schemes that only Spark knows are read through it, a file at a time."""
+    first = files.select("path").first()
+    try:
+        return first is None or _location(first[0]) is not None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def _spans(files: DataFrame, unit: int) -> DataFrame:
+    """path, size, start, stop: byte ranges of about RANGE_BYTES, a whole number of `unit` each, dealt over the tasks.  `files` has path, first and
+    size (where its data begin and how many bytes they are); start and stop count from first."""
+    step = max(1, RANGE_BYTES // unit) * unit
+    starts = F.explode(F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))))
+    spans = files.select("path", "first", "size", starts.alias("start"))
+    return _dealt(spans.withColumn("stop", F.least("size", F.col("start") + step)))
+
+
+def _dealt(spans: DataFrame, ranges: int | None = None) -> DataFrame:
+    """As many tasks as there are ranges, up to MOST_TASKS; without a number the small rows would be put back into one."""
+    return spans.repartition(min(max(spans.count() if ranges is None else ranges, 1), MOST_TASKS), "path", "start")
+
+
+def _pieces(files: DataFrame, spans: DataFrame, more: int = 0) -> DataFrame:
+    """`spans` with raw: their bytes and up to `more` after them (not beyond the data)."""
+    length = F.least(F.col("size"), F.col("stop") + more) - F.col("start")
+    if not _opens(files):
+        held = files.select(F.col("path").alias("_path"), "content")
+        cut = F.substring(F.col("content"), (F.col("first") + F.col("start") + 1).cast("int"), length.cast("int"))
+        return spans.join(held, F.col("path") == F.col("_path")).withColumn("raw", cut).drop("_path", "content")
+    asked = spans.withColumn("_length", length)
+    names = spans.columns
+    schema = T.StructType([*spans.schema.fields, T.StructField("raw", T.BinaryType())])
+
+    def body(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                store, where = _location(b.column("path")[i].as_py())
+                with store.open_input_file(where) as f:
+                    raw = f.read_at(b.column("_length")[i].as_py(), b.column("first")[i].as_py() + b.column("start")[i].as_py())
+                yield pa.RecordBatch.from_arrays([*[b.column(n).slice(i, 1) for n in names], pa.array([raw], pa.binary())], [*names, "raw"])
+
+    return asked.mapInArrow(body, schema)
+
+
+def _whole(files: DataFrame) -> DataFrame:
+    return files.select("path", F.lit(0).cast("long").alias("first"), F.col("length").alias("size"))
 
 
 def _decode(raw: bytes, fmt: str) -> np.ndarray:
@@ -54,64 +114,80 @@ def _decode(raw: bytes, fmt: str) -> np.ndarray:
     return np.where(v >= 1 << 23, v - (1 << 24), v) / full
 
 
-_BLOCKS = T.StructType([T.StructField("path", T.StringType()), T.StructField("block_index", T.LongType()),
-                        T.StructField("pcm", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("problem", T.StringType())])
+def _block_rows(pieces: DataFrame, fmt: str, channels: int, block: int) -> DataFrame:
+    """path, block_index, pcm.  A few blocks per batch, so that a piece never becomes one big batch."""
+    unit = SAMPLES[fmt][0] * channels * block
 
-
-def _block_rows(files: DataFrame, decode, channels: int, block: int) -> DataFrame:
-    """`decode(bytes)` -> (samples, None) or (None, problem).  A few blocks per batch, so that a long
-    file never becomes one big batch."""
     def body(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                x, problem = decode(content.as_py())
-                if problem:
-                    yield pa.RecordBatch.from_pylist([{"path": path, "block_index": None, "pcm": None, "problem": problem}], schema=arrow)
-                    continue
+            for path, start, raw in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), b.column("raw"), strict=True):
+                x = _decode(raw.as_py(), fmt)
                 x = x[: len(x) // channels * channels].reshape(-1, channels)
-                rows = []
-                for i in range(0, len(x), block):
-                    rows.append({"path": path, "block_index": i // block, "pcm": x[i:i + block].T.tolist(), "problem": None})
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows = []
-                if rows:
+                for i in range(0, len(x), 256 * block):
+                    rows = [{"path": path, "block_index": start // unit + j // block, "pcm": x[j:j + block].T.tolist()} for j in range(i, min(len(x), i + 256 * block), block)]
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("path", pa.string()), ("block_index", pa.int64()), ("pcm", pa.list_(pa.list_(pa.float64()))), ("problem", pa.string())])
-    return files.mapInArrow(body, _BLOCKS)
+    arrow = pa.schema([("path", pa.string()), ("block_index", pa.int64()), ("pcm", pa.list_(pa.list_(pa.float64())))])
+    return pieces.select("path", "start", "raw").mapInArrow(body, "path string, block_index long, pcm array<array<double>>")
 
 
 def read_pcm(spark: SparkSession, path: str, fmt: str = "s16", channels: int = 2, block: int = 960) -> DataFrame:
-    """Raw interleaved samples scaled to [-1, 1): stream_id, block_index, pcm[channel][sample]."""
-    rows = _block_rows(_files(spark, path), lambda raw: (_decode(raw, fmt), None), channels, block)
+    """Raw interleaved samples scaled to [-1, 1): stream_id, block_index, pcm[channel][sample].  A long file is read by many tasks."""
+    files = _files(spark, path)
+    spans = _spans(_whole(files), SAMPLES[fmt][0] * channels * block)
+    rows = _block_rows(_pieces(files, spans), fmt, channels, block)
     return rows.select(stem(F.col("path")).alias("stream_id"), "block_index", "pcm")
 
 
-def parse_wav(raw: bytes, channels: int, rate: int, bits: int):
-    """Samples, or what is wrong with the file."""
-    if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+def wav_data(size: int, read, channels: int, rate: int, bits: int):
+    """((begin, bytes) of the samples, None) or (None, what is wrong with the file).  `read(at, n)` gives bytes of the file; only
+    the heads of chunks are read."""
+    head = read(0, 12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None, "not a WAV file"
     pos, form = 12, None
-    while pos + 8 <= len(raw):
-        name, size = raw[pos:pos + 4], struct.unpack("<I", raw[pos + 4:pos + 8])[0]
-        if name == b"fmt " and size >= 16:
-            form = struct.unpack("<HHIIHH", raw[pos + 8:pos + 24])
+    while pos + 8 <= size:
+        name, length = struct.unpack("<4sI", read(pos, 8))
+        if name == b"fmt " and length >= 16:
+            form = struct.unpack("<HHIIHH", read(pos + 8, 16))
         if name == b"data":
             if form is None:
                 return None, "no format chunk"
             if (form[1], form[2], form[5]) != (channels, rate, bits):
                 return None, f"unexpected format: {form[1]} channels, {form[2]} Hz, {form[5]} bit"
-            return _decode(raw[pos + 8:pos + 8 + size], "s16" if bits == 16 else "s24"), None
-        pos += 8 + size + (size & 1)
+            return (pos + 8, min(length, size - pos - 8)), None
+        pos += 8 + length + (length & 1)
     return None, "no data chunk"
 
 
 def read_wav(spark: SparkSession, path: str, channels: int = 2, rate: int = 48000, bits: int = 16, block: int = 960):
-    """(blocks, rejects): files of another format go to the second table."""
-    rows = _block_rows(_files(spark, path, "*.wav"), lambda raw: parse_wav(raw, channels, rate, bits), channels, block)
-    good = rows.where(F.col("problem").isNull()).select(stem(F.col("path")).alias("stream_id"), "block_index", "pcm")
-    return good, rows.where(F.col("problem").isNotNull()).select(stem(F.col("path")).alias("stream_id"), "problem")
+    """(blocks, rejects): files of another format go to the second table.  The samples of a long file are read by many tasks."""
+    files = _files(spark, path, "*.wav")
+    direct = _opens(files)
+
+    def body(batches):
+        for b in batches:
+            rows = []
+            for i, (uri, size) in enumerate(zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)):
+                try:
+                    if direct:
+                        store, where = _location(uri)
+                        with store.open_input_file(where) as f:
+                            found, problem = wav_data(size, lambda at, n, f=f: f.read_at(n, at), channels, rate, bits)
+                    else:
+                        raw = b.column("content")[i].as_py()
+                        found, problem = wav_data(size, lambda at, n, raw=raw: raw[at:at + n], channels, rate, bits)
+                except struct.error:
+                    found, problem = None, "a chunk is cut short"
+                rows.append({"path": uri, "first": found[0] if found else None, "size": found[1] if found else None, "problem": problem})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("first", pa.int64()), ("size", pa.int64()), ("problem", pa.string())]))
+
+    heads = files.select("path", "length", *([] if direct else ["content"])).mapInArrow(body, "path string, first long, size long, problem string")
+    fmt = "s16" if bits == 16 else "s24"
+    spans = _spans(heads.where(F.col("problem").isNull()), SAMPLES[fmt][0] * channels * block)
+    rows = _block_rows(_pieces(files, spans), fmt, channels, block)
+    good = rows.select(stem(F.col("path")).alias("stream_id"), "block_index", "pcm")
+    return good, heads.where(F.col("problem").isNotNull()).select(stem(F.col("path")).alias("stream_id"), "problem")
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -163,43 +239,110 @@ def read_channels_plan(spark: SparkSession, path: str) -> DataFrame:
         "source_name", F.col("i").cast("long").alias("frame_index"), F.col("v").cast("int").alias("channels"))
 
 
-def split_packet_log(raw: bytes, max_packet: int = MAX_PACKET):
-    """(seq, check, payload) per packet; ends at a bad length or a short read."""
-    pos, seq = 0, 0
-    while pos + 8 <= len(raw):
-        size, check = struct.unpack(">iI", raw[pos:pos + 8])
-        if size < 0 or size > max_packet or pos + 8 + size > len(raw):
-            yield seq, None, None
-            return
-        yield seq, check, raw[pos + 8:pos + 8 + size]
-        pos, seq = pos + 8 + size, seq + 1
+def packet_chains(raw: bytes, span: int, left: int, max_packet: int):
+    """(entries, exits, counts) for a piece of a packet log: where a packet may begin within its first bytes, where the chain of packets from there leaves
+    the piece's `span` bytes (or meets a bad length: minus that place, less 1), and how many packets that is.  Places whose own length is bad
+    are left out.  `left`: bytes of the file from the piece's start on."""
+    data = np.frombuffer(raw, np.uint8)
+
+    def following(at):
+        """Where the packet at each place ends; -1 where that is no packet."""
+        at = np.asarray(at)
+        inside = at + 8 <= left
+        safe = np.where(inside, at, 0)
+        size = sum(data[safe + k].astype(np.int64) << (24 - 8 * k) for k in range(4)) if len(data) >= 4 else np.full(len(at), 1 << 40)
+        return np.where(inside & (size <= max_packet) & (at + 8 + size <= left), at + 8 + size, -1)
+
+    first = np.arange(max(0, min(span, 8 + max_packet, left - 7)))
+    now = following(first)
+    entries, now = first[now >= 0], now[now >= 0]
+    counts = np.ones(len(entries), np.int64)
+    open_ = np.flatnonzero((now < span) & (now + 8 <= left))
+    while len(open_):
+        here = now[open_]
+        there = following(here)
+        now[open_] = np.where(there >= 0, there, -here - 1)
+        counts[open_] += there >= 0
+        open_ = open_[(there >= 0) & (there < span) & (there + 8 <= left)]
+    return entries, now, counts
 
 
 def read_packet_log(spark: SparkSession, path: str, max_packet: int = MAX_PACKET) -> DataFrame:
-    """Length-prefixed packets; a file cut short, or with a length above `max_packet`, ends with a row whose payload is null."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("seq", T.LongType()),
-                           T.StructField("check", T.LongType()), T.StructField("payload", T.BinaryType())])
-    arrow = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("check", pa.int64()), ("payload", pa.binary())])
+    """Length-prefixed packets; a file cut short, or with a length above `max_packet`, ends with a row whose payload is null.
 
-    def body(batches):
+    A long log is read by many tasks, though a packet's place follows from all before it: every piece finds the chains of
+    lengths that may lead through it, one small row each; in order of the pieces those rows tell where the true chain enters
+    each; then all pieces are cut."""
+    files = _files(spark, path)
+    more = 8 + max_packet
+    spans = _spans(_whole(files), 1)
+    pieces = _pieces(files, spans, more)
+
+    def chains(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                start, stop, size = (b.column(c)[i].as_py() for c in ("start", "stop", "size"))
+                found = packet_chains(b.column("raw")[i].as_py(), stop - start, size - start, max_packet)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("path", "size", "start", "stop")], *[pa.array([x], pa.list_(pa.int64())) for x in found]],
+                                                 ["path", "size", "start", "stop", "entries", "exits", "counts"])
+
+    def entered(batches):
+        current = at = seq = None
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = []
-                for seq, check, payload in split_packet_log(content.as_py(), max_packet):
-                    rows.append({"path": path, "seq": seq, "check": check, "payload": payload})
+            rows = []
+            for i in range(b.num_rows):
+                path_, size, start, stop = (b.column(c)[i].as_py() for c in ("path", "size", "start", "stop"))
+                if path_ != current:
+                    current, at, seq = path_, 0, 0
+                if at is None or at >= stop or at + 8 > size:
+                    continue
+                rows.append({"path": path_, "start": start, "entry": at - start, "seq": seq})
+                entries, exits, counts = (b.column(c)[i].values.to_numpy() for c in ("entries", "exits", "counts"))
+                k = int(np.searchsorted(entries, at - start))
+                if k == len(entries) or entries[k] != at - start or exits[k] < 0:
+                    at = None  # the log ends in this piece
+                else:
+                    at, seq = start + int(exits[k]), seq + int(counts[k])
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("entry", pa.int64()), ("seq", pa.int64())]))
+
+    def cut(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                path_, size, start, stop, at, seq = (b.column(c)[i].as_py() for c in ("path", "size", "start", "stop", "entry", "seq"))
+                raw, left, rows = b.column("raw")[i].as_py(), size - start, []
+                while at < stop - start and at + 8 <= left:
+                    length, check = struct.unpack(">iI", raw[at:at + 8])
+                    bad = length < 0 or length > max_packet or at + 8 + length > left
+                    rows.append({"path": path_, "seq": seq, "check": None if bad else check, "payload": None if bad else raw[at + 8:at + 8 + length]})
+                    if bad:
+                        break
+                    at, seq = at + 8 + length, seq + 1
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return _files(spark, path).mapInArrow(body, schema).select(stem(F.col("path")).alias("stream_id"), "seq", "check", "payload")
+    arrow = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("check", pa.int64()), ("payload", pa.binary())])
+    lists = "path string, size long, start long, stop long, entries array<long>, exits array<long>, counts array<long>"
+    ways = pieces.select("path", "size", "start", "stop", "raw").mapInArrow(chains, lists).repartition("path").sortWithinPartitions("path", "start")
+    ways = ways.mapInArrow(entered, "path string, start long, entry long, seq long")
+    known = _pieces(files, _dealt(spans.join(ways, ["path", "start"]), spans.count()), more)
+    rows = known.select("path", "size", "start", "stop", "entry", "seq", "raw").mapInArrow(cut, "path string, seq long, check long, payload binary")
+    return rows.select(stem(F.col("path")).alias("stream_id"), "seq", "check", "payload")
 
 
 def _numbered_lines(spark, path):
-    """Lines with their position; one file is one trace of moderate size."""
-    t = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("source_name"), "value")
-    return t.select("source_name", F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("line", "text"))
+    """Lines with their position in their file.  Long files are read in blocks: a line's number is its place in the block plus the
+    lines of the blocks before."""
+    t = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                                                             F.monotonically_increasing_id().alias("_id"), "value")
+    blocks = t.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    return t.join(blocks, ["_file", "_start"]).select(stem(F.col("_file")).alias("source_name"), (F.col("_ahead") + F.col("_id") - F.col("_first")).cast("int").alias("line"),
+                                                      F.regexp_replace("value", r"\r$", "").alias("text"))
 
 
 def read_loss_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -219,19 +362,18 @@ def read_feature_matrix(spark: SparkSession, path: str, version: int = 2, width:
     layout names, `width` in all: those come as `rest`."""
     lay = FEATURE_LAYOUTS[version]
     named = lay["width"]
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()),
-                           T.StructField("f", T.ArrayType(T.FloatType()))])
     width = width or named
+    files = _files(spark, path)
 
     def body(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                m = np.frombuffer(content.as_py(), dtype="<f4")
-                m = m[: len(m) // width * width].reshape(-1, width)
-                for i in range(0, len(m), 4096):
-                    part = m[i:i + 4096]
+            for i in range(b.num_rows):
+                m = np.frombuffer(b.column("raw")[i].as_py(), dtype="<f4")
+                m, first = m[: len(m) // width * width].reshape(-1, width), b.column("start")[i].as_py() // (4 * width)
+                for j in range(0, len(m), 4096):
+                    part = m[j:j + 4096]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([path] * len(part)), pa.array(np.arange(i, i + len(part))),
+                        pa.array([b.column("path")[i].as_py()] * len(part)), pa.array(np.arange(first + j, first + j + len(part))),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, width, dtype=np.int32)), pa.array(part.ravel()))],
                         names=["path", "row", "f"])
 
@@ -239,7 +381,8 @@ def read_feature_matrix(spark: SparkSession, path: str, version: int = 2, width:
         a, z = lay[name]
         return F.slice("f", a + 1, z - a)
 
-    rows = _files(spark, path).mapInArrow(body, schema)
+    rows = _pieces(files, _spans(_whole(files), 4 * width)).select("path", "start", "raw").mapInArrow(body, "path string, row long, f array<float>")
+
     def f32(v):
         return F.lit(v).cast("float")
 

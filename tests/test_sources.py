@@ -5,6 +5,7 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.sources import readers as R
 
@@ -85,3 +86,54 @@ def test_packets_above_the_limit_end_a_log(spark, tmp_path):
     (tmp_path / "x.bit").write_bytes(struct.pack(">iI", 2000, 5) + b"z" * 2000)
     assert [r["payload"] for r in R.read_packet_log(spark, str(tmp_path)).collect()] == [None]
     assert [len(r["payload"]) for r in R.read_packet_log(spark, str(tmp_path), max_packet=4000).collect()] == [2000]
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_a_file_of_several_ranges_gives_the_same_rows(spark, tmp_path, monkeypatch, opens):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-32768, 32767, 5001, dtype="<i2")
+    (tmp_path / "pcm").mkdir()
+    (tmp_path / "pcm" / "a.pcm").write_bytes(x.tobytes())
+    (tmp_path / "wav").mkdir()
+    with wave.open(str(tmp_path / "wav" / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setframerate(48000)
+        w.setsampwidth(2)
+        w.writeframes(x[:5000].tobytes())
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.f32").write_bytes(rng.random(36 * 50, dtype="<f4").tobytes())
+    # Payloads full of zeros and of length fields, which look like packets.
+    (tmp_path / "log").mkdir()
+    packets = [(i, bytes(rng.integers(0, 2, rng.integers(0, 60), dtype=np.uint8)) if i % 3 else struct.pack(">iI", 4, 9) * rng.integers(0, 6)) for i in range(400)]
+    body = b"".join(struct.pack(">iI", len(p), c) + p for c, p in packets)
+    for name, raw in (("good", body), ("short", body[:-5]), ("bad", body[:3000] + b"\xff" * 8 + body[3000:]), ("empty", b""), ("seven", b"1234567"), ("tail", body + b"123")):
+        (tmp_path / "log" / f"{name}.bit").write_bytes(raw)
+    (tmp_path / "txt").mkdir()
+    (tmp_path / "txt" / "l.txt").write_text("".join(f"{i % 2}\r\n" if i % 7 else "\n" for i in range(3000)))
+
+    def everything():
+        good, bad = R.read_wav(spark, str(tmp_path / "wav"), block=50)
+        tables = [R.read_pcm(spark, str(tmp_path / "pcm"), "s16", 2, 30), good, bad, R.read_feature_matrix(spark, str(tmp_path / "f")),
+                  R.read_packet_log(spark, str(tmp_path / "log"), 100), R.read_loss_trace(spark, str(tmp_path / "txt"))]
+        return [sorted(map(repr, t.collect())) for t in tables]
+
+    whole = everything()
+    monkeypatch.setattr(R, "RANGE_BYTES", 500)
+    if not opens:
+        monkeypatch.setattr(R, "_opens", lambda files: False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        tasks = R.read_pcm(spark, str(tmp_path / "pcm"), "s16", 2, 30).select(F.spark_partition_id()).distinct().count()
+        assert tasks > 2 if opens else tasks >= 1  # what only Spark can open is read a file at a time
+        assert R.read_loss_trace(spark, str(tmp_path / "txt")).select("seq").count() == sum(i % 7 != 0 for i in range(3000))
+        assert everything() == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    logs = {}
+    for r in R.read_packet_log(spark, str(tmp_path / "log"), 100).collect():
+        logs.setdefault(r["stream_id"], []).append((r["seq"], r["check"], r["payload"] and bytes(r["payload"])))
+    want = [(i, c, p or None if not p else p) for i, (c, p) in enumerate(packets)]
+    got = [(s, c, p or None) for s, c, p in sorted(logs["good"])]
+    assert got == [(i, c, p or None) for i, c, p in want] and sorted(logs["short"])[-1] == (399, None, None)
+    assert "empty" not in logs and "seven" not in logs and len(logs["tail"]) == 400
+    assert sorted(logs["bad"])[-1][2] is None
