@@ -100,6 +100,13 @@ def split_batch(data: np.ndarray, start: np.ndarray, length: np.ndarray):
     return np.where(ok, count, -1), sizes, np.where(ok, pad, 0)
 
 
+def split_column(payloads: pa.Array):
+    """`split_batch` of a column of byte strings; null ones count as empty."""
+    col = payloads.cast(pa.large_binary())
+    off = np.frombuffer(col.buffers()[1], dtype=np.int64, count=len(col) + col.offset + 1)[col.offset:]
+    return split_batch(np.frombuffer(col.buffers()[2] or b"", dtype=np.uint8), off[:-1], np.diff(off))
+
+
 def parse_packets(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds `frame_sizes` (null for an invalid packet) and `padding`; drops the payload."""
     keep = [f for f in df.schema.fields if f.name != payload]
@@ -110,10 +117,7 @@ def parse_packets(df: DataFrame, payload: str = "payload") -> DataFrame:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            col = b.column(b.schema.get_field_index(payload)).cast(pa.large_binary())
-            off = np.frombuffer(col.buffers()[1], dtype=np.int64, count=len(col) + col.offset + 1)[col.offset:]
-            data = np.frombuffer(col.buffers()[2] or b"", dtype=np.uint8)
-            count, sizes, pad = split_batch(data, off[:-1], np.diff(off))
+            count, sizes, pad = split_column(b.column(b.schema.get_field_index(payload)))
             rows = [None if c < 0 else s[:c] for c, s in zip(count, sizes)]
             cols = [b.column(b.schema.get_field_index(f.name)) for f in keep]
             cols += [pa.array(rows, type=pa.list_(pa.int32())), pa.array(pad, type=pa.int64())]
@@ -128,18 +132,27 @@ def packet_frames(df: DataFrame, payload: str = "payload") -> DataFrame:
     return p.select("*", F.posexplode("frame_sizes").alias("frame_no", "frame_bytes")).drop("frame_sizes")
 
 
-def register_parse_packet(spark) -> None:
-    """SQL surface: SELECT ... FROM packets, LATERAL parse_packet(payload)."""
-    from pyspark.sql.functions import udtf
+def register_parse_packets(spark, keep: str, payload: str = "payload", name: str = "parse_packets") -> None:
+    """SQL surface over Arrow batches: SELECT * FROM parse_packets(TABLE(SELECT <keep>, payload FROM packets)).
+
+    `keep` is the DDL of the columns that go along.  One row per frame of a valid packet, one row with nulls and valid = false for
+    an invalid, empty or null one; a batch is parsed in one call."""
+    from pyspark.sql.functions import arrow_udtf
+
+    names = T.StructType.fromDDL(keep).names
 
-    @udtf(returnType="frame_no int, frame_bytes int, valid boolean")
-    class ParsePacket:
-        def eval(self, payload: bytes):
-            raw = np.frombuffer(payload, dtype=np.uint8)
-            count, sizes, _ = split_batch(raw, np.array([0]), np.array([len(raw)]))
-            if count[0] < 0:
-                yield None, None, False
-            for i in range(int(count[0])):
-                yield i, int(sizes[0, i]), True
+    @arrow_udtf(returnType=f"{keep}, frame_no int, frame_bytes int, valid boolean")
+    class ParsePackets:
+        def eval(self, batch: pa.RecordBatch):
+            batch = batch if isinstance(batch, pa.RecordBatch) else pa.RecordBatch.from_struct_array(batch)
+            count, sizes, _ = split_column(batch.column(batch.schema.get_field_index(payload)))
+            valid = count >= 0
+            copies = np.where(valid, count, 1)
+            row = np.repeat(np.arange(len(count)), copies)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            missing = ~valid[row]
+            columns = {n: batch.column(batch.schema.get_field_index(n)).take(pa.array(row)) for n in names}
+            yield pa.table({**columns, "frame_no": pa.array(number.astype(np.int32), mask=missing),
+                            "frame_bytes": pa.array(sizes[row, number].astype(np.int32), mask=missing), "valid": pa.array(~missing)})
 
-    spark.udtf.register("parse_packet", ParsePacket)
+    spark.udtf.register(name, ParsePackets)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 KEYS = ("stream_id",)
 ORDER = "frame_index"
 FANOUT = 4096
+ROW_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
 
 
 def segment_length(spark: SparkSession) -> int:
@@ -184,24 +185,26 @@ def slot_of(x: Column, per_octave: int = 16384) -> Column:
     return F.when(F.isnan(x), F.lit(1 << 61)).when(endless, F.signum(x).cast("long") * F.lit(1 << 60)).otherwise((F.signum(x) * size).cast("long"))
 
 
+def in_ranges(df, order) -> DataFrame:
+    """The rows of `df` dealt by ranges of the columns `order` and sorted: with `_range`, the range's number, and `_row`, the place in it.
+    Stored, because the borders of ranges come from a sample and may differ when a plan runs again."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    stored = cut_lineage(placed)
+    return stored.select(*df.columns, F.shiftright("_at", ROW_BITS).alias("_range"), F.col("_at").bitwiseAND((1 << ROW_BITS) - 1).alias("_row"))
+
+
 def rank_all(df, value, tie, name, part=()) -> DataFrame:
-    """1-based rank of every row by (value, tie) inside `part`, with no single
-    sorting task: rows are put into value slots, and a slot of equal values is
-    split again along the tie-breaker."""
-    part = list(part)
-    base = (df.withColumn("_x", value.cast("double")).withColumn("_b", slot_of(F.col("_x")))
-            .withColumn("_tb", slot_of(tie.cast("double"), 4096)))
-    cells = base.groupBy(*part, "_b", "_x", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.unboundedPreceding
-    slots = cells.groupBy(*part, "_b").agg(F.sum("_n").alias("_m")).select(
-        *part, "_b",
-        F.sum("_m").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(upto, -1)).alias("_before"))
-    w = Window.partitionBy(*part, "_b").orderBy("_x", "_tb").rowsBetween(upto, -1)
-    shift = (cells.join(slots, [*part, "_b"])
-             .select(*part, "_x", "_tb",
-                     (F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_shift")))
-    inside = Window.partitionBy(*part, "_x", "_tb").orderBy(tie)
-    return (base.join(shift, [*part, "_x", "_tb"])
-            .withColumn(name, (F.row_number().over(inside) + F.col("_shift")).cast("long"))
-            .drop("_x", "_b", "_tb", "_shift"))
+    """1-based rank of every row by (value, tie) inside `part`, in Spark's order: null first, NaN last.
 
+    Rows are dealt by ranges of (part, value, tie), so neither a part, nor equal or close values, nor close ties meet in one task, and
+    a range's rows are numbered where they stand; one row per part and range carries the counts of the ranges before.  Only
+    rows equal in all three stay together; their ranks follow no order.  A null part is a part of its own."""
+    part = list(part)
+    rows = in_ranges(df.withColumns({"_x": value.cast("double"), "_t": tie}), [*part, "_x", "_t"])
+    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*part, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    shift = cells.select(*[F.col(p).alias(f"_p_{p}") for p in part], F.col("_range").alias("_at"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_range") == F.col("_at")
+    for p in part:
+        same = same & F.col(p).eqNullSafe(F.col(f"_p_{p}"))
+    return rows.join(shift, same).select(*df.columns, (F.col("_row") + F.col("_shift")).cast("long").alias(name))

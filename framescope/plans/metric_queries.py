@@ -266,7 +266,20 @@ def a21(spark, sf):
     return out.select(*SONG, "band", r6("test_distortion", "test_distortion"), r6("low_passed_distortion", "low_passed_distortion"), "passed")
 
 
-@query("a22_multi_resolution_distance")
+#: Frames of 64 samples, mirrored by half a window at both ends; windows of 64, 32 and 16 by halves; 16000 samples a second.
+_MRD = ("em AS MATERIALIZED (SELECT stream_id, candidate, frame_index, n, x-0.85e0*coalesce(lag(x) OVER o,0) AS x, y-0.85e0*coalesce(lag(y) OVER o,0) AS y FROM dsmp WINDOW o AS (PARTITION BY stream_id, candidate, frame_index ORDER BY n))",
+        """wn AS (SELECT s, j, i, CASE WHEN q<0 THEN -q WHEN q>63 THEN 126-q ELSE q END AS n, 0.5e0-0.5e0*cos(2*pi()*i/s) AS w
+ FROM (SELECT s, j, i, j*(s//2)+i-s//2 AS q FROM (VALUES (64),(32),(16)) z(s), range(0,9) a(j), range(0,64) b(i) WHERE i<s AND j<=128//s))""",
+        """mg AS MATERIALIZED (SELECT stream_id, candidate, frame_index, s, j, k, sqrt(pow(sum(x*w*cos(2*pi()*k*i/s)),2)+pow(sum(x*w*sin(2*pi()*k*i/s)),2)) AS m, sqrt(pow(sum(y*w*cos(2*pi()*k*i/s)),2)+pow(sum(y*w*sin(2*pi()*k*i/s)),2)) AS d
+ FROM em JOIN wn USING (n), range(0,33) v(k) WHERE k<=s//2 GROUP BY ALL)""",
+        """bk AS (SELECT s, i, k, g/sum(g) OVER (PARTITION BY s, i) AS g FROM (SELECT s, i, k, pow(10e0, (CASE WHEN e<0.5e0 THEN -12*e*e ELSE 3-12*e END)/10) AS g
+ FROM (SELECT s, i, k, abs(k-i)*16000e0/s/(24.7e0+0.108e0*k*16000e0/s) AS e FROM (VALUES (64),(32),(16)) z(s), range(0,32) a(i), range(0,33) v(k) WHERE i<s//2 AND k<=s//2)))""",
+        "sl AS (SELECT stream_id, candidate, s, avg(abs(lx-ly)) AS l1 FROM (SELECT stream_id, candidate, frame_index, s, j, i, ln(sum(m*g)+1e-9) AS lx, ln(sum(d*g)+1e-9) AS ly FROM mg JOIN bk USING (s, k) GROUP BY ALL) GROUP BY ALL)",
+        "sd AS (SELECT stream_id, candidate, s, 1-sum(m*d)/sqrt(sum(m*m)*sum(d*d)+1e-9) AS dc FROM mg GROUP BY ALL)",
+        "td AS (SELECT stream_id, candidate, avg(pow(x-y,2))/(sqrt(avg(y*y))+1e-6) AS t FROM em GROUP BY ALL)")
+
+
+@query("a22_multi_resolution_distance", with_views("dsmp", f"SELECT stream_id, candidate, {s6('10*(avg(2*l1+dc)+10*any_value(t))/13', 'distance')} FROM sl JOIN sd USING (stream_id, candidate, s) JOIN td USING (stream_id, candidate) GROUP BY 1, 2", *_MRD))
 def a22(spark, sf):
     out = metrics.multi_resolution_distance(V.decoded_frames(spark, sf), "pcm", "dec", [64, 32, 16])
     return out.select(*SONG, r6("distance", "distance"))

@@ -170,10 +170,10 @@ def p20(spark, sf):
 
 @query("h03_parse_packet_udtf", with_views("pk", "SELECT stream_id, frame_index, frame_no::int AS frame_no, frame_bytes::int AS frame_bytes, true AS valid FROM fr UNION ALL SELECT stream_id, frame_index, NULL, NULL, false FROM hx ANTI JOIN ok_ USING (stream_id, frame_index)", HX, PAD, VBR, FRAMES))
 def h03(spark, sf):
-    P.register_parse_packet(spark)
-    payloads(spark, sf).createOrReplaceTempView("framescope_payloads")
-    return spark.sql("""SELECT p.stream_id, p.frame_index, f.frame_no, f.frame_bytes, f.valid
-                        FROM framescope_payloads p, LATERAL parse_packet(p.payload) f""")
+    p = payloads(spark, sf).select("stream_id", "frame_index", "payload")
+    P.register_parse_packets(spark, p.drop("payload").schema.toDDL())
+    p.createOrReplaceTempView("framescope_payloads")
+    return spark.sql("SELECT * FROM parse_packets(TABLE(framescope_payloads))")
 
 
 def bit_plan(spark, sf):

@@ -102,6 +102,29 @@ def test_rank_all_with_ties(spark, frame):
     np.testing.assert_array_equal(got["r"].to_numpy(), want["r"].to_numpy())
 
 
+def test_ranks_of_close_values_with_close_ties(spark):
+    """A third of the rows has one value, the others are close, and so are the ties; no range holds much more than its share."""
+    rng = np.random.default_rng(5)
+    n = 120_000
+    f = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, 1, 2), "v": np.where(rng.random(n) < 0.33, 7.0, 48000 + rng.random(n) * 1e-9), "id": rng.permutation(n) * 1e-9})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(f)
+        held = layout.in_ranges(df, ["g", "v", "id"]).groupBy("_range").count().toPandas()["count"]
+        assert len(held) == 8 and held.max() < 1.5 * held.mean()
+        got = layout.rank_all(df, F.col("v"), F.col("id"), "r", ("g",)).toPandas().sort_values(["g", "v", "id"])
+        assert (got["r"].to_numpy() == got.groupby("g").cumcount().to_numpy() + 1).all() and len(got) == n
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ranks_of_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, None, 2), (4, float("nan"), 3), (4, 2.0, 4), (4, -1.0, 5)], "g int, v double, id int")
+    got = {r["id"]: r["r"] for r in layout.rank_all(df, F.col("v"), F.col("id"), "r", ("g",)).collect()}
+    assert got == {2: 1, 1: 2, 5: 1, 4: 2, 3: 3}
+    assert layout.rank_all(df.limit(0), F.col("v"), F.col("id"), "r").count() == 0
+
+
 def test_dense_index(spark, frame):
     f = frame.assign(t=frame["frame_index"] * 7 + 3).drop(columns="frame_index").sample(frac=1, random_state=1)
     got = layout.dense_index(spark.createDataFrame(f), ["stream_id"], F.floor(F.col("t") / 100.0), ["t"]).toPandas()

@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.functions import arrays as A
 from framescope.functions import spectral
@@ -66,3 +67,32 @@ def test_stored_rows_after_a_failed_job(spark, tmp_path):
     (tmp_path / "rows").mkdir()
     assert ranking.with_stored(spark, folder, work, ["k"], lambda w: w).count() == 2
     assert ranking.with_stored(spark, folder, work, ["k"], lambda w: w).count() == 2
+
+
+def test_stage_results_under_retries(spark, tmp_path):
+    """A failed append leaves nothing that is read; a second run at the same time repeats no row; a third one computes nothing."""
+    from framescope.operators import ranking
+    folder = str(tmp_path / "rows")
+    work = spark.range(6).select(F.col("id").alias("k"))
+
+    def rows_of(asked, run):
+        return asked.withColumn("run", F.lit(run))
+
+    def fails(asked):
+        return asked.withColumn("run", F.when(F.col("k") < 5, F.lit(0)).otherwise(F.raise_error(F.lit("lost")).cast("int")))
+
+    with pytest.raises(Exception, match="lost"):
+        ranking.with_stored(spark, folder, work, ["k"], fails)
+    store = ranking.StageStore(spark, folder, ["k"])
+    assert store.rows() is None
+    rows_of(work, 9).write.parquet(f"{folder}/part-{0:020d}-abc")  # finished, but never committed
+
+    def late(asked):
+        store.append(rows_of(work.where("k < 4"), 1))  # another run commits while this one computes
+        return rows_of(asked, 2)
+
+    got = ranking.with_stored(spark, folder, work, ["k"], late)
+    assert sorted((r["k"], r["run"]) for r in got.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
+    asked = []
+    again = ranking.with_stored(spark, folder, work, ["k"], lambda w: (asked.append(w.count()), rows_of(w, 3))[1])
+    assert asked == [0] and again.count() == 6 and len(store.committed()) == 3

@@ -115,6 +115,16 @@ def test_spark_and_udtf_agree(spark, sf):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_table_function_over_batches(spark):
+    """Null and empty payloads are invalid rows; a batch is one call, so columns that go along are repeated per frame."""
+    rows = [(1, "a", bytes([0, 1, 2])), (2, None, None), (3, "c", b""), (4, "d", bytes([1, 5, 6, 7, 8])), (5, "e", bytes([1, 5, 6]))]
+    spark.createDataFrame(rows, "i int, name string, payload binary").createOrReplaceTempView("some_packets")
+    P.register_parse_packets(spark, "i int, name string", name="parse_some")
+    got = spark.sql("SELECT * FROM parse_some(TABLE(some_packets))").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a", 0, 2, True), (2, None, None, None, False), (3, "c", None, None, False), (4, "d", 0, 2, True), (4, "d", 1, 2, True),
+                                                        (5, "e", 0, 1, True), (5, "e", 1, 1, True)], key=str)
+
+
 @pytest.mark.parametrize("toc,want", [(0x00, ("speech", "NB", 1, 480)), (0x7C, ("hybrid", "FB", 2, 960)),
                                       (0x80, ("transform", "NB", 1, 120)), (0xFF, ("transform", "FB", 2, 960)), (0x18, ("speech", "NB", 1, 2880))])
 def test_header(spark, toc, want):
