@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.  Where the session names none, a private one serves
@@ -24,9 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: lost executors cost a re-read, not a recomputation."""
+    """Writes `df` to the shared folder and reads it back: lost executors cost a re-read, not a recomputation.  Meanwhile Arrow
+    batches to Python workers hold BATCH_BYTES at most: executor and worker both hold a batch of every task, outside of the heap."""
     path = f"{shared_folder(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_CONF, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
