@@ -20,6 +20,7 @@ from framescope.llm.storage import col, stored
 CELLS = 1 << 16
 SCATTER = 40503  # odd, so multiplying by it permutes the cells
 SUBCELLS = 64
+STEP = 4096  # equal rows whose ranks are made by one task in one array
 
 
 def ring(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -76,6 +77,9 @@ def shard(docs: DataFrame, n_shards: int = 40, vnodes: int = 256, slack: float =
     offsets = subs.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     inside = Window.partitionBy("cell", "sub").orderBy("key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("r", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["cell", "sub"])
-    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("offset") + F.col("r"), F.col("offset") + F.col("r") + F.col("n") - 1)))
+    ranked = ranked.withColumn("first", F.col("offset") + F.col("r")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {STEP}"))))
+    ranked = ranked.repartition("cell", "sub", "key", "step")  # copies of one row are dealt over tasks, STEP at a time
+    start = F.col("first") + F.col("step") * STEP
+    ranked = ranked.withColumn("rank", F.explode(F.sequence(start, F.least(start + STEP, F.col("first") + F.col("n")) - 1)))
     placed = ranked.join(F.broadcast(plan), (F.col("cell") == F.col("pcell")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))

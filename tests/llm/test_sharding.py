@@ -50,5 +50,16 @@ def test_rows(frame, odd_rows):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_copies_beyond_one_step(frame, monkeypatch):
+    """Many equal rows are numbered in steps; none is lost and slots stay gapless."""
+    monkeypatch.setattr(sharding, "STEP", 16)
+    rows = [(7, "same")] * 333 + [(8, "same")] * 16 + [(9, "x")] * 17 + [(i, "y") for i in range(100, 140)]
+    got = sharding.shard(frame(rows), n_shards=3, vnodes=16).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    for s in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 3) < 1
+
+
 def test_empty(frame):
     assert sharding.shard(frame([])).count() == 0
