@@ -37,3 +37,24 @@ def test_same_rows(spark, sf, con, name):
 def test_registry_is_complete():
     assert set(load.ORACLES) <= set(load.QUERIES)
     assert len(load.QUERIES) > 200
+
+
+@pytest.fixture(scope="module")
+def silent(tmp_path_factory):
+    """Tables whose events hold frames of value 0, whose level is -inf."""
+    folder = tmp_path_factory.mktemp("silent")
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i*60) AS ts, i%3 AS user_id, ['view','click','error'][i%3+1] AS event_type,
+                   CASE WHEN i//3%11 IN (2,3,7) THEN 0e0 ELSE i%97+0.5e0 END AS "value", '' AS props FROM range(300) t(i)) TO '{folder}/events.parquet'""")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return str(folder), c
+
+
+@pytest.mark.parametrize("name", ["p09_decibels"])
+def test_silent_frames(short_segments, silent, name):
+    folder, con = silent
+    df = load.QUERIES[name](short_segments, folder)
+    cur = con.execute(load.ORACLES[name])
+    want = check.rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert check.rows_of(df.columns, df.collect()) == want
+    assert any(v == float("-inf") for row in want for v in row)
