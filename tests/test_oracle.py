@@ -50,11 +50,10 @@ def silent(tmp_path_factory):
     return str(folder), c
 
 
-@pytest.mark.parametrize("name", ["p09_decibels"])
+@pytest.mark.parametrize("name", ["p09_decibels", "w25_loudness_trackers", "w36_delta_cepstrum"])
 def test_silent_frames(short_segments, silent, name):
     folder, con = silent
     df = load.QUERIES[name](short_segments, folder)
     cur = con.execute(load.ORACLES[name])
     want = check.rows_of([d[0] for d in cur.description], cur.fetchall())
     assert check.rows_of(df.columns, df.collect()) == want
-    assert any(v == float("-inf") for row in want for v in row)
