@@ -219,7 +219,8 @@ def delta_cepstrum(frames: DataFrame, cepstrum: str) -> DataFrame:
     def mix(weights):
         out = A.scale(c, S.d(weights[0]))
         for k in range(1, 5):
-            out = A.add(out, A.scale(lag[k], S.d(weights[k])))
+            if weights[k]:  # a frame without weight counts nothing, infinite ones too
+                out = A.add(out, A.scale(lag[k], S.d(weights[k])))
         return out
 
     return (f.withColumn("level", mix(LEVEL_WEIGHTS))
