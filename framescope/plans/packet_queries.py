@@ -111,12 +111,13 @@ def k12(spark, sf):
         "stream_id", "frame_index", "source_index", F.col("assembled")[0].alias("f0"), F.col("assembled")[1].alias("f1"))
 
 
-def payloads(spark, sf):
+def payloads(spark, sf, *more: str):
+    """Packets with their bytes, and the columns `more` of the view."""
     p = V.packets(spark, sf)
     filler = F.unhex(F.repeat(F.md5(F.col("event_id").cast("string")), F.floor(F.col("len") / 16.0).cast("int") + 1))
     head = F.unhex(F.concat(F.lpad(F.hex("toc"), 2, "0"), F.lpad(F.hex("b1"), 2, "0")))
     body = F.substring(filler, F.lit(1), F.greatest(F.col("len") - 2, F.lit(0)).cast("int"))
-    return p.select("stream_id", "frame_index", "toc", F.concat(head, body).alias("payload"))
+    return p.select("stream_id", "frame_index", "toc", F.concat(head, body).alias("payload"), *more)
 
 
 _BYTE = "('0x' || substr(h, 2*pos+1, 2))::int"

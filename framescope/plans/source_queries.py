@@ -124,7 +124,7 @@ def s06(spark, sf):
 @query("s07_read_packet_log", with_views("pk", 'SELECT stream_id, frame_index, "check", len AS bytes FROM pk'))
 def s07(spark, sf):
     n, path = layout.segment_length(spark), layout.scratch_path(spark, "packets")
-    p = payloads(spark, sf).join(V.packets(spark, sf).select(*ID, "check"), ID)
+    p = payloads(spark, sf, "check")
     h = F.concat(F.lpad(F.hex(F.length("payload").cast("long")), 8, "0"), F.lpad(F.hex("check"), 8, "0"), F.hex("payload"))
     W.write_binary_files(joined(p.withColumn("h", h), "h", ".bit", n), path)
     return numbered(R.read_packet_log(spark, path, max_packet=1 << 20), "seq", n).select(*ID, "check", F.length("payload").cast("long").alias("bytes"))

@@ -25,7 +25,9 @@ TELEMETRY_STRINGS = ["selected_bandwidth", "signal"]
 BANDWIDTH_NAMES = ["NB", "MB", "WB", "SWB", "FB"]
 MAX_PACKET = 1500
 RANGE_BYTES = 8 << 20  # of a file that one task reads at a time
+OPEN_BYTES = 64 << 10  # that could be read in the time it takes to open a file
 MOST_TASKS = 20_000
+LISTING_TASKS = 256  # that pass on the names of files
 FEATURE_LAYOUTS = {
     2: {"width": 36, "cepstrum": (0, 18), "periods": (18, 19), "pitch_corr": (19, 20), "lpc": (20, 36)},
     1: {"width": 55, "cepstrum": (0, 18), "periods": (36, 37), "pitch_corr": (37, 38), "lpc": (39, 55)},
@@ -71,9 +73,15 @@ def _spans(files: DataFrame, unit: int) -> DataFrame:
     return _dealt(spans.withColumn("stop", F.least("size", F.col("start") + step)))
 
 
-def _dealt(spans: DataFrame, ranges: int | None = None) -> DataFrame:
-    """As many tasks as there are ranges, up to MOST_TASKS; without a number the small rows would be put back into one."""
-    return spans.repartition(min(max(spans.count() if ranges is None else ranges, 1), MOST_TASKS), "path", "start")
+def _dealt(spans: DataFrame, tasks: int | None = None) -> DataFrame:
+    """As many tasks as the ranges have RANGE_BYTES, the opening of their files counted, up to MOST_TASKS: a long file is read by many, and
+    many short ones share a task.  Without a number the small rows would be put back into one."""
+    return spans.repartition(_tasks(spans) if tasks is None else tasks, "path", "start")
+
+
+def _tasks(spans: DataFrame) -> int:
+    ranges, effort = spans.agg(F.count(F.lit(1)), F.sum(F.col("stop") - F.col("start") + OPEN_BYTES)).first()
+    return min(max(-(-(effort or 0) // RANGE_BYTES), 1), max(ranges, 1), MOST_TASKS)
 
 
 def _pieces(files: DataFrame, spans: DataFrame, more: int = 0) -> DataFrame:
@@ -99,7 +107,7 @@ def _pieces(files: DataFrame, spans: DataFrame, more: int = 0) -> DataFrame:
 
 
 def _whole(files: DataFrame) -> DataFrame:
-    return files.select("path", F.lit(0).cast("long").alias("first"), F.col("length").alias("size"))
+    return files.select("path", F.lit(0).cast("long").alias("first"), F.col("length").alias("size")).coalesce(LISTING_TASKS)
 
 
 def _decode(raw: bytes, fmt: str) -> np.ndarray:
@@ -276,6 +284,7 @@ def read_packet_log(spark: SparkSession, path: str, max_packet: int = MAX_PACKET
     files = _files(spark, path)
     more = 8 + max_packet
     spans = _spans(_whole(files), 1)
+    tasks = _tasks(spans)
     pieces = _pieces(files, spans, more)
 
     def chains(batches):
@@ -328,7 +337,7 @@ def read_packet_log(spark: SparkSession, path: str, max_packet: int = MAX_PACKET
     lists = "path string, size long, start long, stop long, entries array<long>, exits array<long>, counts array<long>"
     ways = pieces.select("path", "size", "start", "stop", "raw").mapInArrow(chains, lists).repartition("path").sortWithinPartitions("path", "start")
     ways = ways.mapInArrow(entered, "path string, start long, entry long, seq long")
-    known = _pieces(files, _dealt(spans.join(ways, ["path", "start"]), spans.count()), more)
+    known = _pieces(files, _dealt(spans.join(ways, ["path", "start"]), tasks), more)
     rows = known.select("path", "size", "start", "stop", "entry", "seq", "raw").mapInArrow(cut, "path string, seq long, check long, payload binary")
     return rows.select(stem(F.col("path")).alias("stream_id"), "seq", "check", "payload")
 

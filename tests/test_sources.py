@@ -137,3 +137,12 @@ def test_a_file_of_several_ranges_gives_the_same_rows(spark, tmp_path, monkeypat
     assert got == [(i, c, p or None) for i, c, p in want] and sorted(logs["short"])[-1] == (399, None, None)
     assert "empty" not in logs and "seven" not in logs and len(logs["tail"]) == 400
     assert sorted(logs["bad"])[-1][2] is None
+
+
+def test_short_files_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.bit").write_bytes(struct.pack(">iI", 3, i) + b"abc")
+    spans = R._spans(R._whole(R._files(spark, str(tmp_path))), 1)
+    assert spans.count() == 60 and spans.rdd.getNumPartitions() == 1
+    rows = R.read_packet_log(spark, str(tmp_path)).collect()
+    assert sorted((r["stream_id"], r["seq"], r["check"], bytes(r["payload"])) for r in rows) == sorted((str(i), 0, i, b"abc") for i in range(60))
