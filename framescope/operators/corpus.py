@@ -142,11 +142,13 @@ def sample(items: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return items.orderBy(S.draw(key, seed, "sample"), F.col(key)).limit(n)
 
 
-def surround_rates(streams: DataFrame, bitrate: int, frame_rate: int = 50) -> DataFrame:
-    """Splits a group's rate over its streams.  kind: coupled, mono or lfe; integer division truncates."""
+def surround_kind_rates(streams: DataFrame, bitrate: int, frame_rate: int = 50) -> DataFrame:
+    """A group's rate split over its streams: group_id, kind, rate, one row per kind that the group has.  kind: coupled, mono or lfe;
+    integer division truncates.  A group of lfe only has nothing to split by and gets no row.  One aggregation: rows of streams are neither
+    sorted nor joined."""
     g = streams.groupBy("group_id").agg(
         F.count_if(F.col("kind") == "coupled").alias("_c"), F.count_if(F.col("kind") == "mono").alias("_m"),
-        F.count_if(F.col("kind") == "lfe").alias("_l"))
+        F.count_if(F.col("kind") == "lfe").alias("_l")).where("_c + _m > 0 AND group_id IS NOT NULL")
 
     def trunc(x):
         return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
@@ -160,10 +162,16 @@ def surround_rates(streams: DataFrame, bitrate: int, frame_rate: int = 50) -> Da
     rest = F.lit(256).cast("long") * (F.lit(bitrate) - lfe * F.col("_l") - offset * (F.col("_c") + F.col("_m")) - channel * normal)
     g = g.withColumn("_offset", offset).withColumn("_rate", trunc(rest / total))
     zero = F.lit(0).cast("long")
-    rate = (F.when(F.col("kind") == "coupled", 2 * channel + F.greatest(zero, F.col("_offset") + F.shiftright(F.col("_rate") * 512, 8)))
-            .when(F.col("kind") == "mono", channel + F.greatest(zero, F.col("_offset") + F.col("_rate")))
-            .otherwise(F.greatest(zero, lfe + F.shiftright(F.col("_rate") * 32, 8))))
-    return streams.join(g, "group_id").withColumn("rate", F.greatest(F.lit(500).cast("long"), rate)).drop("_c", "_m", "_l", "_offset", "_rate")
+    rates = {"coupled": ("_c", 2 * channel + F.greatest(zero, F.col("_offset") + F.shiftright(F.col("_rate") * 512, 8))),
+             "mono": ("_m", channel + F.greatest(zero, F.col("_offset") + F.col("_rate"))),
+             "lfe": ("_l", F.greatest(zero, lfe + F.shiftright(F.col("_rate") * 32, 8)))}
+    each = F.array(*[F.when(F.col(n) > 0, F.struct(F.lit(kind).alias("kind"), F.greatest(F.lit(500).cast("long"), rate).alias("rate"))) for kind, (n, rate) in rates.items()])
+    return g.select("group_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("_k")).select("group_id", "_k.kind", "_k.rate")
+
+
+def surround_rates(streams: DataFrame, bitrate: int, frame_rate: int = 50) -> DataFrame:
+    """Every stream with its rate from `surround_kind_rates`."""
+    return streams.join(surround_kind_rates(streams, bitrate, frame_rate), ["group_id", "kind"]).select(*streams.columns, "rate")
 
 
 def interleaved_training_signal(frames: DataFrame, col: str, offset_frames: int, keys=KEYS) -> DataFrame:

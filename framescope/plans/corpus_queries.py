@@ -139,5 +139,4 @@ def k13(spark, sf):
     n = F.col("l_linenumber")
     kind = F.when(n % 4 == 3, "lfe").when(n % 2 == 0, "coupled").otherwise("mono")
     li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group_id"), kind.alias("kind"))
-    normal = li.where("kind <> 'lfe'").select("group_id").distinct()
-    return corpus.surround_rates(li.join(normal, "group_id", "left_semi"), 128000).distinct()
+    return corpus.surround_kind_rates(li, 128000)

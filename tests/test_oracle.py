@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import check
+from framescope.operators import corpus
 from framescope.plans import load
 
 SOME = ["p02_frame_difficulty", "p18_packet_header", "p22_rate_split", "f03_voicing_gate", "a01_rate_statistics", "a02_segment_summary",
@@ -57,3 +58,12 @@ def test_silent_frames(short_segments, silent, name):
     cur = con.execute(load.ORACLES[name])
     want = check.rows_of([d[0] for d in cur.description], cur.fetchall())
     assert check.rows_of(df.columns, df.collect()) == want
+
+
+def test_surround_rates_need_no_join(spark, sf):
+    plan = load.QUERIES["k13_surround_rates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    streams = spark.createDataFrame([(1, "mono"), (1, "mono"), (1, "lfe"), (2, "coupled"), (3, "lfe")], "group_id long, kind string")
+    got = sorted(tuple(r) for r in corpus.surround_rates(streams, 128000).collect())
+    each = {tuple(r) for r in corpus.surround_kind_rates(streams, 128000).collect()}
+    assert [r[:2] for r in got] == [(1, "lfe"), (1, "mono"), (1, "mono"), (2, "coupled")] and set(got) == each
