@@ -20,11 +20,13 @@ from framescope.operators.packetlog import GATE_AFTER, GATE_MAX, hysteresis_step
 from framescope.operators.telemetry import spread_or_zero
 
 FILE_ROWS = 1_000_000
+BATCH_FILES = 6  # of a replay in a micro-batch, at most
 
 
 def replay(spark: SparkSession, df: DataFrame, slice_col, slices: int, closing: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """A table as a stream, in order of (`slice_col`, `order`) and last the `closing` rows: one write into files of about FILE_ROWS rows, at
-    least one per slice, each of which is one micro-batch.  Rows equal in both stay together."""
+    least one per slice.  A micro-batch takes as many files as leave one micro-batch per slice, up to BATCH_FILES: each has costs of its own (state of
+    all streams and windows is read and written), so their number should not grow with the table.  Rows equal in both stay together."""
     path = layout.scratch_path(spark, "replay")
     cut = layout.cut_lineage(df.withColumn("_slice", slice_col))
     files = max(slices, -(-cut.count() // FILE_ROWS))
@@ -39,8 +41,9 @@ def replay(spark: SparkSession, df: DataFrame, slice_col, slices: int, closing:
     for i, part in enumerate(parts):
         fs.setTimes(jvm.org.apache.hadoop.fs.Path(part), now - 1000 * (len(parts) - i), -1)
     if closing is not None:
-        closing.select(df.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        closing.select(df.columns).coalesce(1).write.mode("append").parquet(path)  # its time is now, so it comes last
+    per_batch = min(-(-len(parts) // slices), BATCH_FILES)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def closing_event(df: DataFrame, delay: str, size: str, ts: str = "ts") -> DataFrame:

@@ -125,3 +125,16 @@ def test_one_jump_is_one_row(spark):
     df = df.withColumn("ts", F.timestamp_seconds(F.when(F.col("seq") == 5, F.lit(-1000)).otherwise(F.col("at"))))
     got = sorted(tuple(r) for r in ST.live_gaps(ST.replay(spark, df.drop("at"), F.lit(0), 1), "1 minute").collect())
     assert got == [(1, 1, (1 << 40) - 1, "lost"), (1, 5, 5, "late"), (1, (1 << 40) - 3, (1 << 40) - 3, "restored")]
+
+
+@pytest.mark.parametrize("most, want", [(6, 3), (2, 5)])
+def test_micro_batches_do_not_grow_with_the_table(spark, monkeypatch, most, want):
+    """Of 10 files 3 slices make 3 micro-batches, or as many as BATCH_FILES asks for; times rise from one to the next."""
+    monkeypatch.setattr(ST, "FILE_ROWS", 10)
+    monkeypatch.setattr(ST, "BATCH_FILES", most)
+    df = spark.createDataFrame([(i,) for i in range(95)], "at long").withColumn("ts", F.timestamp_seconds("at"))
+    seen = []
+    live = ST.replay(spark, df, F.floor(F.col("at") / 40).cast("int"), 3, order="ts")
+    live.writeStream.foreachBatch(lambda rows, n: seen.append(sorted(r["at"] for r in rows.collect()))).option(
+        "checkpointLocation", layout.scratch_path(spark, "check")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == want and [x for part in seen for x in part] == list(range(95))
