@@ -138,3 +138,8 @@ def test_micro_batches_do_not_grow_with_the_table(spark, monkeypatch, most, want
     live.writeStream.foreachBatch(lambda rows, n: seen.append(sorted(r["at"] for r in rows.collect()))).option(
         "checkpointLocation", layout.scratch_path(spark, "check")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == want and [x for part in seen for x in part] == list(range(95))
+
+
+def test_state_maps_travel_in_small_integers():
+    from framescope.operators import recurrence
+    assert [recurrence.StateMap(n).kinds[0].elementType.typeName() for n in (61, 128, 129, 40_000)] == ["byte", "byte", "short", "long"]
