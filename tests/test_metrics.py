@@ -194,6 +194,40 @@ def test_pitch_peak_error(spark, signals):
     assert M.pitch_peak_error(frames(spark, noise, same), "pcm", "dec", 31, 4, 32).count() == 2
 
 
+def counted(frames):
+    """The frames, and a count of how many were made."""
+    made = frames.sparkSession.sparkContext.accumulator(0)
+
+    def body(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return frames.mapInArrow(body, frames.schema), made
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 33])
+def test_vocoder_index_makes_frames_twice(short_segments, signals, n):
+    """Streams that end at borders of segments; the frames are made once for the segments' decays and once for the errors."""
+    ref, dec = (x[:, :n] for x in signals)
+    f, made = counted(frames(short_segments, ref, dec))
+    got = M.vocoder_index(f, "pcm", "dec", BANDS).orderBy("stream_id").toPandas()
+    np.testing.assert_allclose(got[["err4", "err16"]].to_numpy(), [vocoder_loop(ref[s], dec[s]) for s in range(2)], rtol=1e-9)
+    assert made.value == 2 * 2 * n
+
+
+def test_pitch_peaks_of_missing_frames_without_lambdas(spark, signals):
+    """A frame's correlations are made in one kernel, not sample by sample in nested lambdas; missing frames are left out."""
+    ref = np.stack([np.sin(2 * np.pi * (np.arange(64) + i) / (9 + i % 7)) for i in range(N)])[None] + signals[1][:1] / 10
+    dec = ref + signals[0][:1]
+    f = frames(spark, ref, dec)
+    some = f.withColumn("pcm", F.when(F.col("frame_index") % 5 != 2, F.col("pcm"))).withColumn("dec", F.when(F.col("frame_index") % 7 != 3, F.col("dec")))
+    out = M.pitch_peak_error(some, "pcm", "dec", 31, 4, 32)
+    want = [v for i, v in enumerate(peak_loop(x, y) for x, y in zip(ref[0], dec[0])) if v is not None and i % 5 != 2 and i % 7 != 3]
+    assert len(want) > 10 and out.first()["pitch_error"] == pytest.approx(np.mean(want), rel=1e-9)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_multi_resolution_distance(spark, signals):
     ref, dec = signals
     got = M.multi_resolution_distance(frames(spark, ref, dec), "pcm", "dec", [32, 16]).orderBy("stream_id").toPandas()["distance"]
