@@ -228,6 +228,33 @@ def test_pitch_peaks_of_missing_frames_without_lambdas(spark, signals):
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_high_rate_index_makes_frames_three_times(short_segments, signals):
+    """Once for the segments' decays, once for the errors, once for rms; the same with segments of 16 frames, of which the last begins with the
+    last frame, as with one segment."""
+    ref, dec = (x[:, :33] for x in signals)
+    f, made = counted(frames(short_segments, ref, dec))
+    got = M.high_rate_index(f, [("pcm", "dec")], BANDS).orderBy("stream_id").toPandas()
+    assert made.value == 3 * 2 * 33
+    short_segments.conf.set("spark.framescope.segmentFrames", "4096")
+    want = M.high_rate_index(f, [("pcm", "dec")], BANDS).orderBy("stream_id").toPandas()
+    np.testing.assert_allclose(got[["err4", "err16", "rms"]], want[["err4", "err16", "rms"]], rtol=1e-9)
+
+
+def test_power_of_long_tables_is_made_in_pieces(monkeypatch):
+    """No more than PIECE numbers are transformed at a time, however many frames a task gets."""
+    import pyarrow as pa
+    from framescope.functions import spectral
+    sizes, rfft = [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda x, **kw: sizes.append(x.size) or rfft(x, **kw))
+    x = np.random.default_rng(2).normal(0, 1, (5000, 64))
+    rows = [None if i % 9 == 4 else r for i, r in enumerate(x.tolist())]
+    got = spectral.power_bins(pa.array(rows, pa.list_(pa.float64())), 64, 20, "raised", 3.0)
+    assert len(sizes) > 1 and max(sizes) <= spectral.PIECE
+    want = np.abs(rfft(x * 3.0 * np.hanning(64), axis=1)[:, :20]) ** 2
+    want[4::9] = 0
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
 def test_multi_resolution_distance(spark, signals):
     ref, dec = signals
     got = M.multi_resolution_distance(frames(spark, ref, dec), "pcm", "dec", [32, 16]).orderBy("stream_id").toPandas()["distance"]
