@@ -255,6 +255,20 @@ def test_power_of_long_tables_is_made_in_pieces(monkeypatch):
     np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
 
 
+def test_masked_indices_make_frames_twice(short_segments, signals):
+    """Once for the segments' decays and once for the errors, with one channel or two; a frame before them that is missing leaves no NaN."""
+    ref, dec = (x[:, :33] for x in signals)
+    f, made = counted(frames(short_segments, ref, dec, (dec, ref)))
+    M.quality_index(f, [("pcm", "dec"), ("r_pcm", "r_dec")], BANDS).collect()
+    assert made.value == 2 * 2 * 33
+    M.index16(f, "pcm", "dec", BANDS).collect()
+    assert made.value == 4 * 2 * 33
+    late = frames(short_segments, ref, dec).withColumns({c: F.when(F.col("frame_index") > 0, F.col(c)) for c in ("pcm", "dec")})
+    got = M.quality_index(late, [("pcm", "dec")], BANDS).orderBy("stream_id").toPandas()["error"]
+    want = M.quality_index(frames(short_segments, ref[:, 1:], dec[:, 1:]), [("pcm", "dec")], BANDS).orderBy("stream_id").toPandas()["error"]
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
 def test_multi_resolution_distance(spark, signals):
     ref, dec = signals
     got = M.multi_resolution_distance(frames(spark, ref, dec), "pcm", "dec", [32, 16]).orderBy("stream_id").toPandas()["distance"]
